@@ -190,16 +190,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, training: Column, sample: in
     return PuModel().fit(x[is_positive], x[~is_positive])
 
 
-def quality_scores(docs: DataFrame, model: PuModel) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted of every row of docs (doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def quality_score(spark: SparkSession, model: PuModel, text_col: str) -> Column:
+    """The model's score (0 to 1) of a text column; null texts count as empty."""
+    sent = spark.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = sent.value.score(feature_rows(b["text"]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+    @F.pandas_udf("double")
+    def score(column: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.score(feature_rows(column.fillna(""))))
 
-    return docs.mapInPandas(score, "doc_id long, score double, predicted int")
+    return score(F.col(text_col))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +209,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, training: Column, sam
     without labels every score is 1/2.
     """
     rows = texts(docs, id_col, text_col)
-    return quality_scores(rows, fit_quality(rows, labels, training, sample))
+    score = quality_score(docs.sparkSession, fit_quality(rows, labels, training, sample), "text")
+    return rows.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,18 +169,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, sample: i
     return model.fit(pairs, got["toxic"].to_numpy(float))
 
 
-def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted of every row of docs (doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def toxicity_score(spark: SparkSession, model: ToxicityModel, text_col: str) -> Column:
+    """The model's score (0 to 1) of a text column; null texts count as empty."""
+    sent = spark.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = sent.value
         own.start()
         for b in batches:
-            s = sigmoid(np.array([own.raw(t) for t in b["text"]], float))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+            yield pd.Series(sigmoid(np.array([own.raw(t) for t in b.fillna("")], float)))
 
-    return docs.mapInPandas(score, "doc_id long, score double, predicted int")
+    return score(F.col(text_col))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -192,7 +192,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, training: Column, sample: int =
     all labels are 1.
     """
     rows = texts(docs, id_col, text_col)
-    return toxicity_scores(rows, fit_toxicity(rows, labels, training, sample, **options))
+    score = toxicity_score(docs.sparkSession, fit_toxicity(rows, labels, training, sample, **options), "text")
+    return rows.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
