@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from offermill.llm.audio import op4_audio_alignment
 from offermill.llm.context_tree import op9_context_tree
 from offermill.llm.fingerprints import op8_fingerprints
 from offermill.llm.near_dedup import op6_near_dedup
 from offermill.llm.packing import op7_best_fit_packing
 from offermill.llm.quality import op5_quality_classifier
 from offermill.llm.secrets import op3_secret_scan
+from offermill.llm.sentencepieces import op2_sentencepiece_n_best
 from offermill.llm.token_counts import op10_token_counts
 from offermill.llm.toxicity import op1_toxicity
 
@@ -19,7 +21,9 @@ from offermill.llm.toxicity import op1_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_sentencepiece_n_best": op2_sentencepiece_n_best,
         "op3_secret_scan": op3_secret_scan,
+        "op4_audio_alignment": op4_audio_alignment,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_near_dedup": op6_near_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
