@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Letters that folding writes otherwise.
 FOLD_FROM, FOLD_TO = "äöüàáâãåçèéêëìíîïñòóôõùúûýÿ", "aouaaaaaceeeeiiiinoooouuuyy"
@@ -25,7 +26,7 @@ def fold(c: Column, keep: str = "a-z0-9") -> Column:
     return F.trim(F.regexp_replace(plain, f"[^{keep}]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_any(c: pd.Series) -> pd.Series:
     """As fold, for marks of all scripts, by compatibility decomposition."""
 

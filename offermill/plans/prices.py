@@ -13,7 +13,7 @@ from offermill.functions import money, numbers
 from offermill.operators import history, pick, quality
 from offermill.sources.tables import read
 
-IS_OFFER = F.col("l_discount") >= 0.05
+
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +192,7 @@ select cast(sum(unit * pieces) as bigint) as total, count(distinct l_suppkey) as
 def merge_survivorship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from offermill.operators.entity import merged
 
-    o = offers(spark, sf_dir).withColumn("is_offer", IS_OFFER).withColumn("regular", F.when(F.col("l_orderkey") % 3 == 0, F.col("unit") + 5000))
+    o = offers(spark, sf_dir).withColumn("is_offer", F.col("l_discount") >= 0.05).withColumn("regular", F.when(F.col("l_orderkey") % 3 == 0, F.col("unit") + 5000))
     return merged(o, ["l_partkey"], "unit", "is_offer", ["l_suppkey"], "regular")
 
 
