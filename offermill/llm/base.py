@@ -67,14 +67,29 @@ def forget(*frames: DataFrame) -> None:
 
 
 class Remembered(dict):
-    """A function's results by argument. A memory of speed only: emptied when full, never trusted to be complete."""
+    """A function's results by argument. A memory of speed only: never trusted to be complete.
+
+    Half of the limit at a time is in use; when that is full, it becomes the
+    older half, from which what is asked for again is taken over.
+    """
 
     def __init__(self, function, limit: int):
         super().__init__()
-        self.function, self.limit = function, limit
+        self.function, self.half, self.older = function, limit // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.function(key)
+        value = self.older[key] if key in self.older else self.function(key)
+        self[key] = value
         return value
+
+
+class Sent:
+    """What is sent to tasks as it was made; what its start() adds there stays there."""
+
+    made: tuple[str, ...] = ()
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in self.made}

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offermill.llm.base import Remembered, table, texts
+from offermill.llm.base import Remembered, Sent, table, texts
 from offermill.llm.vocabulary import Vocabulary
 
 #: Entries of each memory of counts that a task keeps.
@@ -26,9 +26,11 @@ REMEMBERED = 250_000
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class TokenCounter:
+class TokenCounter(Sent):
     """Counts the tokens of whole texts as the vocabulary's library does."""
 
+    made = ("vocabulary", "whole")
+
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.vocabulary.open()

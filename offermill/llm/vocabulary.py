@@ -36,7 +36,9 @@ class Vocabulary:
 
     def merged(self, piece: str) -> list[int]:
         """The ids of one pre-token, by the file's merges."""
-        return [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
+        # printable ASCII other than the space is written as it is
+        plain = piece.isascii() and piece.isprintable() and " " not in piece
+        return [t.id for t in self.model.tokenize(piece if plain else "".join(map(self.letters.__getitem__, piece.encode())))]
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k in ("text", "strings", "special", "suffix")}
