@@ -7,8 +7,9 @@
    bucket, two small bits of every coordinate tell most unlike pairs apart;
    pairs that already are in one component need no look at all.
 3. The pairs left are verified on their full shingle sets, and links join
-   components. That is done in rounds: first so few pairs that large groups
-   grow together, in the end every pair of separate components that is left.
+   components. First come so few pairs, the most alike, that large groups grow
+   together; in the end every pair of separate components that is left is
+   verified where its bucket lies, once, and only links leave the task.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ SIZE = 192
 MISSED = 1e-6
 #: Members of a bucket that one task compares with so many others at once; larger buckets are cut into such blocks.
 BLOCK = 2048
-#: Rounds: bands looked at (None: all), pairs tried for two components in a bucket (None: all).
-ROUNDS = ((4, 1), (None, 1), (None, 8), (None, None))
+#: Rounds that join what is most alike: bands looked at (None: all).
+ROUNDS = (4, None)
 
 _ROUND_SEEDS = stream(2 * SIZE, 7)
 
@@ -74,7 +75,10 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
-    """doc_id, n, set_hash, bands and bits of each document; documents with empty sets have n = 0."""
+    """doc_id, n, set_hash, bands, tags and bits of each document; documents with empty sets have n = 0.
+
+    A band's tag is half of its hash; bits are two for each coordinate.
+    """
     turns = stream(SIZE, 11) | U64(1)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,9 +92,9 @@ def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
                 two = (mix(sketch) & U64(3)).astype(np.uint8)
                 sums = [(mix(s).sum(dtype=U64), mix(s ^ U64(0x5BD1E995)).sum(dtype=U64)) for s in sets]
             packed = two[:, 0::4] | two[:, 1::4] << 2 | two[:, 2::4] << 4 | two[:, 3::4] << 6
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "set_hash": [f"{x:016x}{y:016x}" for x, y in sums], "bands": list(bands), "bits": [p.tobytes() for p in packed]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "set_hash": [f"{x:016x}{y:016x}" for x, y in sums], "bands": list(bands), "tags": [t.tobytes() for t in bands.astype(np.uint32)], "bits": [p.tobytes() for p in packed]})
 
-    return docs.mapInPandas(sign, "doc_id long, n long, set_hash string, bands array<long>, bits binary")
+    return docs.mapInPandas(sign, "doc_id long, n long, set_hash string, bands array<long>, tags binary, bits binary")
 
 
 def _parts(sets: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
@@ -115,100 +119,165 @@ _PAIRS_UNLIKE = np.array([sum(bool(x >> k & 3) for k in (0, 2, 4, 6)) for x in r
 
 
 class Bucket:
-    """Picks the pairs of one bucket (or of two blocks of it) that are to be verified."""
+    """The pairs of one bucket (or of two blocks of it) that may be similar and are in different components."""
+
+    columns = ("id", "component", "n", "bits", "tags", "band", "block")
 
-    def __init__(self, least: int, most_unlike: float, tries: int | None):
-        self.unlike, self.ratio, self.tries = SIZE - least, most_unlike, tries
+    def __init__(self, similarity: float):
+        self.unlike, self.ratio = SIZE - similar_bits(similarity), similarity
 
-    def pairs(self, ids: np.ndarray, component: np.ndarray, n: np.ndarray, bits: list[bytes], block: np.ndarray) -> list[tuple[int, int]]:
+    def pairs(self, rows: list[np.ndarray], once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of both and how unlike they are, the most alike first. once: only pairs that share no earlier band."""
+        ids, component, n, bits, tags, band, block = rows
         if len(ids) < 2 or component.min() == component.max():
-            return []
-        order = np.lexsort((ids, component))
-        ids, component, n, block = ids[order], component[order], n[order], block[order]
-        raw = np.frombuffer(b"".join([bits[i] for i in order]), np.uint8).reshape(len(ids), -1)
+            return (np.zeros(0, np.int64),) * 3
+        bits = np.frombuffer(b"".join(bits), np.uint8).reshape(len(ids), -1)
+        tags = np.frombuffer(b"".join(tags), np.uint32).reshape(len(ids), -1)
         across = block.min() != block.max()
-        rows, cols, far = [], [], []
+        left, right, far = [], [], []
         for i in range(len(ids) - 1):
-            j = np.arange(np.searchsorted(component, component[i], "right"), len(ids))
+            j = np.arange(i + 1, len(ids))
+            ok = (component[j] != component[i]) & (np.minimum(n[j], n[i]) >= self.ratio * np.maximum(n[j], n[i]))
             if across:
-                j = j[block[j] != block[i]]
-            j = j[(np.minimum(n[j], n[i]) >= self.ratio * np.maximum(n[j], n[i]))]
+                ok &= block[j] != block[i]
+            j = j[ok]
+            if once and len(j):
+                j = j[(tags[j] == tags[i]).argmax(1) == band[0]]
             if len(j):
-                d = _PAIRS_UNLIKE[raw[j] ^ raw[i]].sum(1, dtype=np.int32)
+                d = _PAIRS_UNLIKE[bits[j] ^ bits[i]].sum(1, dtype=np.int32)
                 j, d = j[d <= self.unlike], d[d <= self.unlike]
-                rows.append(np.full(len(j), i))
-                cols.append(j)
+                left.append(np.full(len(j), i))
+                right.append(j)
                 far.append(d)
-        if not rows:
-            return []
-        rows, cols, far = np.concatenate(rows), np.concatenate(cols), np.concatenate(far)
-        order = np.lexsort((ids[cols], ids[rows], far))
-        picked = []
-        if self.tries == 1:  # the most alike first, as long as they join what is still apart
-            root = {int(c): int(c) for c in component}
-
-            def find(c: int) -> int:
-                while root[c] != c:
-                    root[c] = c = root[root[c]]
-                return c
-
-            for k in order:
-                a, b = find(int(component[rows[k]])), find(int(component[cols[k]]))
-                if a != b:
-                    root[a] = b
-                    picked.append(k)
-        elif self.tries:
-            tried: dict[tuple[int, int], int] = {}
-            for k in order:
-                key = (int(component[rows[k]]), int(component[cols[k]]))
-                tried[key] = tried.get(key, 0) + 1
-                if tried[key] <= self.tries:
-                    picked.append(k)
-        else:
-            picked = order
-        return [(int(min(ids[rows[k]], ids[cols[k]])), int(max(ids[rows[k]], ids[cols[k]]))) for k in picked]
-
-
-def candidates(classes: DataFrame, components: DataFrame, similarity: float, bands: int | None, tries: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of class ids to verify, from buckets that hold more than one component."""
-    own = classes.select("id", "n", "bits", (F.slice("bands", 1, bands) if bands else F.col("bands")).alias("bands"))
-    keys = own.join(components, "id").select("id", "component", F.explode("bands").alias("key"))
-    mixed = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "members")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = keys.join(mixed, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # a bucket of more than BLOCK members meets block by block: each row goes to every pair of blocks that has its own
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("id", "component", "key", "block", other).select("id", "component", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    members = placed.join(own.select("id", "n", "bits"), "id")
-    bucket = Bucket(similar_bits(similarity), similarity, tries)
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def done(rows: pd.DataFrame) -> pd.DataFrame:
-            pairs: set[tuple[int, int]] = set()
-            ids, component, n, bits, block = (rows[c].to_numpy() for c in ("id", "component", "n", "bits", "block"))
-            place = rows[["key", "low", "high"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), len(rows)]
-            for a, b in zip(cuts, cuts[1:]):
-                if b - a > 1:
-                    pairs.update(bucket.pairs(ids[a:b], component[a:b], n[a:b], bits[a:b], block[a:b]))
-            return pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype=np.int64)
+        if not left:
+            return (np.zeros(0, np.int64),) * 3
+        left, right, far = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+        order = np.lexsort((ids[right], ids[left], far))
+        return left[order], right[order], far[order]
 
-        for b in batches:
-            if not len(b):
-                continue
-            rows = pd.concat([*held, b], ignore_index=True) if held else b
-            last = rows[["key", "low", "high"]].iloc[-1]
-            cut = int(((rows["key"] == last["key"]) & (rows["low"] == last["low"]) & (rows["high"] == last["high"])).to_numpy().argmax())
-            held = [rows.iloc[cut:]]  # the last bucket may go on in the next batch
-            if cut:
-                yield done(rows.iloc[:cut])
-        if held:
-            yield done(held[0])
 
-    dealt = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
-    return dealt.mapInPandas(pick, "a long, b long").distinct()
+class Joined:
+    """Components that have grown together in a task."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def find(self, c: int) -> int:
+        r = self.root
+        while r.setdefault(c, c) != c:
+            r[c] = c = r[r[c]]
+        return c
+
+    def apart(self, a: int, b: int) -> bool:
+        return self.find(a) != self.find(b)
+
+    def join(self, a: int, b: int) -> None:
+        self.root[self.find(a)] = self.find(b)
+
+
+def in_buckets(batches: Iterator[pd.DataFrame], do) -> Iterator[pd.DataFrame]:
+    """do(rows of whole buckets, where each begins and ends) for batches sorted by (key, low, high)."""
+    held: list[pd.DataFrame] = []
+
+    def bounds(rows: pd.DataFrame) -> list[int]:
+        place = [rows[c].to_numpy() for c in ("key", "low", "high")]
+        change = np.logical_or.reduce([p[1:] != p[:-1] for p in place])
+        return [0, *(np.flatnonzero(change) + 1).tolist(), len(rows)]
+
+    for b in batches:
+        if not len(b):
+            continue
+        rows = pd.concat([*held, b], ignore_index=True) if held else b
+        cuts = bounds(rows)
+        held = [rows.iloc[cuts[-2] :]]  # the last bucket may go on in the next batch
+        if cuts[-2]:
+            yield do(rows.iloc[: cuts[-2]], cuts[:-1])
+    if held:
+        yield do(held[0], [0, len(held[0])])
+
+
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """id, band, key and members of every class in every bucket that holds more than one."""
+    keys = classes.select("id", F.posexplode("bands").alias("band", "key"))
+    members = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    return keys.join(members, "key").select("id", "band", "key", "members")
+
+
+def dealt(buckets: DataFrame, classes: DataFrame, components: DataFrame, bands: int | None) -> DataFrame:
+    """Members of buckets that hold more than one component, with what Bucket reads.
+
+    A bucket of more than BLOCK members meets block by block: each row goes
+    to every pair of blocks that has its own.
+    """
+    own = buckets.where(F.col("band") < bands) if bands else buckets
+    own = own.join(components, "id")
+    mixed = own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    placed = own.join(mixed, "key", "left_semi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("id", "component", "band", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return placed.join(classes.select("id", "n", "bits", "tags"), "id")
+
+
+def sorted_buckets(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
+
+
+def most_alike(members: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of class ids: in each bucket those that would join its components, the most alike first."""
+    bucket = Bucket(similarity)
+
+    def pick(rows: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        found: set[tuple[int, int]] = set()
+        columns = [rows[c].to_numpy() for c in Bucket.columns]
+        for p, q in zip(cuts, cuts[1:]):
+            own = [c[p:q] for c in columns]
+            joined = Joined()
+            for i, j, _ in zip(*bucket.pairs(own, False)):
+                if joined.apart(own[1][i], own[1][j]):
+                    joined.join(own[1][i], own[1][j])
+                    found.add((int(min(own[0][i], own[0][j])), int(max(own[0][i], own[0][j]))))
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
+
+    return sorted_buckets(members).mapInPandas(lambda batches: in_buckets(batches, pick), "a long, b long").distinct()
+
+
+def all_links(members: DataFrame, docs: DataFrame, similarity: float, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of every bucket, as far as there are any.
+
+    Every pair of different components is verified in the first bucket that
+    both are in, unless the links found there have joined them already. Texts
+    are sent only of members that are in such a pair.
+    """
+    bucket = Bucket(similarity)
+
+    def involved(rows: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        keep = np.zeros(len(rows), bool)
+        columns = [rows[c].to_numpy() for c in Bucket.columns]
+        for p, q in zip(cuts, cuts[1:]):
+            left, right, _ = bucket.pairs([c[p:q] for c in columns], True)
+            keep[p + left] = keep[p + right] = True
+        return rows[keep]
+
+    def link(rows: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        found = []
+        columns, text = [rows[c].to_numpy() for c in Bucket.columns], rows["text"].to_numpy()
+        for p, q in zip(cuts, cuts[1:]):
+            own = [c[p:q] for c in columns]
+            left, right, _ = bucket.pairs(own, True)
+            sets = shingle_sets([t.encode() for t in text[p:q]], width) if len(left) else []
+            joined = Joined()
+            for i, j in zip(left, right):
+                if joined.apart(own[1][i], own[1][j]) and _linked(sets[i], sets[j], percent):
+                    joined.join(own[1][i], own[1][j])
+                    found.append((int(own[0][i]), int(own[0][j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    schema = "id long, component long, band int, key long, block int, low int, high int, n long, bits binary, tags binary"
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
+    few = sorted_buckets(members.select(*columns)).mapInPandas(lambda batches: in_buckets(batches, involved), schema)
+    with_text = few.join(docs.withColumnRenamed("doc_id", "id"), "id")
+    return sorted_buckets(with_text).mapInPandas(lambda batches: in_buckets(batches, link), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -235,13 +304,19 @@ def _similar(rows: pd.DataFrame, width: int, percent: int) -> list[tuple[int, in
     sets = dict(zip(text, shingle_sets([t.encode() for t in text.values()], width)))
     good = []
     for a, b in zip(rows["a"], rows["b"]):
-        x, y = sets[a], sets[b]
-        common = len(x) + len(y) - len(np.union1d(x, y))
-        if 100 * common >= percent * (len(x) + len(y) - common):
+        if _linked(sets[a], sets[b], percent):
             good.append((a, b))
     return good
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, for sorted sets."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def joined(components: DataFrame, links: DataFrame) -> DataFrame:
     """The components (id, component) after links (a, b) between ids: the least id reachable.
 
@@ -281,23 +356,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     similarity = percent / 100
     signed = written(signatures(rows, width, rows_of_band(similarity)), "signatures")
     # classes of equal sets: all their values are equal but for the ids
-    grouped = signed.where("n > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
-    classes = written(grouped, "classes")
+    firsts = [F.first(c).alias(c) for c in ("n", "bits", "tags", "bands")]
+    classes = written(signed.where("n > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), *firsts), "classes")
     first_rows = rows.groupBy("doc_id").agg(F.max("text").alias("text")) if _repeats(signed) else rows
+    buckets = written(shared_buckets(classes), "buckets")
     components = written(classes.select("id", F.col("id").alias("component")).distinct(), "components")
-    for bands, tries in ROUNDS:
-        pairs = written(candidates(classes, components, similarity, bands, tries), "pairs")
-        if pairs.isEmpty():
+    for bands in (*ROUNDS, 0):
+        members = dealt(buckets, classes, components, bands or None)
+        if bands == 0:
+            links = written(all_links(members, first_rows, similarity, width, percent), "links")
+        else:
+            pairs = written(most_alike(members, similarity), "pairs")
+            links = written(verified(pairs, _needed(first_rows, pairs), width, percent), "links")
             forget(pairs)
-            if tries is None or bands is None:
-                break
-            continue
-        links = written(verified(pairs, _needed(first_rows, pairs), width, percent), "links")
         if not links.isEmpty():
             new = joined(components, links)
             forget(components)
             components = new
-        forget(pairs, links)
+        forget(links)
     of_class = classes.select("set_hash", "id").join(components, "id").select("set_hash", F.col("component"))
     out = signed.select("doc_id", "n", "set_hash").join(of_class, "set_hash", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
