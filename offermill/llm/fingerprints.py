@@ -12,46 +12,36 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offermill.llm.base import table, texts, written
 
 #: Draws in a fingerprint; each is four hexadecimal digits of it.
-SAMPLES = 64
-#: Steps of the tabled gamma distribution (a power of two).
-STEPS = 4096
+SAMPLES = 48
 #: Characters between words.
 WHITE = " \t\n\x0b\x0c\r"
 #: Documents in a stretch of the order by id, about, and the number of stretches, at least and at most.
 STRETCH, STRETCHES = 1_000_000, (32, 2_000)
 
 
-def gamma_quantiles(steps: int = STEPS) -> np.ndarray:
-    """Mid-step quantiles of gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x)."""
-    p = (np.arange(steps) + 0.5) / steps
-    low, high = np.zeros(steps), np.full(steps, 40.0)
-    for _ in range(60):
-        middle = (low + high) / 2
-        below = 1 - (1 + middle) * np.exp(-middle) < p
-        low, high = np.where(below, middle, low), np.where(below, high, middle)
-    return (low + high) / 2
+def _uniform(h: Column, low: int, bits: int) -> Column:
+    """Some bits of a hash as a number between 0 and 1, never either."""
+    return (F.shiftrightunsigned(h, low).bitwiseAND((1 << bits) - 1) + F.lit(0.5)) / F.lit(float(1 << bits))
 
 
-def _constant(values: np.ndarray) -> Column:
-    """An array of fixed doubles; Spark folds the cast once."""
-    return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
+def _draw(k: int, word: Column, log_count: Column) -> Column:
+    """Where the word stands in draw k (high bits: lower is nearer), with 24 bits that tell (word, t).
 
-
-def _draw(k: int, word: Column, log_count: Column, rates: Column, log_costs: Column) -> Column:
-    """Where the word stands in draw k (high bits: lower is nearer), with 24 bits that tell (word, t)."""
-    h = F.xxhash64(word, F.lit(k))
-    r, log_c = F.get(rates, h.bitwiseAND(STEPS - 1).cast("int")), F.get(log_costs, F.shiftrightunsigned(h, 12).bitwiseAND(STEPS - 1).cast("int"))
-    b = F.shiftrightunsigned(h, 24).bitwiseAND((1 << 24) - 1) / F.lit(float(1 << 24))
+    Minus the logarithm of a product of two uniform numbers is gamma(2, 1).
+    """
+    h, g = F.xxhash64(word, F.lit(k)), F.xxhash64(F.lit(k), word)
+    r = -F.log(_uniform(h, 0, 21) * _uniform(h, 21, 21))
+    log_c = F.log(-F.log(_uniform(g, 0, 32) * _uniform(g, 32, 32)))
+    b = _uniform(h, 42, 22)
     t = F.floor(log_count / r + b)
     stand = ((log_c - r * (t - b + 1) + 256) * float(1 << 26)).cast("long")
-    return F.shiftleft(stand, 24).bitwiseOR((F.shiftrightunsigned(h, 40) + t * 7919).bitwiseAND((1 << 24) - 1))
+    return F.shiftleft(stand, 24).bitwiseOR((F.shiftrightunsigned(g, 40) + t * 7919).bitwiseAND((1 << 24) - 1))
 
 
 def fingerprint(bodies: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,12 +49,10 @@ def fingerprint(bodies: DataFrame, keys: list[str]) -> DataFrame:
 
     If bodies are dealt by one of the keys, nothing is shuffled.
     """
-    rates = gamma_quantiles()
     words = bodies.select(*keys, F.explode(F.split(F.btrim(F.lower("body"), F.lit(WHITE)), "[ \\t-\\r]+")).alias("word"))
     counted = words.select(*keys, F.xxhash64("word").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
     weighed = counted.select(*keys, "word", F.log("n").alias("log_n"))
-    r, c = _constant(rates), _constant(np.log(rates))
-    drawn = weighed.groupBy(*keys).agg(*(F.min(_draw(k, F.col("word"), F.col("log_n"), r, c)).alias(f"d{k}") for k in range(SAMPLES)))
+    drawn = weighed.groupBy(*keys).agg(*(F.min(_draw(k, F.col("word"), F.col("log_n"))).alias(f"d{k}") for k in range(SAMPLES)))
     digits = [F.substring(F.lpad(F.hex(F.xxhash64(f"d{k}")), 16, "0"), 1, 4) for k in range(SAMPLES)]
     return drawn.select(*keys, F.lower(F.concat(*digits)).alias("fingerprint"))
 
