@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offermill.llm.base import remainder, table, texts, written
-from offermill.llm.hashing import U64, blocks, word_hashes
+from offermill.llm.hashing import BLOCK_BYTES, U64, word_hashes
 
 #: Bytes of context; with the byte itself a key has DEPTH + 1 bytes.
 DEPTH = 4
 #: Bytes of text in a chunk, about.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 20 << 20
 #: Neither occurs in UTF-8: the byte around texts; and a key that stands for the end token.
 EDGE, END_KEY = 0xFF, -1
 WORD, STRING = 0, 1
@@ -67,13 +67,26 @@ def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
+def encoded(column: pd.Series) -> Iterator[list[bytes]]:
+    """The texts' bytes, BLOCK_BYTES of characters at a time, so that a chunk is not held twice."""
+    part: list[bytes] = []
+    size = 0
+    for t in column:
+        if part and size + len(t) > BLOCK_BYTES:
+            yield part
+            part, size = [], 0
+        part.append(t.encode())
+        size += len(t)
+    if part:
+        yield part
+
+
 def chunk_counts(rows: pd.DataFrame) -> pd.DataFrame:
     """Each distinct word and byte string of a chunk with its occurrences in training texts."""
     found: dict[int, list] = {WORD: [], STRING: []}
     for train in (True, False):
-        data = [t.encode() for t in rows["text"][rows["train"] == train]]
-        for a, b in blocks(data):
-            for kind, keys in ((WORD, word_hashes(data[a:b])[0].astype(np.int64)), (STRING, byte_strings(data[a:b])[0].astype(np.int64))):
+        for data in encoded(rows["text"][rows["train"] == train]):
+            for kind, keys in ((WORD, word_hashes(data)[0].astype(np.int64)), (STRING, byte_strings(data)[0].astype(np.int64))):
                 keys, n = np.unique(keys, return_counts=True)
                 found[kind].append((keys, n if train else np.zeros_like(n)))
             if len(found[STRING]) > 12:
@@ -241,14 +254,13 @@ def scored(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, id_co
             tables[kind] = keys[order], own["value"].to_numpy()[order]
         count_of = lambda keys: tables[WORD][1][np.searchsorted(tables[WORD][0], keys)]
         end = float(count_of(np.array([END_KEY]))[0]) if len(tables[WORD][0]) else 0.0
-        data = [t.encode() for t in rows["text"]]
         out = []
-        for a, b in blocks(data):
-            words, at = word_hashes(data[a:b])
+        for data in encoded(rows["text"]):
+            words, at = word_hashes(data)
             c = count_of(words.astype(np.int64)) if len(words) else np.zeros(0)
             logs = np.concatenate([[0.0], np.cumsum(np.log10(c + 0.5))])
             hits = np.concatenate([[0], np.cumsum(c > 0)])
-            keys, begin = byte_strings(data[a:b])
+            keys, begin = byte_strings(data)
             bits = np.add.reduceat(tables[STRING][1][np.searchsorted(tables[STRING][0], keys.astype(np.int64))], begin[:-1])
             tokens = np.diff(at) + 1
             base = logs[at[1:]] - logs[at[:-1]] + math.log10(end + 0.5) - tokens * math.log10(n + 0.5 * (v + 1))
