@@ -31,6 +31,8 @@ SIZE = 192
 MISSED = 1e-6
 #: Members of a bucket that one task compares with so many others at once; larger buckets are cut into such blocks.
 BLOCK = 2048
+#: Texts that a task holds as sets at once.
+ROWS = 500
 #: Rounds that join what is most alike: bands looked at (None: all).
 ROUNDS = (4, None)
 
@@ -82,17 +84,22 @@ def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
     turns = stream(SIZE, 11) | U64(1)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = shingle_sets([t.encode() for t in b["text"]], width)
-            sketch = np.concatenate([sketches(part) for part in _parts(sets)]) if sets else np.zeros((0, SIZE), U64)
-            with np.errstate(over="ignore"):
-                n = SIZE // rows
-                bands = (sketch[:, : n * rows] * turns[: n * rows]).reshape(len(sets), n, rows).sum(2, dtype=U64)
-                bands = mix(bands + np.arange(n, dtype=U64)).astype(np.int64)
-                two = (mix(sketch) & U64(3)).astype(np.uint8)
-                sums = [(mix(s).sum(dtype=U64), mix(s ^ U64(0x5BD1E995)).sum(dtype=U64)) for s in sets]
-            packed = two[:, 0::4] | two[:, 1::4] << 2 | two[:, 2::4] << 4 | two[:, 3::4] << 6
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "set_hash": [f"{x:016x}{y:016x}" for x, y in sums], "bands": list(bands), "tags": [t.tobytes() for t in bands.astype(np.uint32)], "bits": [p.tobytes() for p in packed]})
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                yield signed(batch.iloc[at : at + ROWS])
+
+    def signed(b: pd.DataFrame) -> pd.DataFrame:
+        sets = shingle_sets([t.encode() for t in b["text"]], width)
+        sketch = np.concatenate([sketches(part) for part in _parts(sets)])
+        with np.errstate(over="ignore"):
+            n = SIZE // rows
+            bands = (sketch[:, : n * rows] * turns[: n * rows]).reshape(len(sets), n, rows).sum(2, dtype=U64)
+            bands = mix(bands + np.arange(n, dtype=U64)).astype(np.int64)
+            two = (mix(sketch) & U64(3)).astype(np.uint8)
+            sums = [(mix(s).sum(dtype=U64), mix(s ^ U64(0x5BD1E995)).sum(dtype=U64)) for s in sets]
+        packed = two[:, 0::4] | two[:, 1::4] << 2 | two[:, 2::4] << 4 | two[:, 3::4] << 6
+        hashes = [f"{x:016x}{y:016x}" for x, y in sums]
+        return pd.DataFrame({"doc_id": b["doc_id"].array, "n": [len(s) for s in sets], "set_hash": hashes, "bands": list(bands), "tags": [t.tobytes() for t in bands.astype(np.uint32)], "bits": [p.tobytes() for p in packed]})
 
     return docs.mapInPandas(sign, "doc_id long, n long, set_hash string, bands array<long>, tags binary, bits binary")
 

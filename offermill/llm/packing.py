@@ -9,6 +9,8 @@ equal length.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -20,39 +22,45 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from offermill.llm.base import Remembered, table, texts, written
+from offermill.llm.base import Remembered, Sent, table, texts, written
 from offermill.llm.vocabulary import Vocabulary
 
 #: Words whose ids a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: The pre-tokens of the lower-case vocabulary (fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Ranks are counted apart in parts of the rows: so many at least, and one for so many pieces.
 RANK_PARTS, RANK_PIECES = 64, 500_000
 
 
-class WordEncoder:
+class WordEncoder(Sent):
     """Ids of whole texts, as little-endian unsigned 32-bit integers, as the library gives them."""
 
+    made = ("vocabulary",)
+
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
 
+    marks = frozenset(".,!?:;")
+
     def start(self) -> None:
         self.vocabulary.open()
         self.find = regex.compile(PRE_TOKEN).findall
-        self.known = Remembered(self.ids_of, REMEMBERED)
+        self.far = re.compile("[^\x00-\u02ff]").search
+        self.known, self.far_known = Remembered(self.ids_of, REMEMBERED), Remembered(self.far_ids, REMEMBERED)
 
     def ids_of(self, chunk: str) -> bytes:
-        """Text without special strings: composed, lower-cased, cut into pre-tokens, merged.
+        """Lower-case text up to U+02FF, where composing has nothing to do: cut into pre-tokens, merged.
 
-        Beyond the Latin letters up to U+02FF, where composing has nothing to
-        do, the library does all steps: it has Unicode tables of its own.
+        A mark after a word is a pre-token of its own, and the word is likelier to be known.
         """
-        if chunk and max(chunk) > "\u02ff":
-            ids = self.vocabulary.tokenizer.encode(chunk, add_special_tokens=False).ids
+        if chunk.isalpha():
+            ids = self.vocabulary.merged(chunk)
+        elif chunk[-1:] in self.marks and chunk[:-1].isalpha():
+            return self.known[chunk[:-1]] + self.known[chunk[-1]]
         else:
-            ids = [i for p in self.find(chunk.lower()) for i in self.vocabulary.merged(p)]
-        return np.array(ids, "<u4").tobytes()
+            ids = [i for p in self.find(chunk) for i in self.vocabulary.merged(p)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """No pre-token holds white space, so what stands between spaces can be encoded apart, and remembered."""
@@ -65,7 +73,14 @@ class WordEncoder:
         return b"".join([*out, self.words(text[at:])])
 
     def words(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
+        """Beyond U+02FF the library does all steps, with Unicode tables of its own."""
+        if self.far(text):
+            return b"".join(map(self.far_known.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.known.__getitem__, text.lower().replace("\n", " ").split(" ")))
+
+    def far_ids(self, chunk: str) -> bytes:
+        ids = self.vocabulary.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:

@@ -18,12 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offermill.llm.base import Remembered, remainder, table, texts
+from offermill.llm.base import Remembered, Sent, remainder, table, texts
 from offermill.llm.quality import sample_ids, sigmoid
 
 #: Labelled documents that weights are fitted on, at most: a bounded sample, by hash of the id.
-SAMPLE = 20_000
-#: Features that the model has, at most: those that tell the labels apart best, by counts over all labelled rows.
+SAMPLE = 10_000
+#: Labelled documents in which features are counted, at most: likewise, and those of the sample among them.
+COUNTED = 40_000
+#: Features that the model has, at most: those that tell the labels apart best.
 MOST_FEATURES = 20_000
 #: Word scores that a task remembers.
 REMEMBERED = 250_000
@@ -56,7 +58,7 @@ def features_of(word: str) -> list[int]:
 
 
 def label_counts(marked: DataFrame) -> DataFrame:
-    """feature, in_toxic, in_other: in how many labelled documents (text, toxic) each feature occurs, all of them counted."""
+    """feature, in_toxic, in_other: in how many of the documents (text, toxic) each feature occurs."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Remembered(features_of, REMEMBERED // 5)
@@ -72,11 +74,13 @@ def label_counts(marked: DataFrame) -> DataFrame:
     return counted.groupBy("feature").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_other").alias("in_other"))
 
 
-class ToxicityModel:
+class ToxicityModel(Sent):
     """Weights by feature; a text's raw score is the bias and the sum over its distinct words."""
 
-    def __init__(self, selected: list[int], swap_strength: float = 1.0, decay: float = 2e-4, rounds: int = 400, rate: float = 0.1):
-        names = [f for terms in IDENTITY_TERMS for t in terms for f in features_of(t)]
+    made = ("index", "weights", "bias")
+
+    def __init__(self, selected: list[int], swap_strength: float = 1.0, decay: float = 5e-5, rounds: int = 400, rate: float = 0.1):
+        names = [features_of(t)[0] for terms in IDENTITY_TERMS for t in terms]  # the names as whole words only
         self.index = {f: i for i, f in enumerate(dict.fromkeys([*selected, *names]))}
         self.swap_strength, self.decay, self.rounds, self.rate = swap_strength, decay, rounds, rate
         self.weights, self.bias = np.zeros(len(self.index)), 0.0
@@ -89,25 +93,25 @@ class ToxicityModel:
         found = words(text)
         return Counter(i for w in found for i in self.columns(w)), sorted(found & _SET_OF.keys())
 
-    def fit(self, rows: list[tuple[dict[int, int], list[str]]], toxic: np.ndarray) -> ToxicityModel:
+    def fit(self, columns: list[np.ndarray], counts: list[np.ndarray], names: list[list[str]], toxic: np.ndarray) -> ToxicityModel:
         """Logistic loss + decay + swap_strength times the mean square of what swaps change.
 
-        A swap of name a for b in a sentence changes the raw score by the
-        weights of b less those of a, whatever the sentence; so the penalty
-        counts each pair of names as often as labelled sentences swap them.
-        Without rows of both kinds it says the same of everything: toxic only
-        if all labels do.
+        Of each row: its features and the number of words that have them, the
+        group names in it, and its label. A swap of name a for b in a sentence
+        changes the raw score by the weights of b less those of a, whatever
+        the sentence; so the penalty counts each pair of names as often as
+        labelled sentences swap them. Without rows of both kinds the model
+        says the same of everything: toxic only if all labels do.
         """
-        n = len(rows)
+        n = len(toxic)
         if not n or toxic.min() == toxic.max():
             self.bias = 6.0 if n and toxic.min() else -6.0
             return self
-        at = np.repeat(np.arange(n), [len(c) for c, _ in rows])
-        columns = np.array([i for c, _ in rows for i in c], np.int64)
-        values = np.array([v for c, _ in rows for v in c.values()], float)
+        at = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in columns])
+        columns, values = np.concatenate(columns).astype(np.int32), np.concatenate(counts).astype(np.float32)
         swaps: Counter = Counter()
-        for _, names in rows:
-            for a in names:
+        for found in names:
+            for a in found:
                 for b in IDENTITY_TERMS[_SET_OF[a]]:
                     if a != b:
                         swaps[a, b] += 1
@@ -117,11 +121,13 @@ class ToxicityModel:
         s_col = np.array([i for x, y, _ in pairs for i in (*x, *y)], np.int64)
         s_val = np.array([v for x, y, _ in pairs for v in (*[-1.0] * len(x), *[1.0] * len(y))])
         s_share = np.array([k for *_, k in pairs])
+        # what few rows show is trusted less
+        decay = self.decay * np.maximum(1.0, n / 50 / np.maximum(1, np.bincount(columns, minlength=len(self.index))))
         w, b = np.zeros(len(self.index)), float(np.log(toxic.mean() / (1 - toxic.mean())))
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
         for t in range(1, self.rounds + 1):
             off = sigmoid(b + np.bincount(at, values * w[columns], n)) - toxic
-            g = np.bincount(columns, values * off[at], len(w)) / n + self.decay * w
+            g = np.bincount(columns, values * off[at], len(w)) / n + decay * w
             if total:
                 change = np.bincount(s_at, s_val * w[s_col], len(pairs))
                 g += 2 * self.swap_strength * np.bincount(s_col, s_val * (s_share * change)[s_at], len(w))
@@ -141,15 +147,16 @@ class ToxicityModel:
         return self.bias + sum(map(self.known.__getitem__, words(text)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE, most: int = MOST_FEATURES, **options) -> ToxicityModel:
-    """Features are chosen by counts over all labelled rows where `training` holds, weights are fitted on `sample` of them at most.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE, counted: int = COUNTED, most: int = MOST_FEATURES, **options) -> ToxicityModel:
+    """Features are chosen by counts over `counted` labelled rows where `training` holds, weights fitted on `sample` of these, at most.
 
     `docs` has doc_id and text, `labels` doc_id and toxic. Null marks count as
     none; a document that is marked twice is toxic if any mark is 1.
     """
     marks = labels.where(training & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marked = docs.where(training).join(marks, "doc_id")
-    totals = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    chosen_rows = F.broadcast(sample_ids(marks, counted).join(marks, "doc_id"))  # `counted` ids at most: texts stay where they are
+    marked = docs.where(training).join(chosen_rows, "doc_id")
+    totals = {r["toxic"]: r["count"] for r in sample_ids(marks, counted).join(marks, "doc_id").groupBy("toxic").count().collect()}
     t, o = max(1, totals.get(1, 0)), max(1, totals.get(0, 0))
     p = (F.col("in_toxic") + F.col("in_other")) / (t + o)
     z = (F.col("in_toxic") / t - F.col("in_other") / o) / F.sqrt(p * (1 - p) * (1 / t + 1 / o) + 1e-12)
@@ -165,8 +172,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, sample: i
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "columns": [list(c) for c, _ in found], "counts": [list(c.values()) for c, _ in found], "names": [n for _, n in found]})
 
     got = marked.select("doc_id", "text", "toxic").join(ids, "doc_id", "left_semi").mapInPandas(rows, "doc_id long, toxic int, columns array<int>, counts array<int>, names array<string>").orderBy("doc_id").toPandas()
-    pairs = [(dict(zip(c, n)), list(names)) for c, n, names in zip(got["columns"], got["counts"], got["names"])]
-    return model.fit(pairs, got["toxic"].to_numpy(float))
+    return model.fit(list(got["columns"]), list(got["counts"]), list(got["names"]), got["toxic"].to_numpy(float))
 
 
 def toxicity_score(spark: SparkSession, model: ToxicityModel, text_col: str) -> Column:
