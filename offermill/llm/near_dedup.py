@@ -30,7 +30,7 @@ SIZE = 192
 #: A similar pair shares no band with this chance at most, for independent coordinates.
 MISSED = 1e-6
 #: Members of a bucket that one task compares with so many others at once; larger buckets are cut into such blocks.
-BLOCK = 2048
+BLOCK = 1024
 #: Texts that a task holds as sets at once.
 ROWS = 500
 #: Rounds that join what is most alike: bands looked at (None: all).
@@ -134,16 +134,19 @@ class Bucket:
         self.unlike, self.ratio = SIZE - similar_bits(similarity), similarity
 
     def pairs(self, rows: list[np.ndarray], once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of both and how unlike they are, the most alike first. once: only pairs that share no earlier band."""
+        """Places of both and how unlike they are, the most alike first. once: only pairs that share no earlier band.
+
+        Rows come sorted by id; among equally alike pairs those of lower ids are first.
+        """
         ids, component, n, bits, tags, band, block = rows
         if len(ids) < 2 or component.min() == component.max():
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int32),) * 3
         bits = np.frombuffer(b"".join(bits), np.uint8).reshape(len(ids), -1)
         tags = np.frombuffer(b"".join(tags), np.uint32).reshape(len(ids), -1)
         across = block.min() != block.max()
         left, right, far = [], [], []
         for i in range(len(ids) - 1):
-            j = np.arange(i + 1, len(ids))
+            j = np.arange(i + 1, len(ids), dtype=np.int32)
             ok = (component[j] != component[i]) & (np.minimum(n[j], n[i]) >= self.ratio * np.maximum(n[j], n[i]))
             if across:
                 ok &= block[j] != block[i]
@@ -151,15 +154,15 @@ class Bucket:
             if once and len(j):
                 j = j[(tags[j] == tags[i]).argmax(1) == band[0]]
             if len(j):
-                d = _PAIRS_UNLIKE[bits[j] ^ bits[i]].sum(1, dtype=np.int32)
+                d = _PAIRS_UNLIKE[bits[j] ^ bits[i]].sum(1, dtype=np.uint8)  # SIZE at most
                 j, d = j[d <= self.unlike], d[d <= self.unlike]
-                left.append(np.full(len(j), i))
+                left.append(np.full(len(j), i, np.int32))
                 right.append(j)
                 far.append(d)
         if not left:
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int32),) * 3
         left, right, far = np.concatenate(left), np.concatenate(right), np.concatenate(far)
-        order = np.lexsort((ids[right], ids[left], far))
+        order = np.argsort(far, kind="stable").astype(np.int32)
         return left[order], right[order], far[order]
 
 
