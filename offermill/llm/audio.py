@@ -26,6 +26,12 @@ FRAME, HOP = 1024, 256
 SPAN = 8
 #: Integers two recordings must share at one offset, the greatest share of differing bits, and the least overlap in frames.
 VOTES, ERRORS, OVERLAP = 3, 0.25, 8
+#: Integers of the queries that a task holds at once, and matches of a recording with them that it expands at once.
+BLOCK_PRINTS, MATCHES = 1_000_000, 1_000_000
+#: Classes in a part of the table, at most, where that makes more parts than four for each core.
+PART_ROWS = 100_000
+#: Recordings made and sent on at once.
+PLAYED = 32
 #: Filters, two bits each: kind of pattern, first class, classes, frames. Sixteen of them fill 32 bits.
 FILTERS = tuple((k % 4, (5 * k) % 10, 2 + k % 3, (4, 6, 8)[k % 3]) for k in range(16))
 
@@ -94,28 +100,89 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
     return media.select(F.col(id_col).cast("long").alias("id"), F.col(audio_col).alias("audio")).mapInPandas(make, "id long, class_hash string, prints array<long>")
 
 
-def matches(prints: DataFrame, is_query, votes: int = VOTES, errors: float = ERRORS) -> DataFrame:
-    """query and match (class ids), offset, votes and error of aligned recordings of different prints.
+class Asked:
+    """A block of queries: their prints, and the spots where a print begins, in order of the print."""
+
+    def __init__(self, ids: list[int], prints: list[np.ndarray]):
+        self.ids, self.prints = np.array(ids, np.int64), prints
+        at = [begins(p) for p in prints]
+        owner, at = np.repeat(np.arange(len(ids)), [len(x) for x in at]), np.concatenate([*at, np.zeros(0, np.int64)])
+        found = np.array([prints[o][t] for o, t in zip(owner, at)], np.int64)
+        order = np.argsort(found, kind="stable")
+        self.found, self.owner, self.at = found[order], owner[order], at[order]
+
+    def histogram(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, offset and votes of all that a recording shares with the block; MATCHES at a time are expanded."""
+        spots = begins(own)
+        low, high = np.searchsorted(self.found, own[spots], "left"), np.searchsorted(self.found, own[spots], "right")
+        n, width = high - low, max([len(own), *map(len, self.prints)]) + 1
+        keys, votes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        part = n.cumsum() // MATCHES
+        for k in np.unique(part):
+            use = part == k
+            times = n[use]
+            i = np.repeat(low[use] - times.cumsum() + times, times) + np.arange(times.sum())
+            key = (2 * width) * self.owner[i] + np.repeat(spots[use], times) - self.at[i] + width
+            keys, votes = summed(np.concatenate([keys, key]), np.concatenate([votes, np.ones(len(key), np.int64)]))
+        return keys // (2 * width), keys % (2 * width) - width, votes
+
+    def aligned(self, class_id: int, own: np.ndarray, votes: int, errors: float) -> list[tuple[int, int, int, int, float]]:
+        """(query, class, offset, votes, error) of the queries that align at the offset of most votes, the least shift first."""
+        asked, offset, n = self.histogram(own)
+        keep = (n >= votes) & (self.ids[asked] != class_id)
+        asked, offset, n = asked[keep], offset[keep], n[keep]
+        order = np.lexsort((-offset, np.abs(offset), -n, asked))
+        asked, offset, n = asked[order], offset[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], asked[1:] != asked[:-1]])) if len(asked) else []
+        rows = ((q, o, v, alignment(self.prints[q], own, o)) for q, o, v in zip(asked[first].tolist(), offset[first].tolist(), n[first].tolist())) if len(asked) else ()
+        return [(int(self.ids[q]), class_id, o, v, e) for q, o, v, e in rows if e <= errors]
+
+
+def begins(prints: np.ndarray) -> np.ndarray:
+    """Places of prints that differ from the one before."""
+    return np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.zeros(0, np.int64)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the sum of n for each."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def matches(prints: DataFrame, votes: int = VOTES, errors: float = ERRORS, block: int = BLOCK_PRINTS) -> DataFrame:
+    """asked and class (ids), offset, votes and error of aligned recordings of different prints.
 
     `prints` has class (the least id of equal prints), prints and query
     (whether any recording of the class is a query). Integers that stay for
-    several frames are counted once, where they begin.
+    several frames are counted once, where they begin. Queries meet all rows
+    in blocks of about `block` integers, where they lie, so that no vote is
+    shuffled and a common integer is no hot key.
     """
-    spots = prints.select("class", "query", F.posexplode("prints").alias("at", "print"), "prints")
-    spots = spots.where((F.col("at") == 0) | (F.get("prints", F.col("at") - 1) != F.col("print"))).drop("prints")
-    asked = spots.where("query").select(F.col("class").alias("asked"), F.col("at").alias("asked_at"), "print")
-    shared = spots.select("class", "at", "print").join(asked, "print").where("class <> asked")
-    histogram = shared.groupBy("asked", "class", (F.col("at") - F.col("asked_at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
-    peak = histogram.groupBy("asked", "class").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("peak"))
-    pairs = peak.select("asked", "class", F.col("peak.offset").alias("offset"), F.col("peak.votes").alias("votes"))
-    own = prints.select(F.col("class").alias("asked"), F.col("prints").alias("asked_prints"))
-    both = pairs.join(own, "asked").join(prints.select("class", "prints"), "class")
-
-    @F.pandas_udf("double")
-    def error(a: pd.Series, b: pd.Series, offset: pd.Series) -> pd.Series:
-        return pd.Series([alignment(np.asarray(x), np.asarray(y), int(o)) for x, y, o in zip(a, b, offset)], dtype="float64")
-
-    return both.select("asked", "class", "offset", "votes", error("asked_prints", "prints", "offset").alias("error")).where(F.col("error") <= errors)
+    spark = prints.sparkSession
+    asked = prints.where("query").select("class", "prints")
+    blocks = max(1, -(-(asked.agg(F.sum(F.size("prints"))).first()[0] or 0) // block))
+    out = []
+    for k in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("class"), F.lit(blocks)) == k).orderBy("class").toPandas()  # about `block` integers
+        sent = spark.sparkContext.broadcast((own["class"].tolist(), [np.asarray(p, np.int64) for p in own["prints"]]))
+
+        def link(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            index = Asked(*sent.value)
+            for b in batches:
+                rows = [r for c, p in zip(b["class"].tolist(), b["prints"]) for r in index.aligned(c, np.asarray(p, np.int64), votes, errors)]
+                yield pd.DataFrame(rows, columns=["asked", "class", "offset", "votes", "error"])
+
+        found = prints.select("class", "prints").mapInPandas(link, "asked long, class long, offset long, votes long, error double")
+        out.append(written(found, "links"))
+        sent.unpersist()
+    links = out[0]
+    for more in out[1:]:
+        links = links.unionByName(more)
+    return links
 
 
 def aligned_recordings(media: DataFrame, id_col: str, audio_col: str, query_every: int = 20) -> DataFrame:
@@ -131,8 +198,11 @@ def aligned_recordings(media: DataFrame, id_col: str, audio_col: str, query_ever
     prints = written(fingerprints(media, id_col, audio_col).where("id is not null"), "prints")
     query = F.col("id") % query_every == 0
     some = prints.where(F.size("prints") > 0)
-    classes = written(some.groupBy("class_hash").agg(F.min("id").alias("class"), F.first("prints").alias("prints"), F.max(query).alias("query")), "classes")
-    links = matches(classes.select("class", "prints", "query"), query)
+    grouped = some.groupBy("class_hash").agg(F.min("id").alias("class"), F.first("prints").alias("prints"), F.max(query).alias("query"))
+    # comparing costs far more than reading: small tables are spread over all cores too
+    parts = max(4 * media.sparkSession.sparkContext.defaultParallelism, some.count() // PART_ROWS)
+    classes = written(grouped.repartition(parts, "class"), "classes")
+    links = matches(classes.select("class", "prints", "query"))
     best = links.groupBy("asked").agg(F.count("*").alias("n_links"), F.min(F.struct("error", "class", "offset")).alias("best"))
     ids = prints.select("id", "class_hash", F.size("prints").cast("long").alias("n_prints"), query.alias("query"))
     of_class = classes.select("class_hash", "class").join(best.withColumnRenamed("asked", "class"), "class", "left")
@@ -152,12 +222,16 @@ def sounded(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         tones = np.vstack([np.sin(2 * np.pi * 220 * 2 ** (k / 12) * np.arange(n) / RATE) for k in range(12)] + [np.zeros(n)])
         tones = (12000 * tones).astype("<i2")
         for b in batches:
-            out = []
-            for v in b["v"]:
-                x = np.asarray([] if v is None else v, float)
-                step = np.where(np.isnan(x), 12, np.clip(np.floor(6 + 24 * np.nan_to_num(x)), 0, 11)).astype(int)
-                out.append(tones[step].tobytes())
-            yield pd.DataFrame({"id": b["id"], "audio": out})
+            for at in range(0, len(b), PLAYED):
+                yield played(b.iloc[at : at + PLAYED], tones)
+
+    def played(b: pd.DataFrame, tones: np.ndarray) -> pd.DataFrame:
+        out = []
+        for v in b["v"]:
+            x = np.asarray([] if v is None else v, float)
+            step = np.where(np.isnan(x), 12, np.clip(np.floor(6 + 24 * np.nan_to_num(x)), 0, 11)).astype(int)
+            out.append(tones[step].tobytes())
+        return pd.DataFrame({"id": b["id"].array, "audio": out})
 
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(play, "id long, audio binary")
 
