@@ -112,6 +112,29 @@ def test_recordings_are_aligned(spark):
     assert got.loc[2, "class_id"] == 1 and got.loc[40, "n_links"] == 0 and got.loc[60, "n_links"] == 0 and len(got) == 6
 
 
+def test_matches_in_blocks_equal_brute_force(spark, monkeypatch):
+    """Blocks and parts of any size find what a count of all common integers finds."""
+    monkeypatch.setattr(audio, "MATCHES", 7)  # in this process only: the tasks use the usual size
+    rng = np.random.default_rng(3)
+    rows = {k: rng.integers(0, 6, 30) for k in range(12)}
+    rows[12] = np.concatenate([rng.integers(0, 6, 9), rows[0][5:]])
+    expected = set()
+    for q in (0, 4, 8, 12):
+        for c in rows.keys() - {q}:
+            a, b = rows[q], rows[c]
+            seen = Counter(j - i for i in audio.begins(a).tolist() for j in audio.begins(b).tolist() if a[i] == b[j])
+            votes, _, offset = max((n, -abs(o), o) for o, n in seen.items())
+            if votes >= 3 and audio.alignment(a, b, offset) <= 0.05:
+                expected.add((q, c, offset, votes))
+    df = spark.createDataFrame([(k, v.tolist(), k % 4 == 0) for k, v in rows.items()], "class long, prints array<long>, query boolean")
+    for block in (10, 1000):
+        got = audio.matches(df, errors=0.05, block=block).collect()
+        assert {(r.asked, r["class"], r.offset, r.votes) for r in got} == expected and len(got) == len(expected)
+    assert expected
+    index = audio.Asked([0], [rows[0]])
+    assert {q for q, *_ in index.aligned(12, rows[12], 3, 0.05)} == {q for q, c, *_ in expected if (q, c) == (0, 12)}
+
+
 def test_awkward_tables(spark):
     df, none = awkward(spark), empty(spark)
     got = near_dedup.near_duplicates(df).toPandas()
