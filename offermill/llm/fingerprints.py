@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from offermill.llm.base import table, texts, written
 
 #: Draws in a fingerprint; each is four hexadecimal digits of it.
-SAMPLES = 48
+SAMPLES = 64
 #: Characters between words.
 WHITE = " \t\n\x0b\x0c\r"
 #: Documents in a stretch of the order by id, about, and the number of stretches, at least and at most.

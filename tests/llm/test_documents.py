@@ -96,6 +96,15 @@ def test_fingerprints(spark):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_fingerprints_have_64_draws(spark):
+    """The signature is 64 draws long, all of them are compared, and shares are steps of 1/64."""
+    df = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g x")], "doc_id long, text string")
+    got = fingerprints.edited_fingerprints(df).toPandas()
+    assert set(got["fingerprint"].str.len()) == {4 * 64}
+    a, b = got["fingerprint"]
+    assert (got["near_next"] == sum(a[i : i + 4] == b[i : i + 4] for i in range(0, 256, 4)) / 64).all()
+
+
 def tone_row(seed, n):
     rng = np.random.default_rng(seed)
     step, t = rng.integers(0, 12, n), np.arange(2 * audio.HOP)
