@@ -110,6 +110,8 @@ class Asked:
         found = np.array([prints[o][t] for o, t in zip(owner, at)], np.int64)
         order = np.argsort(found, kind="stable")
         self.found, self.owner, self.at = found[order], owner[order], at[order]
+        self.runs, self.length = np.bincount(owner, minlength=len(ids)), np.array([len(p) for p in prints], np.int64)
+        self.flat, self.start = np.concatenate([*prints, np.zeros(0, np.int64)]).astype(np.int64), self.length.cumsum() - self.length
 
     def histogram(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, offset and votes of all that a recording shares with the block; MATCHES at a time are expanded."""
@@ -127,15 +129,76 @@ class Asked:
         return keys // (2 * width), keys % (2 * width) - width, votes
 
     def aligned(self, class_id: int, own: np.ndarray, votes: int, errors: float) -> list[tuple[int, int, int, int, float]]:
-        """(query, class, offset, votes, error) of the queries that align at the offset of most votes, the least shift first."""
+        """(query, class, offset, votes, error) of the queries that align at any offset with the votes.
+
+        The offset of most votes that aligns is taken, the least shift first.
+        Where a side has fewer runs than `votes`, all offsets are tried.
+        """
         asked, offset, n = self.histogram(own)
-        keep = (n >= votes) & (self.ids[asked] != class_id)
+        other = self.ids[asked] != class_id
+        few = (self.runs[asked] < votes) | (len(begins(own)) < votes)
+        rows = [(q, *best) for q in np.unique(asked[other & few]).tolist() if (best := by_runs(self.prints[q], own, votes, errors))]
+        keep = (n >= votes) & other & ~few
         asked, offset, n = asked[keep], offset[keep], n[keep]
         order = np.lexsort((-offset, np.abs(offset), -n, asked))
         asked, offset, n = asked[order], offset[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], asked[1:] != asked[:-1]])) if len(asked) else []
-        rows = ((q, o, v, alignment(self.prints[q], own, o)) for q, o, v in zip(asked[first].tolist(), offset[first].tolist(), n[first].tolist())) if len(asked) else ()
-        return [(int(self.ids[q]), class_id, o, v, e) for q, o, v, e in rows if e <= errors]
+        first = firsts(asked)
+        error = np.full(len(asked), np.inf)
+        error[first] = self.errors_at(asked[first], offset[first], own)
+        rest = np.ones(len(asked), bool)
+        rest[first] = False
+        rest &= ~np.isin(asked, asked[error <= errors])
+        error[rest] = self.errors_at(asked[rest], offset[rest], own)
+        good = np.flatnonzero(error <= errors)
+        good = good[firsts(asked[good])]
+        rows += zip(asked[good].tolist(), offset[good].tolist(), n[good].tolist(), error[good].tolist())
+        return [(int(self.ids[q]), class_id, o, v, e) for q, o, v, e in rows]
+
+    def errors_at(self, asked: np.ndarray, offset: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """alignment() of queries with a recording, each at its offset; about MATCHES frames at a time."""
+        skip, after = np.maximum(0, -offset), np.maximum(0, offset)
+        n = np.minimum(self.length[asked] - skip, len(own) - after)
+        out = np.ones(len(asked))
+        long = np.flatnonzero(n >= OVERLAP)
+        part = n[long].cumsum() // MATCHES
+        for k in np.unique(part):
+            at = long[part == k]
+            m = n[at]
+            begin = m.cumsum() - m
+            step = np.arange(m.sum()) - np.repeat(begin, m)
+            differ = self.flat[np.repeat(self.start[asked[at]] + skip[at], m) + step] ^ own[np.repeat(after[at], m) + step]
+            out[at] = np.add.reduceat(np.bitwise_count(differ), begin, dtype=np.int64) / m / 32
+        return out
+
+
+def by_runs(a: np.ndarray, b: np.ndarray, votes: int, errors: float) -> tuple[int, int, float] | None:
+    """Offset, equal frames and error of the best of all offsets at which so many frames are equal and that align.
+
+    Cheap where one side has few runs of equal prints: a pass over all offsets for each of them.
+    """
+    turned = len(begins(b)) < len(begins(a))
+    few, many = (b, a) if turned else (a, b)
+    offset = np.arange(1 - len(few), len(many))
+    n = np.minimum(len(few), len(many) - offset) - np.maximum(0, -offset)
+    equal, differ = np.zeros(len(offset), np.int64), np.zeros(len(offset), np.int64)
+    spots = begins(few)
+    for begin, end in zip(spots, [*spots[1:], len(few)]):
+        low, high = np.clip(offset + begin, 0, len(many)), np.clip(offset + end, 0, len(many))
+        for out, own in ((equal, many == few[begin]), (differ, np.bitwise_count(many ^ few[begin]))):
+            sums = np.concatenate([[0], own.cumsum(dtype=np.int64)])
+            out += sums[high] - sums[low]
+    error = differ / n / 32
+    good = np.flatnonzero((n >= OVERLAP) & (equal >= votes) & (error <= errors))
+    if not len(good):
+        return None
+    shift = -offset if turned else offset
+    i = good[np.lexsort((-shift[good], np.abs(shift[good]), -equal[good]))[0]]
+    return int(shift[i]), int(equal[i]), float(error[i])
+
+
+def firsts(ordered: np.ndarray) -> np.ndarray:
+    """Places of values that differ from the one before."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
 
 
 def begins(prints: np.ndarray) -> np.ndarray:
@@ -158,7 +221,8 @@ def matches(prints: DataFrame, votes: int = VOTES, errors: float = ERRORS, block
 
     `prints` has class (the least id of equal prints), prints and query
     (whether any recording of the class is a query). Integers that stay for
-    several frames are counted once, where they begin. Queries meet all rows
+    several frames are counted once, where they begin, unless a recording has
+    fewer than `votes` beginnings: then equal frames count. Queries meet all rows
     in blocks of about `block` integers, where they lie, so that no vote is
     shuffled and a common integer is no hot key.
     """

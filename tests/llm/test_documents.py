@@ -144,6 +144,31 @@ def test_matches_in_blocks_equal_brute_force(spark, monkeypatch):
     assert {q for q, *_ in index.aligned(12, rows[12], 3, 0.05)} == {q for q, c, *_ in expected if (q, c) == (0, 12)}
 
 
+def test_every_offset_with_votes_is_tried(spark):
+    """Repeated motifs and held tones align where a count over all offsets says so."""
+    rng = np.random.default_rng(8)
+    motif, tail = rng.integers(0, 1 << 32, 6), rng.integers(0, 1 << 32, 20)
+    rows = {0: np.concatenate([motif, tail[:3]]), 1: np.concatenate([motif[:4], rng.integers(0, 1 << 32, 9), tail[:5], motif, tail[:3]])}
+    rows[2], rows[3] = np.concatenate([motif, tail[3:12], rng.integers(0, 1 << 32, 12)]), np.concatenate([tail[3:12], motif])
+    rows |= {4: np.full(30, 77), 5: np.full(29, 77), 6: np.repeat([5, 77], [2, 25]), 8: np.repeat([9, 77, 1 << 31], [4, 20, 3]), 7: np.repeat([1, 9, 77], [3, 10, 20])}
+    rows |= {k: rng.integers(0, 3, 25) * 0x55555555 for k in range(9, 20)}
+    expected = {}
+    for q in range(0, 20, 2):
+        for c in rows.keys() - {q}:
+            a, b = rows[q], rows[c]
+            few = min(len(audio.begins(a)), len(audio.begins(b))) < audio.VOTES
+            spots = [range(len(x)) if few else audio.begins(x).tolist() for x in (a, b)]
+            seen = Counter(j - i for i in spots[0] for j in spots[1] if a[i] == b[j])
+            good = [(n, -abs(o), o) for o, n in seen.items() if n >= audio.VOTES and audio.alignment(a, b, o) <= 0.25]
+            if good:
+                expected[q, c] = max(good)[2]
+    df = spark.createDataFrame([(k, v.tolist(), k % 2 == 0) for k, v in rows.items()], "class long, prints array<long>, query boolean")
+    got = audio.matches(df).collect()
+    assert {(r.asked, r["class"]): r.offset for r in got} == expected and len(got) == len(expected)
+    assert all(abs(r.error - audio.alignment(rows[r.asked], rows[r["class"]], r.offset)) < 1e-12 for r in got)
+    assert expected[4, 5] == 0 and expected[2, 3] == -6
+
+
 def test_awkward_tables(spark):
     df, none = awkward(spark), empty(spark)
     got = near_dedup.near_duplicates(df).toPandas()
