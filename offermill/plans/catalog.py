@@ -54,6 +54,13 @@ _FOLD = f"trim(regexp_replace(replace(translate(lower(text), '{text.FOLD_FROM}',
 TEXT_FOLD_SLUG = f"select doc_id, md5({_FOLD}) as folded_md5, regexp_replace(substring(replace({_FOLD}, ' ', '-'), 1, 140), '-+$', '') as slug from documents where lang = 'de'"
 
 
+def text_fold_slug_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document folded, whatever its language and script."""
+    folded = read(spark, sf_dir, "documents").select("doc_id", text.fold_any(F.col("text")).alias("folded"))
+    slug = F.regexp_replace(F.substring(F.replace("folded", F.lit(" "), F.lit("-")), 1, 140), "-+$", "")
+    return folded.select("doc_id", F.md5("folded").alias("folded_md5"), slug.alias("slug"))
+
+
 def gtin_check_digit(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.lpad((F.col("p_partkey") * 7919 + 4_000_000_000_000).cast("string"), 13, "0")
     return read(spark, sf_dir, "part").select("p_partkey", code.alias("code"), identity.gtin(code).alias("gtin"))
@@ -126,6 +133,39 @@ when exact then (case when oa = ob then 'exact_match' when oa then 'conventional
 when comparison or alike then 'similar_product' when same_group then 'same_group' else 'none' end as relation from j"""
 
 
+def relation_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All related pairs of products, whatever their type or place: they meet by the identity keys themselves."""
+    keys = ["gtin", "exact_key", "comparison_key", "similarity_key", "group"]
+    p = read(spark, sf_dir, "part").select(
+        "p_partkey", "p_type", "p_size", F.when(F.col("p_partkey") % 11 == 0, F.lit("4006381333931")).alias("gtin"),
+        F.concat_ws("|", "p_name", "p_size").alias("exact_key"), F.concat_ws("|", "p_type", "p_size").alias("comparison_key"),
+        F.col("p_name").alias("similarity_key"), F.col("p_brand").alias("group"), (F.col("p_size") % 2 == 0).alias("organic"),
+    )
+    a, b = p.alias("a"), p.alias("b")
+    same = lambda k: F.col(f"a.{k}") == F.col(f"b.{k}")
+    side = lambda s: {k: F.col(f"{s}.{k}") for k in [*keys, "organic"]}
+    fine = identity.compatible(F.col("a.p_type"), F.col("b.p_type"), [(F.col("a.p_size") % 5, F.col("b.p_size") % 5)])
+    out = None
+    for i, k in enumerate(keys):
+        meet = same(k) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
+        for earlier in keys[:i]:  # a pair counts at the first key that it shares
+            meet &= ~F.coalesce(same(earlier), F.lit(False))
+        part = a.join(b, meet).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), identity.relation(side("a"), side("b"), fine).alias("relation"))
+        out = part if out is None else out.unionByName(part)
+    return out.where("relation <> 'none'")
+
+
+RELATION_PAIRS_ALL = """
+with p as (select p_partkey, p_type, p_name, p_brand, p_size, p_partkey % 11 = 0 as coded, p_size % 2 = 0 as organic from part),
+j as (select a.p_partkey as a, b.p_partkey as b, a.coded and b.coded as same_code, a.organic as oa, b.organic as ob, a.p_type = b.p_type and a.p_size % 5 = b.p_size % 5 as fine, a.p_brand = b.p_brand as same_group,
+a.p_name = b.p_name and a.p_size = b.p_size as exact, a.p_type = b.p_type and a.p_size = b.p_size as comparison, a.p_name = b.p_name as alike from p a join p b on a.p_partkey < b.p_partkey),
+r as (select a, b, case when same_code then (case when oa = ob then 'exact_match' when oa then 'conventional_alternative' else 'organic_alternative' end)
+when not fine and same_group then 'same_group' when not fine then 'none'
+when exact then (case when oa = ob then 'exact_match' when oa then 'conventional_alternative' else 'organic_alternative' end)
+when comparison or alike then 'similar_product' when same_group then 'same_group' else 'none' end as relation from j)
+select a, b, relation from r where relation <> 'none'"""
+
+
 def bundle_type_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").groupBy("p_name").agg(F.count_distinct("p_type").alias("types"), F.count("*").alias("products")).where("types > 1")
 
@@ -205,6 +245,17 @@ with p as (select p_brand, max(case when p_partkey % 5 = 0 then 1 else 0 end) as
 select p_brand, case when o = 0 then 'new' when n = 0 then 'removed' else 'present' end as status from p"""
 
 
+def set_diff_brands_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands new, gone and present between even and odd sizes, which together are all sized products."""
+    sides = read(spark, sf_dir, "part").where("p_size is not null").groupBy("p_brand").agg(F.bool_or(F.col("p_size") % 2 == 0).alias("old"), F.bool_or(F.col("p_size") % 2 != 0).alias("new"))
+    return sides.select("p_brand", F.when(~F.col("old"), "new").when(~F.col("new"), "removed").otherwise("present").alias("status"))
+
+
+SET_DIFF_BRANDS_ALL = """
+with p as (select p_brand, count(*) filter (where p_size % 2 = 0) as o, count(*) filter (where p_size % 2 <> 0) as n from part where p_size is not null group by 1)
+select p_brand, case when o = 0 then 'new' when n = 0 then 'removed' else 'present' end as status from p"""
+
+
 def html_title_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and length of the visible words of every page, by the HTML parser of the sources."""
     from offermill.sources.html import page_parts
@@ -217,14 +268,17 @@ QUERIES = {
     "locale_number_parse": (locale_number_parse, LOCALE_NUMBER_PARSE),
     "rule_classify_first_match": (rule_classify_first_match, RULE_CLASSIFY_FIRST_MATCH),
     "text_fold_slug": (text_fold_slug, TEXT_FOLD_SLUG),
+    "text_fold_slug_all": (text_fold_slug_all, None),
     "gtin_check_digit": (gtin_check_digit, GTIN_CHECK_DIGIT),
     "staple_rule_match": (staple_rule_match, _staple_sql()),
     "relation_pair_kind": (relation_pair_kind, RELATION_PAIR_KIND),
+    "relation_pairs_all": (relation_pairs_all, RELATION_PAIRS_ALL),
     "bundle_type_conflicts": (bundle_type_conflicts, BUNDLE_TYPE_CONFLICTS),
     "search_rank_topk": (search_rank_topk, SEARCH_RANK_TOPK),
     "token_similarity_pairs": (token_similarity_pairs, TOKEN_SIMILARITY_PAIRS),
     "cluster_dedupe_exact": (cluster_dedupe_exact, None),
     "coverage_matrix": (coverage_matrix, COVERAGE_MATRIX),
     "set_diff_brands": (set_diff_brands, SET_DIFF_BRANDS),
+    "set_diff_brands_all": (set_diff_brands_all, SET_DIFF_BRANDS_ALL),
     "html_title_text": (html_title_text, None),
 }

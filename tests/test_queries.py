@@ -1,5 +1,9 @@
 """Every query with SQL against DuckDB; the others against plain Python."""
 
+import hashlib
+import re
+import unicodedata
+
 import pytest
 
 from offermill.plans import registry
@@ -26,6 +30,26 @@ def test_clusters_keep_every_record(spark):
     assert got["merged_from"].sum() == spark.read.parquet(f"{SF}/part.parquet").count()
 
 
+def test_all_documents_are_folded(spark):
+    want = {}
+    for i, t in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas().itertuples(index=False):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(x)).replace("ß", "ss")
+        folded = re.sub("[^A-Za-z0-9]+", " ", plain).strip()
+        want[i] = hashlib.md5(folded.encode()).hexdigest(), folded.replace(" ", "-")[:140].rstrip("-")
+    got = registry.queries()["text_fold_slug_all"](spark, SF).toPandas()
+    assert {r.doc_id: (r.folded_md5, r.slug) for r in got.itertuples()} == want and len(got) == len(want)
+
+
+def test_related_products_meet_across_shelves(spark):
+    """Equal article numbers and names are found far apart, also across types."""
+    got = registry.queries()["relation_pairs_all"](spark, SF).toPandas()
+    part = spark.read.parquet(f"{SF}/part.parquet").toPandas().set_index("p_partkey")
+    pairs = set(zip(got["a"], got["b"]))
+    coded = [k for k in sorted(part.index) if k % 11 == 0]
+    assert {(a, b) for a in coded for b in coded if a < b} <= pairs and len(pairs) == len(got)
+    assert (got["a"] // 50 != got["b"] // 50).any() and set(registry.queries()["set_diff_brands_all"](spark, SF).toPandas()["p_brand"]) == set(part["p_brand"])
+
+
 def test_pages_have_titles_and_blocks(spark):
     got = registry.queries()["html_title_text"](spark, SF).toPandas()
     assert len(got) == spark.read.parquet(f"{SF}/pages.parquet").count()
