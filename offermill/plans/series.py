@@ -86,6 +86,20 @@ select conv_id, turn, md5(string_agg(substring(text, 1, 20), chr(10)) over (part
 last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows between 10 preceding and current row) as user_turn from c"""
 
 
+def context_window_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of the nine rows before to the five after each row, in one order of all rows, and the nearest user turn."""
+    c, order = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), ["turn", "role", "text"]
+    out = lines.context(c, ["conv_id"], order, F.col("text"), 9, 5, "around")
+    out = lines.looked_back(out, ["conv_id"], order, F.col("role") == "user", F.col("turn"), 10, "user_turn")
+    return out.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"), F.md5("around").alias("around_md5"), "user_turn")
+
+
+CONTEXT_WINDOW_TURNS = """
+select conv_id, turn, role, md5(text) as text_md5, md5(coalesce(string_agg(text, chr(10)) over (w rows between 9 preceding and 5 following), '')) as around_md5,
+last_value(case when role = 'user' then turn end ignore nulls) over (w rows between 10 preceding and current row) as user_turn
+from conversations window w as (partition by conv_id order by turn nulls first, role nulls first, text nulls first)"""
+
+
 def log_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's signups with the next purchase before another signup."""
     e = read(spark, sf_dir, "events")
@@ -236,6 +250,14 @@ def json_tree_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JSON_TREE_EXTRACT = "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events"
 
+
+def json_tree_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products at any node of foreign JSON, by the recursive search."""
+    from offermill.sources.landed import json_products
+
+    return json_products(read(spark, sf_dir, "events"), "event_id", "props")
+
+
 QUERIES = {
     "price_events_islands": (price_events_islands, PRICE_EVENTS_ISLANDS),
     "price_events_extended": (price_events_extended, PRICE_EVENTS_ISLANDS),
@@ -255,4 +277,6 @@ QUERIES = {
     "spatial_nearest_box": (spatial_nearest_box, SPATIAL_NEAREST_BOX),
     "upsert_priority_union": (upsert_priority_union, UPSERT_PRIORITY_UNION),
     "json_tree_extract": (json_tree_extract, JSON_TREE_EXTRACT),
+    "json_tree_products": (json_tree_products, None),
+    "context_window_turns": (context_window_turns, CONTEXT_WINDOW_TURNS),
 }

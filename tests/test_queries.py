@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB; the others against plain Python."""
 
 import hashlib
+import json
 import re
 import unicodedata
 
@@ -50,6 +51,33 @@ def test_related_products_meet_across_shelves(spark):
     assert (got["a"] // 50 != got["b"] // 50).any() and set(registry.queries()["set_diff_brands_all"](spark, SF).toPandas()["p_brand"]) == set(part["p_brand"])
 
 
+def test_repeated_turns_and_long_texts_are_kept(spark, tmp_path):
+    """Rows that repeat a turn stay, and texts that differ only late or far away give other windows."""
+    rows = [(1, t, "user" if t % 2 else "bot", f"{'x' * 30} {t}") for t in range(1, 12)] + [(1, 5, "bot", "a second row"), (2, 1, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    ordered = sorted(r for r in rows if r[0] == 1)
+    want = [(t, role, hashlib.md5("\n".join(x[3] for x in ordered[max(0, i - 9) : i + 6]).encode()).hexdigest()) for i, (_, t, role, _) in enumerate(ordered)]
+    got = registry.queries()["context_window_turns"](spark, str(tmp_path)).collect()
+    assert sorted((r.turn, r.role, r.around_md5) for r in got if r.conv_id == 1) == sorted(want) and len(got) == len(rows)
+
+
+def test_products_at_any_node(spark, tmp_path):
+    trees = {1: {"k": 1}, 2: {"a": [{"name": "Milch", "price": 1}, {"b": {"title": "Brot", "offerPrice": "2", "c": [{"displayName": "Ei", "currentPrice": 0.5}]}}]}, 3: [[{"productName": "x", "price": "9"}]]}
+
+    def found(node):
+        if isinstance(node, list):
+            return [x for n in node for x in found(n)]
+        if not isinstance(node, dict):
+            return []
+        name, price = (next((node[k] for k in keys if k in node), None) for keys in (("name", "title", "productName", "displayName"), ("currentPrice", "offerPrice", "price")))
+        return ([(name, str(price))] if name and price is not None else []) + found(list(node.values()))
+
+    rows = [(i, json.dumps(t)) for i, t in trees.items()] + [(4, "{"), (5, None)]
+    spark.createDataFrame(rows, "event_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.queries()["json_tree_products"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, *x) for i, t in trees.items() for x in found(t)) and len(got) == 4
+
+
 def test_pages_have_titles_and_blocks(spark):
     got = registry.queries()["html_title_text"](spark, SF).toPandas()
     assert len(got) == spark.read.parquet(f"{SF}/pages.parquet").count()
