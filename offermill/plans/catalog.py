@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offermill.functions import identity, money, rules, text
 from offermill.operators import entity, staples
-from offermill.sources.tables import read
+from offermill.sources.tables import kept, read
 
 
 def size_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +204,10 @@ select a, b, round(similarity, 6) as similarity from s where similarity >= 0.5""
 
 
 def cluster_dedupe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products of one brand grown into clusters in order of their keys: equal sizes and alike names join."""
+    """Products of one brand grown into clusters in order of their keys: equal sizes and alike names join.
+
+    Only products that chains of alike ones link are grown together in a task.
+    """
 
     def blocks(r: dict) -> list:
         return [(r["p_size"], w) for w in r["p_name"].lower().split()]
@@ -214,10 +217,21 @@ def cluster_dedupe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
         return a["p_size"] == b["p_size"] and bool(x & y) and max(len(x & y) / len(x | y), 0.94 * len(x & y) / min(len(x), len(y))) >= 0.82
 
     def merge(a: dict, b: dict) -> dict:
-        return a | {"merged_from": a["merged_from"] + 1, "p_retailprice": min(a["p_retailprice"], b["p_retailprice"])}
-
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size", "p_retailprice").fillna("")
-    out = entity.greedy_clusters(p, "p_brand", ["p_partkey"], alike, merge, blocks, "p_partkey long, p_brand string, p_name string, p_size int, p_retailprice double, merged_from long")
+        return a | {"merged_from": a["merged_from"] + b["merged_from"], "p_retailprice": min(a["p_retailprice"], b["p_retailprice"])}
+
+    columns = ["p_partkey", "p_brand", "p_name", "p_size", "p_retailprice", "merged_from"]
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", "p_name", "p_size", "p_retailprice").fillna("")
+    p = p.withColumn("t", F.when(F.col("p_size").isNotNull(), text.tokens(F.regexp_replace(F.lower("p_name"), r"\s+", " "))))
+    # exact copies end in one cluster; products without words or size are like none
+    own = F.when(F.coalesce(F.size("t"), F.lit(0)) <= 0, F.col("p_partkey"))
+    same = p.groupBy("p_brand", "p_name", "p_size", own.alias("own")).agg(F.min("p_partkey").alias("p_partkey"), F.min("p_retailprice").alias("p_retailprice"), F.count("*").alias("merged_from"), F.first("t").alias("t"))
+    same = kept(same.withColumn("block", F.concat_ws("|", "p_brand", "p_size")))
+    pairs = kept(entity.similar_pairs(same, "p_partkey", "block", "t", 0.82).select("a", "b"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    parts = entity.linked_components(pairs, ids, kept).withColumnRenamed("id", "p_partkey")
+    rows = same.join(parts, "p_partkey", "left").select(*columns, "component")
+    grown = entity.greedy_clusters(rows.where("component is not null"), "component", ["p_partkey"], alike, merge, blocks, "p_partkey long, p_brand string, p_name string, p_size int, p_retailprice double, merged_from long, component long")
+    out = grown.unionByName(rows.where("component is null"))
     return out.select("p_partkey", "p_brand", "merged_from", F.round("p_retailprice", 2).alias("least_price"))
 
 

@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The frame, written below spark.checkpoint.dir (else a temporary folder: tests only) until the application ends, and read again."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='offermill-')}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/offermill-kept-{uuid.uuid4().hex}")
+    df.write.parquet(str(path))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(str(path))

@@ -2,11 +2,13 @@
 
 import hashlib
 import json
+import random
 import re
 import unicodedata
 
 import pytest
 
+from offermill.operators import entity
 from offermill.plans import registry
 from oracle import compare
 
@@ -78,6 +80,34 @@ def test_products_at_any_node(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted((i, *x) for i, t in trees.items() for x in found(t)) and len(got) == 4
 
 
+def test_clusters_of_a_hot_brand(spark, tmp_path, monkeypatch):
+    """Clusters are those of one pass over the brand, though no task grows all of it."""
+    rng = random.Random(4)
+    rows = [(i, "hot", " ".join(rng.sample("a b c d e f g h i j k l m n".split(), rng.choice((2, 6, 7, 8, 9)))), rng.randint(1, 4), float(rng.randint(1, 99))) for i in range(400)]
+    rows += [(400 + i, "hot", "same old name", 3, 5.0 + i) for i in range(50)] + [(500, "hot", None, 1, 1.0), (501, "hot", "", 1, 2.0), (502, "hot", "a b", None, 3.0), (503, "hot", "a b", None, 4.0)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    clusters, by_block = [], {}
+    for key, _, name, size, price in rows:
+        w = (name or "").split()
+        for k in (k for x in w for k in by_block.get((size, x), []) if size is not None):
+            o = clusters[k][3]
+            n = len(o & set(w))
+            if max(n / len(o | set(w)), 0.94 * n / min(len(o), len(set(w)))) >= 0.82:
+                clusters[k][1:3] = clusters[k][1] + 1, min(clusters[k][2], price)
+                break
+        else:
+            k = len(clusters)
+            clusters.append([key, 1, price, set(w)])
+        for x in [*w, *clusters[k][3]]:
+            if k not in by_block.setdefault((size, x), []):
+                by_block[size, x].append(k)
+    most, grow = [], entity.greedy_clusters
+    monkeypatch.setattr(entity, "greedy_clusters", lambda df, scope, *a: (most.append(df.groupBy(scope).count().agg({"count": "max"}).first()[0]), grow(df, scope, *a))[1])
+    got = registry.queries()["cluster_dedupe_exact"](spark, str(tmp_path)).collect()
+    assert sorted((r.p_partkey, r.merged_from, r.least_price) for r in got) == sorted(tuple(c[:3]) for c in clusters)
+    assert most[0] < len(rows) / 2
+
+
 def test_pages_have_titles_and_blocks(spark):
     got = registry.queries()["html_title_text"](spark, SF).toPandas()
     assert len(got) == spark.read.parquet(f"{SF}/pages.parquet").count()
