@@ -27,7 +27,7 @@ from offermill.llm.base import remainder, table, texts, written
 from offermill.llm.hashing import BLOCK_BYTES, U64, word_hashes
 
 #: Bytes of context; with the byte itself a key has DEPTH + 1 bytes.
-DEPTH = 4
+DEPTH = 6
 #: Bytes of text in a chunk, about.
 CHUNK_BYTES = 20 << 20
 #: Neither occurs in UTF-8: the byte around texts; and a key that stands for the end token.

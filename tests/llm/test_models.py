@@ -116,6 +116,14 @@ def test_scores_equal_a_plain_tree(spark):
         assert (got.loc[i, "n_tokens"], got.loc[i, "n_known"], got.loc[i, "train_tokens"]) == (len(tokens), sum(c[w] > 0 for w in tokens), n)
 
 
+def test_bytes_five_and_six_back_tell(spark):
+    """What follows is known only by a byte five, or six, places before it."""
+    for same in ("abcd", "abcde"):
+        rows = [(i, f"{'12'[i % 2]}{same}{'pq'[i % 2]}") for i in range(20)] + [(100, f"1{same}p"), (101, f"1{same}q")]
+        got = context_tree.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 100).toPandas().set_index("doc_id")["score"]
+        assert got[100] > got[101] + 0.5
+
+
 def test_predictions_add_up_to_one():
     keys = np.array([(97 << 8 * context_tree.DEPTH) | b for b in range(256)], np.int64)
     n = np.array([zlib.crc32(bytes([b])) % 5 for b in range(256)])
