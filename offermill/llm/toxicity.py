@@ -23,8 +23,6 @@ from offermill.llm.quality import sample_ids, sigmoid
 
 #: Labelled documents that weights are fitted on, at most: a bounded sample, by hash of the id.
 SAMPLE = 10_000
-#: Labelled documents in which features are counted, at most: likewise, and those of the sample among them.
-COUNTED = 40_000
 #: Features that the model has, at most: those that tell the labels apart best.
 MOST_FEATURES = 20_000
 #: Word scores that a task remembers.
@@ -147,16 +145,15 @@ class ToxicityModel(Sent):
         return self.bias + sum(map(self.known.__getitem__, words(text)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE, counted: int = COUNTED, most: int = MOST_FEATURES, **options) -> ToxicityModel:
-    """Features are chosen by counts over `counted` labelled rows where `training` holds, weights fitted on `sample` of these, at most.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE, most: int = MOST_FEATURES, **options) -> ToxicityModel:
+    """Features are chosen by counts over all labelled rows where `training` holds, weights fitted on `sample` of these, at most.
 
     `docs` has doc_id and text, `labels` doc_id and toxic. Null marks count as
     none; a document that is marked twice is toxic if any mark is 1.
     """
     marks = labels.where(training & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen_rows = F.broadcast(sample_ids(marks, counted).join(marks, "doc_id"))  # `counted` ids at most: texts stay where they are
-    marked = docs.where(training).join(chosen_rows, "doc_id")
-    totals = {r["toxic"]: r["count"] for r in sample_ids(marks, counted).join(marks, "doc_id").groupBy("toxic").count().collect()}
+    marked = docs.where(training).join(marks, "doc_id")
+    totals = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     t, o = max(1, totals.get(1, 0)), max(1, totals.get(0, 0))
     p = (F.col("in_toxic") + F.col("in_other")) / (t + o)
     z = (F.col("in_toxic") / t - F.col("in_other") / o) / F.sqrt(p * (1 - p) * (1 / t + 1 / o) + 1e-12)
@@ -164,14 +161,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, sample: i
     model = ToxicityModel([r["feature"] for r in chosen.collect()], **options)  # `most` rows at most
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    ids = F.broadcast(sample_ids(marks, sample))  # `sample` ids at most
+    ids = F.broadcast(sample_ids(marks, sample).join(marks, "doc_id"))  # `sample` ids at most: texts stay where they are
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [sent.value.row(text) for text in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "columns": [list(c) for c, _ in found], "counts": [list(c.values()) for c, _ in found], "names": [n for _, n in found]})
 
-    got = marked.select("doc_id", "text", "toxic").join(ids, "doc_id", "left_semi").mapInPandas(rows, "doc_id long, toxic int, columns array<int>, counts array<int>, names array<string>").orderBy("doc_id").toPandas()
+    got = docs.where(training).join(ids, "doc_id").select("doc_id", "text", "toxic").mapInPandas(rows, "doc_id long, toxic int, columns array<int>, counts array<int>, names array<string>").orderBy("doc_id").toPandas()
     return model.fit(list(got["columns"]), list(got["counts"]), list(got["names"]), got["toxic"].to_numpy(float))
 
 

@@ -59,6 +59,18 @@ def test_swaps_of_group_names_change_scores_less():
     assert toy(50.0).raw("you are scum") > 0
 
 
+def test_features_of_all_labelled_rows_count(spark, monkeypatch):
+    """More labelled rows than any sample has: a word of some of them is counted in each."""
+    n = 41_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "vile scum").otherwise("nice day").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    seen, count = [], toxicity.label_counts
+    monkeypatch.setattr(toxicity, "label_counts", lambda marked: (seen.append(marked.count()), count(marked))[1])
+    model = toxicity.fit_toxicity(docs, labels, F.lit(True))
+    model.start()
+    assert seen == [n] and model.raw("scum") > 0 > model.raw("nice")
+
+
 def sequential(training, text):
     """log2 of the tree's prediction of a text after training: every node by hand, float by float."""
     depth = context_tree.DEPTH
