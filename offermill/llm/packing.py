@@ -179,15 +179,19 @@ class Plan:
                     break
                 pair, shorter = self.best_pair(room, j)
                 if k >= pair:
-                    self.fix((j, k), 1)
+                    self.fix((j, k), self.repeats((j, k)))
                     continue
                 b = self.largest(room - k, (j, k))
                 if b and b >= shorter:
-                    self.fix((j, k, b), 1)
+                    self.fix((j, k, b), self.repeats((j, k, b)))
                     continue
                 break
         return self.sequences - before
 
+    def repeats(self, lengths: tuple[int, ...]) -> int:
+        """How often a set can be fixed for the same reasons: they change only where fewer than four pieces of a length are left."""
+        return max(1, min((self.left[n] - 4) // lengths.count(n) for n in lengths))
+
     def fix(self, lengths: tuple[int, ...], times: int) -> None:
         """The set, as often as its pieces allow; `times` at most."""
         times = min([times, *(self.left[n] // lengths.count(n) for n in lengths)])

@@ -144,6 +144,17 @@ def test_reduction_never_costs_a_sequence(lengths):
     assert fixed + fewest(rest, 20) == fewest(sorted(lengths, reverse=True), 20)
 
 
+def test_bins_are_bounded_by_lengths(monkeypatch):
+    """Where two pieces fit beside each and three do not, alike sets are one bin; packed as one at a time."""
+    counts = {n: 200 + n % 7 for n in range(1300, 1366)}
+    plan = packing.pack_lengths(counts, 4096)
+    assert len(plan.bins) < 12 * len(counts)
+    monkeypatch.setattr(packing.Plan, "repeats", lambda self, lengths: 1)
+    single = packing.pack_lengths(counts, 4096)
+    total = lambda p: sum((Counter({b: t}) for _, t, b in p.bins), Counter())
+    assert len(single.bins) > 3000 and total(plan) == total(single) and plan.sequences == single.sequences
+
+
 def check_packing(docs, got):
     for doc_id, rows in got.sort_values("piece").groupby("doc_id"):
         ids = [*WORD.encode(docs[doc_id], add_special_tokens=False).ids, 1]
