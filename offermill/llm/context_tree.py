@@ -8,9 +8,12 @@ than what its longer contexts say together (Willems, Shtarkov, Tjalkens 1995).
 The tree grows only where the training text has been: beyond a node that it
 never reached, the deepest one that it reached decides alone.
 
-How the work is dealt: texts go to chunks of a bounded number of bytes. Only
-each chunk's distinct words and byte strings are sent round, first to be
-counted over the whole corpus, then back with their counts and code lengths.
+How the work is dealt: first every task counts the words and byte strings of the
+training texts that it reads, and buckets of these (by the nearest context
+bytes) are added up. Then texts go to chunks of a bounded number of bytes, and
+each chunk asks the buckets for what its distinct words and strings are worth.
+Strings travel sorted and packed, about a byte each; buckets answer one request
+after another, so none is ever held with all that is asked of it.
 """
 
 from __future__ import annotations
@@ -20,21 +23,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offermill.llm.base import remainder, table, texts, written
-from offermill.llm.hashing import BLOCK_BYTES, U64, word_hashes
+from offermill.llm.hashing import BLOCK_BYTES, U64, mix, word_hashes
 
 #: Bytes of context; with the byte itself a key has DEPTH + 1 bytes.
 DEPTH = 6
 #: Bytes of text in a chunk, about.
-CHUNK_BYTES = 20 << 20
+CHUNK_BYTES = 16 << 20
 #: Neither occurs in UTF-8: the byte around texts; and a key that stands for the end token.
 EDGE, END_KEY = 0xFF, -1
 WORD, STRING = 0, 1
-#: Bytes whose contexts one task works out together (the nearest ones).
-NEAR = 2
+#: Strings that share so many nearest context bytes are in one bucket; nodes above are few enough for every task.
+NEAR = 3
+#: Buckets of each kind, at least and at most; and chunks that one copy of a bucket answers, about.
+BUCKETS, CHUNKS_OF_A_COPY = (64, 4096), 1024
 
 
 def byte_strings(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +65,18 @@ def byte_strings(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 _LOWER = bytes(b + 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of counts by key."""
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def joined_counts(a: Counts, b: Counts) -> Counts:
+    """Sums of two tables of sorted keys and their counts; quick where b is the smaller."""
+    if not len(a[0]) or not len(b[0]):
+        return b if len(b[0]) else a
+    at = np.searchsorted(a[0], b[0])
+    known = a[0][np.minimum(at, len(a[0]) - 1)] == b[0]
+    n = a[1].copy()
+    n[at[known]] += b[1][known]
+    return np.insert(a[0], at[~known], b[0][~known]), np.insert(n, at[~known], b[1][~known])
 
 
 def encoded(column: pd.Series) -> Iterator[list[bytes]]:
@@ -81,20 +93,114 @@ def encoded(column: pd.Series) -> Iterator[list[bytes]]:
         yield part
 
 
-def chunk_counts(rows: pd.DataFrame) -> pd.DataFrame:
-    """Each distinct word and byte string of a chunk with its occurrences in training texts."""
-    found: dict[int, list] = {WORD: [], STRING: []}
-    for train in (True, False):
-        for data in encoded(rows["text"][rows["train"] == train]):
-            for kind, keys in ((WORD, word_hashes(data)[0].astype(np.int64)), (STRING, byte_strings(data)[0].astype(np.int64))):
-                keys, n = np.unique(keys, return_counts=True)
-                found[kind].append((keys, n if train else np.zeros_like(n)))
-            if len(found[STRING]) > 12:
-                found = {k: [_tally(v)] for k, v in found.items()}
-    n_train = int(rows["train"].sum())
-    found[WORD].append((np.array([END_KEY]), np.array([n_train])))
-    out = [pd.DataFrame({"kind": np.int32(kind), "key": k, "n": n}) for kind in (WORD, STRING) for k, n in [_tally(found[kind])]]
-    return pd.concat(out, ignore_index=True).assign(chunk=rows["chunk"].iloc[0])[["chunk", "kind", "key", "n"]]
+class Tally:
+    """Occurrences of the distinct words and byte strings of texts."""
+
+    def __init__(self, kinds: tuple[int, ...] = (WORD, STRING)):
+        none = np.zeros(0, np.int64)
+        self.found: dict[int, Counts] = {k: (none, none) for k in kinds}
+        self.new: dict[int, list[np.ndarray]] = {k: [] for k in kinds}
+
+    def add(self, data: list[bytes]) -> None:
+        for kind, new in self.new.items():
+            new.append((word_hashes(data)[0] if kind == WORD else byte_strings(data)[0]).astype(np.int64))
+            if kind == WORD:
+                new.append(np.full(len(data), END_KEY))
+            if sum(map(len, new)) > 4 * BLOCK_BYTES:
+                self._join(kind)
+
+    def _join(self, kind: int) -> None:
+        if self.new[kind]:
+            self.found[kind] = joined_counts(self.found[kind], np.unique(np.concatenate(self.new[kind]), return_counts=True))
+            self.new[kind] = []
+
+    def tables(self) -> dict[int, Counts]:
+        """By kind: sorted keys and their occurrences."""
+        for kind in self.found:
+            self._join(kind)
+        return self.found
+
+
+_squeeze, _expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Eight-byte values, packed: all first bytes, then all second ones, and so on."""
+    return _squeeze.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(_expand.decompress(data), np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return packed(np.diff(keys, prepend=np.int64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return unpacked(data, np.int64).cumsum()
+
+
+def by_bucket(kind: int, keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its keys, in order."""
+    near = keys.astype(U64) >> U64(8 * (DEPTH + 1 - NEAR)) if kind == STRING else keys.astype(U64)
+    bucket = (mix(near) % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for i in np.flatnonzero(np.diff(cuts)):
+        yield int(i), order[cuts[i] : cuts[i + 1]]
+
+
+def counted(train: DataFrame, chunk_bytes: int, buckets: int) -> DataFrame:
+    """kind, bucket, keys and n: what each task found in the texts that it read, every `chunk_bytes`."""
+
+    def rows_of(tally: Tally) -> pd.DataFrame:
+        out = [(kind, i, packed_keys(keys[at]), packed(n[at])) for kind, (keys, n) in tally.tables().items() for i, at in by_bucket(kind, keys, buckets)]
+        return pd.DataFrame(out, columns=["kind", "bucket", "keys", "n"])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tally, size = Tally(), 0
+        for b in batches:
+            for data in encoded(b["text"]):
+                tally.add(data)
+                size += sum(map(len, data))
+                if size > chunk_bytes:
+                    yield rows_of(tally)
+                    tally, size = Tally(), 0
+        yield rows_of(tally)
+
+    return train.select("text").mapInPandas(count, "kind int, bucket int, keys binary, n binary")
+
+
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows of a bucket together, in order."""
+    return rows.repartition(*order[:3]).sortWithinPartitions(*order)
+
+
+def merged(counts: DataFrame) -> DataFrame:
+    """One row for each bucket: sorted keys, their occurrences in all, and the totals of both. Rows are added up as they come."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = sums = None
+
+        def row() -> pd.DataFrame:
+            keys, n = sums
+            return pd.DataFrame([(*now, packed_keys(keys), packed(n), int(n.sum()), len(keys))], columns=["kind", "bucket", "keys", "n", "total", "distinct"])
+
+        for b in batches:
+            for kind, bucket, keys, n in zip(b["kind"], b["bucket"], b["keys"], b["n"]):
+                part = unpacked_keys(keys), unpacked(n, np.int64)
+                if now == (kind, bucket):
+                    sums = joined_counts(sums, part)
+                    continue
+                if now is not None:
+                    yield row()
+                now, sums = (kind, bucket), part
+        if now is not None:
+            yield row()
+
+    return in_order(counts, "kind", "bucket").mapInPandas(merge, "kind int, bucket int, keys binary, n binary, total long, distinct long")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -106,101 +212,215 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
 
 
+#: log_gamma at n + 1/2 and at n + 1, for counts that most nodes have.
+_COUNTED = 1 << 16
+_HALVES, _WHOLES = log_gamma(np.arange(_COUNTED) + 0.5), log_gamma(np.arange(_COUNTED) + 1.0)
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """The Krichevsky-Trofimov probability of a sequence with so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+    both = zeros + ones
+    few = both < _COUNTED
+    z, o, n = (np.where(few, x, 0) for x in (zeros, ones, both))
+    out = _HALVES[z] + _HALVES[o] - _WHOLES[n]
+    if not few.all():
+        z, o, n = zeros[~few], ones[~few], both[~few]
+        out[~few] = log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(n + 1.0)
+    return out - math.log(math.pi)
 
 
 class Nodes:
-    """All nodes of one depth: sorted ids (context, then known bits with a leading one), counts and weights."""
+    """The nodes of one depth and one number of known bits that training reached: sorted ids (context, then known bits with a leading one), counts and weights."""
 
     def __init__(self, ids: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: Nodes | None = None, log_below: np.ndarray | None = None):
         """below: the nodes one byte deeper; or log_below: their logarithms, summed."""
         self.ids, self.zeros, self.ones = ids, zeros, ones
         own = log_kt(zeros, ones)
         if below is not None:
-            at = np.searchsorted(ids, below.ids >> 16 << 8 | below.ids & 255)
-            log_below = np.bincount(at, below.log_p, len(ids))
+            log_below = np.bincount(np.searchsorted(ids, above(below.ids)), below.log_p, len(ids))
         if log_below is None:
             self.log_p, self.weight = own, np.ones(len(ids))
         else:
             both = np.logaddexp(own, log_below)
             self.log_p, self.weight = both - math.log(2), np.exp(own - both)
 
-    def predict(self, at: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        return (np.where(bit, self.ones[at], self.zeros[at]) + 0.5) / (self.zeros[at] + self.ones[at] + 1.0)
+    def mixed(self, ids: np.ndarray, bit: np.ndarray, p: np.ndarray | None, seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Predictions of the bits here, given those one byte deeper (p, and which of these nodes were reached), and which are reached here."""
+        if not len(self.ids):
+            here = np.zeros(len(ids), bool)
+            return (np.full(len(ids), 0.5) if p is None else np.where(seen, p, 0.5)), here
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        here = self.ids[at] == ids
+        zeros, ones = self.zeros[at] * here, self.ones[at] * here
+        own = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1.0)
+        if p is not None:
+            w = self.weight[at]
+            own = np.where(seen, w * own + (1 - w) * p, own)
+        return own, here
 
 
-def node_ids(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 8): each key's nodes at a depth, and the bit that it adds to each."""
-    context, byte = keys >> 8 >> 8 * (DEPTH - depth), keys & 255
-    k = np.arange(8)
-    known = (1 << k) | (byte[:, None] >> (8 - k))
-    return context[:, None] << 8 | known, (byte[:, None] >> (7 - k)) & 1
+#: The nodes of a depth, by the number of known bits.
+Level = list[Nodes]
 
 
-def subtree(keys: np.ndarray, n: np.ndarray) -> tuple[dict[int, Nodes], np.ndarray]:
-    """Nodes of depths NEAR to DEPTH, and each key's prediction of its eight bits from depth NEAR down."""
-    levels: dict[int, Nodes] = {}
-    where: dict[int, np.ndarray] = {}
-    for depth in range(DEPTH, NEAR - 1, -1):
-        ids, bit = node_ids(keys, depth)
-        unique, at = np.unique(ids.ravel(), return_inverse=True)
-        weights = np.repeat(n, 8)
-        zeros, ones = (np.bincount(at, weights * (bit.ravel() == b), len(unique)) for b in (0, 1))
-        levels[depth], where[depth] = Nodes(unique, zeros, ones, levels.get(depth + 1)), at.reshape(ids.shape)
-    p = None
+def above(ids: np.ndarray) -> np.ndarray:
+    """The nodes, or strings, that those of some ids, one byte deeper, belong to."""
+    return ids >> 16 << 8 | ids & 255
+
+
+def shortened(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Keys with so many of their context bytes, the nearest ones."""
+    return keys >> 8 >> 8 * (DEPTH - depth) << 8 | keys & 255
+
+
+def node_ids(strings: np.ndarray, known_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each string's node after so many bits of its byte, and the bit that it adds to it."""
+    byte = strings & 255
+    return strings >> 8 << 8 | 1 << known_bits | byte >> 8 - known_bits, byte >> 7 - known_bits & 1
+
+
+def added_up(ids: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct ids of sorted ones, and the sums of values for each."""
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    return ids[first], *(np.add.reduceat(v, first) if len(ids) else v for v in values)
+
+
+def subtree(keys: np.ndarray, n: np.ndarray) -> dict[int, Level]:
+    """Nodes of depths NEAR to DEPTH that sorted strings with these occurrences (more than 0 each) make."""
+    levels: dict[int, Level] = {}
     for depth in range(DEPTH, NEAR - 1, -1):
-        nodes, at = levels[depth], where[depth]
-        own = nodes.predict(at, bit)
-        if p is None:
-            p = own
-        else:
-            w = nodes.weight[at]
-            p = np.where(seen_below, w * own + (1 - w) * p, own)
-        seen_below = (nodes.zeros + nodes.ones)[at] > 0
-    return levels, p
+        if depth < DEPTH:  # strings that are a byte shorter
+            keys = above(keys)
+            order = np.argsort(keys, kind="stable")
+            keys, n = added_up(keys[order], n[order])
+        level = []
+        for k in range(8):
+            ids, bit = node_ids(keys, k)
+            ids, ones, both = added_up(ids, n * bit, n)
+            level.append(Nodes(ids, both - ones, ones, levels[depth + 1][k] if depth < DEPTH else None))
+        levels[depth] = level
+    return levels
 
 
-def near_nodes(rows: pd.DataFrame) -> pd.DataFrame:
-    """The nodes of depth NEAR that training reached, with the logarithm of what they and all below make of it."""
-    top = subtree(rows["key"].to_numpy(), rows["n"].to_numpy())[0][NEAR]
-    seen = top.zeros + top.ones > 0
-    return pd.DataFrame({"parent": top.ids[seen] >> 16, "known": top.ids[seen] & 255, "zeros": top.zeros[seen], "ones": top.ones[seen], "log_p": top.log_p[seen]})
+def near_nodes(buckets: DataFrame) -> DataFrame:
+    """parent, known, zeros, ones, log_p: nodes of depth NEAR, by the node above, summed for each bucket."""
 
+    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for keys, n in zip(b["keys"], b["n"]):
+                top = subtree(unpacked_keys(keys), unpacked(n, np.int64))[NEAR]
+                rows = pd.concat([pd.DataFrame({"parent": x.ids >> 16, "known": x.ids & 255, "zeros": x.zeros, "ones": x.ones, "log_p": x.log_p}) for x in top])
+                yield rows.groupby(["parent", "known"], as_index=False).sum()
 
-def parent_nodes(rows: pd.DataFrame) -> pd.DataFrame:
-    """One depth up: the nodes of a context from those of its at most 256 longer ones."""
-    g = rows.groupby("known")[["zeros", "ones", "log_p"]].sum().reset_index()
-    nodes = Nodes(g["known"].to_numpy(), g["zeros"].to_numpy(), g["ones"].to_numpy(), log_below=g["log_p"].to_numpy())
-    context = rows["parent"].iloc[0]
-    return pd.DataFrame({"context": context, "parent": context >> 8, "known": g["known"], "zeros": g["zeros"], "ones": g["ones"], "weight": nodes.weight, "log_p": nodes.log_p})
+    return buckets.mapInPandas(nodes, "parent long, known long, zeros long, ones long, log_p double")
 
 
 class Upper:
-    """Estimates and weights of depths 0 and 1: at most 257 * 255 nodes."""
-
-    def __init__(self, first: pd.DataFrame):
-        shape = (257, 256)
-        self.zeros, self.ones, self.weight = np.zeros(shape), np.zeros(shape), np.ones(shape)
-        tables = [(first, first["context"].to_numpy(np.int64))]
-        if len(first):
-            root = parent_nodes(first.assign(parent=0))
-            tables.append((root, np.full(len(root), 256)))
-        for t, row in tables:
-            at = row, t["known"].to_numpy(np.int64)
-            self.zeros[at], self.ones[at], self.weight[at] = t["zeros"], t["ones"], t["weight"]
-
-    def mixed(self, keys: np.ndarray, p: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """Predictions from depth NEAR, if training reached it, and the estimates above."""
-        ids, bit = node_ids(keys, 0)
-        known = ids & 255
-        for row in (keys >> 8 * DEPTH)[:, None], np.full((len(keys), 1), 256):
-            zeros, ones, w = self.zeros[row, known], self.ones[row, known], self.weight[row, known]
-            own = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1.0)
-            p = np.where(seen, w * own + (1 - w) * p, own)
-            seen = zeros + ones > 0
-        return p
+    """Nodes of depths 0 to NEAR - 1: less than 65,536 * 255, that many only where every two bytes come before every other one."""
+
+    def __init__(self, last: pd.DataFrame):
+        """last: nodes of depth NEAR - 1, with the logarithms below them summed."""
+        rows = last.assign(id=last["parent"].to_numpy(np.int64) << 8 | last["known"].to_numpy(np.int64)).sort_values("id")
+        self.levels: dict[int, Level] = {depth: [] for depth in range(NEAR)}
+        for k in range(8):
+            own = rows[rows["known"].between(1 << k, (2 << k) - 1)]
+            ids, zeros, ones, log_below = (own[c].to_numpy() for c in ("id", "zeros", "ones", "log_p"))
+            below = Nodes(ids, zeros, ones, log_below=log_below)
+            self.levels[NEAR - 1].append(below)
+            for depth in range(NEAR - 2, -1, -1):
+                ids = above(below.ids)
+                order = np.argsort(ids, kind="stable")
+                below = Nodes(*added_up(ids[order], below.zeros[order], below.ones[order]), below)
+                self.levels[depth].append(below)
+
+
+def predictions(levels: dict[int, Level], keys: np.ndarray) -> np.ndarray:
+    """(n, 8): the probability of each bit of the keys' bytes, by the nodes of the depths given, mixed from the deepest up."""
+    out = np.empty((len(keys), 8))
+    strings = {depth: shortened(keys, depth) for depth in sorted(levels, reverse=True)}
+    for k in range(8):
+        p = seen = None
+        for depth, own in strings.items():
+            p, seen = levels[depth][k].mixed(*node_ids(own, k), p, seen)
+        out[:, k] = p
+    return out
+
+
+def log10_predictions(levels: dict[int, Level], keys: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each key's byte, worked out for so many keys at once that tables stay small."""
+    parts = [np.log10(predictions(levels, keys[i : i + 200_000])).sum(1) for i in range(0, len(keys), 200_000)]
+    return np.concatenate([*parts, np.zeros(0)])
+
+
+class Worth:
+    """The values of a chunk's distinct keys, looked up for a block of keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        spread = mix(keys.astype(U64))  # one to one
+        order = np.argsort(spread)
+        self.spread, self.values = spread[order], values[order]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Sorts hashes with places in their low bits; where high bits alone don't tell the table's keys apart, looks each key up."""
+        bits = U64(max(1, len(keys).bit_length()))
+        high = self.spread >> bits
+        spread = mix(keys.astype(U64))
+        if (high[1:] == high[:-1]).any():
+            return self.values[np.searchsorted(self.spread, spread)]
+        spread = spread >> bits << bits | np.arange(len(keys), dtype=U64)
+        spread.sort()
+        place = (spread & ((U64(1) << bits) - U64(1))).astype(np.int64)
+        spread >>= bits
+        first = np.flatnonzero(np.concatenate([[True], spread[1:] != spread[:-1]]))
+        out = np.empty(len(keys))
+        out[place] = np.repeat(self.values[np.searchsorted(high, spread[first])], np.diff(np.append(first, len(keys))))
+        return out
+
+
+class Answers:
+    """What a bucket's keys are worth: occurrences of words, code lengths of strings."""
+
+    def __init__(self, kind: int, keys: np.ndarray, n: np.ndarray, upper: Upper):
+        self.kind, self.keys, self.upper = kind, keys, upper
+        if kind == WORD:
+            self.values = n.astype(float)
+        else:
+            self.levels = subtree(keys, n) | upper.levels
+            self.values = log10_predictions(self.levels, keys)
+
+    def of(self, asked: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, asked), max(0, len(self.keys) - 1))
+        known = self.keys[at] == asked if len(self.keys) else np.zeros(len(asked), bool)
+        out = np.zeros(len(asked))
+        out[known] = self.values[at[known]]
+        if self.kind == STRING and not known.all():
+            out[~known] = log10_predictions(self.levels, asked[~known])
+        return out
+
+
+def answered(buckets: DataFrame, requests: DataFrame, copies: int, upper) -> DataFrame:
+    """chunk, kind, bucket, keys and packed values of requests (chunk, kind, bucket, keys), by the merged buckets.
+
+    Keys are sent back for strings, which are many and pack well; words are read again.
+    A bucket comes before what is asked of it; it goes to `copies` tasks, between which its requests are dealt.
+    """
+    sources = buckets.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select("kind", "bucket", "copy", F.lit(-1).alias("chunk"), "keys", "n")
+    asked = requests.select("kind", "bucket", (F.col("chunk") % copies).alias("copy"), "chunk", "keys", F.lit(None).cast("binary").alias("n"))
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, answers = None, None
+        for b in batches:
+            out = []
+            for kind, bucket, chunk, keys, n in zip(b["kind"], b["bucket"], b["chunk"], b["keys"], b["n"]):
+                if chunk < 0:
+                    now, answers = (kind, bucket), Answers(kind, unpacked_keys(keys), unpacked(n, np.int64), upper.value)
+                    continue
+                if now != (kind, bucket):  # no training text has anything of it
+                    now, answers = (kind, bucket), Answers(kind, np.zeros(0, np.int64), np.zeros(0, np.int64), upper.value)
+                out.append((chunk, kind, bucket, keys if kind == STRING else None, packed(answers.of(unpacked_keys(keys)))))
+            yield pd.DataFrame(out, columns=["chunk", "kind", "bucket", "keys", "values"])
+
+    return in_order(sources.unionByName(asked), "kind", "bucket", "copy", "chunk").mapInPandas(answer, "chunk int, kind int, bucket int, keys binary, values binary")
 
 
 def scored(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,64 +437,57 @@ def scored(docs: DataFrame, train: Column, chunk_bytes: int = CHUNK_BYTES, id_co
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col).withColumn("train", F.coalesce(train, F.lit(False)))
     size = rows.agg(F.sum(F.octet_length("text").cast("long") + 1).alias("n")).first()["n"] or 1
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, math.ceil(size / chunk_bytes)))).cast("int")
-    rows = rows.withColumn("chunk", chunk)
-
-    counts = rows.groupBy("chunk").applyInPandas(chunk_counts, "chunk int, kind int, key long, n long")
-    by_key = Window.partitionBy("kind", "key")
-    known = written(
-        counts.withColumn("c", F.sum("n").over(by_key)).withColumn("first", F.row_number().over(by_key.orderBy("chunk")) == 1).select("chunk", "kind", "key", "c", "first"),
-        "counts",
-    )
-    total = known.where(f"kind = {WORD} and first").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    chunks = max(1, math.ceil(size / chunk_bytes))
+    buckets = min(BUCKETS[1], max(BUCKETS[0], 4 * chunks))
+
+    known = written(merged(counted(rows.where("train"), chunk_bytes, buckets)), "counts")
+    total = known.where(f"kind = {WORD}").agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     n, v = total["n"] or 0, total["v"] or 0
+    last = near_nodes(known.where(f"kind = {STRING}")).groupBy("parent", "known").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "log_p")))
+    upper = spark.sparkContext.broadcast(Upper(last.toPandas()))
 
-    strings = known.where(f"kind = {STRING}")
-    distinct = strings.where("first").select("key", F.col("c").alias("n")).withColumn("near", F.shiftright("key", 8 * (DEPTH + 1 - NEAR)))
-    deep = distinct.groupBy("near").applyInPandas(near_nodes, "parent long, known long, zeros double, ones double, log_p double")
-    first = deep.groupBy("parent").applyInPandas(parent_nodes, "context long, parent long, known long, zeros double, ones double, weight double, log_p double")
-    upper = spark.sparkContext.broadcast(Upper(first.toPandas()))  # 256 contexts of 255 nodes at most
+    # by id and text, so that neither a null id nor one that repeats is a chunk of its own
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text").groupBy("chunk")
 
-    def code_lengths(group: pd.DataFrame) -> pd.DataFrame:
-        keys = group["key"].to_numpy()
-        levels, p = subtree(keys, group["n"].to_numpy())
-        top = levels[NEAR]
-        seen = (top.zeros + top.ones)[np.searchsorted(top.ids, node_ids(keys, NEAR)[0])] > 0
-        return pd.DataFrame({"key": keys, "value": np.log10(upper.value.mixed(keys, p, seen)).sum(1)})
+    def tables(rows: pd.DataFrame, *kinds: int) -> dict[int, Counts]:
+        tally = Tally(kinds)
+        for data in encoded(rows["text"]):
+            tally.add(data)
+        return tally.tables()
 
-    lengths = distinct.groupBy("near").applyInPandas(code_lengths, "key long, value double")
-    values = strings.join(lengths, "key").select("chunk", "kind", "key", "value").unionByName(known.where(f"kind = {WORD}").select("chunk", "kind", "key", F.col("c").cast("double").alias("value")))
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        chunk = rows["chunk"].iloc[0]
+        out = [(chunk, kind, i, packed_keys(keys[at])) for kind, (keys, _) in tables(rows, WORD, STRING).items() for i, at in by_bucket(kind, keys, buckets)]
+        return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "keys"])
 
     def score(rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        tables = {}
-        for kind in (WORD, STRING):
-            own = values[values["kind"] == kind]
-            keys = own["key"].to_numpy()
-            order = np.argsort(keys)
-            tables[kind] = keys[order], own["value"].to_numpy()[order]
-        count_of = lambda keys: tables[WORD][1][np.searchsorted(tables[WORD][0], keys)]
-        end = float(count_of(np.array([END_KEY]))[0]) if len(tables[WORD][0]) else 0.0
+        if not len(rows):
+            return pd.DataFrame({c: [] for c in ("doc_id", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
+        given = {(k, i): v for k, i, v in zip(values["kind"], values["bucket"], values["values"])}
+        counts = tables(rows, WORD)[WORD][0]
+        c = np.zeros(len(counts))
+        for i, at in by_bucket(WORD, counts, buckets):
+            c[at] = unpacked(given[WORD, i], np.float64)
+        strings = values[values["kind"] == STRING]
+        worth = {WORD: Worth(counts, c), STRING: Worth(*(np.concatenate(list(map(x, strings[y]))) for x, y in ((unpacked_keys, "keys"), (lambda v: unpacked(v, np.float64), "values"))))}
+        end = float(worth[WORD].of(np.array([END_KEY]))[0])
         out = []
         for data in encoded(rows["text"]):
             words, at = word_hashes(data)
-            c = count_of(words.astype(np.int64)) if len(words) else np.zeros(0)
+            c = worth[WORD].of(words.astype(np.int64)) if len(words) else np.zeros(0)
             logs = np.concatenate([[0.0], np.cumsum(np.log10(c + 0.5))])
             hits = np.concatenate([[0], np.cumsum(c > 0)])
             keys, begin = byte_strings(data)
-            bits = np.add.reduceat(tables[STRING][1][np.searchsorted(tables[STRING][0], keys.astype(np.int64))], begin[:-1])
+            bits = np.add.reduceat(worth[STRING].of(keys.astype(np.int64)), begin[:-1])
             tokens = np.diff(at) + 1
             base = logs[at[1:]] - logs[at[:-1]] + math.log10(end + 0.5) - tokens * math.log10(n + 0.5 * (v + 1))
             out.append(pd.DataFrame({"n_bytes": np.diff(begin) - 1, "n_tokens": tokens, "n_known": hits[at[1:]] - hits[at[:-1]] + (end > 0), "base_score": base, "score": bits}))
         got = pd.concat(out, ignore_index=True)
         return pd.DataFrame({"doc_id": rows["doc_id"].array, "n_bytes": got["n_bytes"], "n_tokens": got["n_tokens"], "n_known": got["n_known"], "train_tokens": n, "base_score": got["base_score"], "score": got["score"]})
 
-    def score_chunk(rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({c: [] for c in ("doc_id", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-        return score(rows, values)
-
-    sent = rows.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(values.groupBy("chunk"))
-    return sent.applyInPandas(score_chunk, "doc_id long, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = dealt.applyInPandas(ask, "chunk int, kind int, bucket int, keys binary")
+    replies = answered(known, asked, -(-chunks // CHUNKS_OF_A_COPY), upper)
+    return dealt.cogroup(replies.groupBy("chunk")).applyInPandas(score, "doc_id long, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
