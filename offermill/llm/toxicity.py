@@ -3,7 +3,10 @@
 A linear model over words and their beginnings and ends. Besides fitting the
 labels it is punished for every change of score that comes from swapping a
 group's name for another's in a labelled sentence, so that a group's mention
-alone says nothing (Garg et al. 2019, "counterfactual logit pairing").
+alone says nothing (Garg et al. 2019, "counterfactual logit pairing"). A
+sentence that names no group has a name put to its end first: names share
+beginnings and ends with words that the labels make suspicious, whether or not
+any labelled sentence names them.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from offermill.llm.quality import sample_ids, sigmoid
 SAMPLE = 10_000
 #: Features that the model has, at most: those that tell the labels apart best.
 MOST_FEATURES = 20_000
+#: Labelled rows that are sent to where the texts lie, at most (16 bytes each); beyond, texts and labels are shuffled to meet.
+MOST_SENT = 2_000_000
 #: Word scores that a task remembers.
 REMEMBERED = 250_000
 #: Names of groups, by sets within which they are swapped.
@@ -47,6 +52,21 @@ def words(text: str) -> set[str]:
     return set(_WORD(text.lower()))
 
 
+def swaps(found: list[str]) -> Iterator[tuple[str, str | None]]:
+    """All swaps of a name in a text for another of its set: (name, other), other None where the text has that one too."""
+    for a in found:
+        for b in IDENTITY_TERMS[_SET_OF[a]]:
+            if b != a:
+                yield a, None if b in found else b
+
+
+def put_in(text: str) -> str:
+    """The name that a text without any has put to its end: by its hash, of all sets alike."""
+    at = zlib.crc32(text.encode())
+    terms = IDENTITY_TERMS[at % len(IDENTITY_TERMS)]
+    return terms[at // len(IDENTITY_TERMS) % len(terms)]
+
+
 def features_of(word: str) -> list[int]:
     """Hashes of the word, of its first 3 to 6 letters and of its last 4, where it has more."""
     parts = [f"={word}", *(f"^{word[:k]}" for k in (3, 4, 5, 6) if len(word) > k)]
@@ -87,19 +107,38 @@ class ToxicityModel(Sent):
         return [self.index[f] for f in features_of(word) if f in self.index]
 
     def row(self, text: str) -> tuple[dict[int, int], list[str]]:
-        """The text's features with the number of words that have them, and the group names in it."""
+        """The text's features with the number of words that have them, and the group names in it, or the one put in."""
         found = words(text)
-        return Counter(i for w in found for i in self.columns(w)), sorted(found & _SET_OF.keys())
+        return Counter(i for w in found for i in self.columns(w)), sorted(found & _SET_OF.keys()) or [put_in(text)]
+
+    def swap_table(self, names: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What swaps change: for each kind of swap the weights that come in (1) and go out (-1), and its share of all swaps.
+
+        A swap changes the raw score by the weights of the name that comes in
+        less those of the one that goes, or by the latter alone where the text
+        has the other name already; whatever else is in the text. So a kind
+        counts as often as sentences have it.
+        """
+        kinds = Counter(k for found in names for k in swaps(found))
+        total = sum(kinds.values())
+        pairs = [(self.columns(a), self.columns(b) if b else [], k / total) for (a, b), k in kinds.items()]
+        at = np.array([p for p, (x, y, _) in enumerate(pairs) for _ in (*x, *y)], np.int64)
+        column = np.array([i for x, y, _ in pairs for i in (*x, *y)], np.int64)
+        sign = np.array([v for x, y, _ in pairs for v in (*[-1.0] * len(x), *[1.0] * len(y))])
+        return at, column, sign, np.array([k for *_, k in pairs])
+
+    def penalty(self, names: list[list[str]]) -> float:
+        """The mean square of what swaps change."""
+        at, column, sign, share = self.swap_table(names)
+        return float((share * np.bincount(at, sign * self.weights[column], len(share)) ** 2).sum())
 
     def fit(self, columns: list[np.ndarray], counts: list[np.ndarray], names: list[list[str]], toxic: np.ndarray) -> ToxicityModel:
         """Logistic loss + decay + swap_strength times the mean square of what swaps change.
 
         Of each row: its features and the number of words that have them, the
-        group names in it, and its label. A swap of name a for b in a sentence
-        changes the raw score by the weights of b less those of a, whatever
-        the sentence; so the penalty counts each pair of names as often as
-        labelled sentences swap them. Without rows of both kinds the model
-        says the same of everything: toxic only if all labels do.
+        group names in it (or put in), and its label. Without rows of both
+        kinds the model says the same of everything: toxic only if all labels
+        do.
         """
         n = len(toxic)
         if not n or toxic.min() == toxic.max():
@@ -107,18 +146,7 @@ class ToxicityModel(Sent):
             return self
         at = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in columns])
         columns, values = np.concatenate(columns).astype(np.int32), np.concatenate(counts).astype(np.float32)
-        swaps: Counter = Counter()
-        for found in names:
-            for a in found:
-                for b in IDENTITY_TERMS[_SET_OF[a]]:
-                    if a != b:
-                        swaps[a, b] += 1
-        total = sum(swaps.values())
-        pairs = [(self.columns(a), self.columns(b), k / total) for (a, b), k in swaps.items()]
-        s_at = np.array([p for p, (x, y, _) in enumerate(pairs) for _ in (*x, *y)], np.int64)
-        s_col = np.array([i for x, y, _ in pairs for i in (*x, *y)], np.int64)
-        s_val = np.array([v for x, y, _ in pairs for v in (*[-1.0] * len(x), *[1.0] * len(y))])
-        s_share = np.array([k for *_, k in pairs])
+        s_at, s_col, s_val, s_share = self.swap_table(names)
         # what few rows show is trusted less
         decay = self.decay * np.maximum(1.0, n / 50 / np.maximum(1, np.bincount(columns, minlength=len(self.index))))
         w, b = np.zeros(len(self.index)), float(np.log(toxic.mean() / (1 - toxic.mean())))
@@ -126,8 +154,8 @@ class ToxicityModel(Sent):
         for t in range(1, self.rounds + 1):
             off = sigmoid(b + np.bincount(at, values * w[columns], n)) - toxic
             g = np.bincount(columns, values * off[at], len(w)) / n + decay * w
-            if total:
-                change = np.bincount(s_at, s_val * w[s_col], len(pairs))
+            if len(s_share):
+                change = np.bincount(s_at, s_val * w[s_col], len(s_share))
                 g += 2 * self.swap_strength * np.bincount(s_col, s_val * (s_share * change)[s_at], len(w))
             gb = off.mean()
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -152,9 +180,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, sample: i
     none; a document that is marked twice is toxic if any mark is 1.
     """
     marks = labels.where(training & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marked = docs.where(training).join(marks, "doc_id")
     totals = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     t, o = max(1, totals.get(1, 0)), max(1, totals.get(0, 0))
+    marked = docs.where(training).join(F.broadcast(marks) if t + o <= MOST_SENT else marks.hint("merge"), "doc_id")
     p = (F.col("in_toxic") + F.col("in_other")) / (t + o)
     z = (F.col("in_toxic") / t - F.col("in_other") / o) / F.sqrt(p * (1 - p) * (1 / t + 1 / o) + 1e-12)
     chosen = label_counts(marked).withColumn("z", F.abs(z)).where("in_toxic + in_other >= 3 and z > 4.5").orderBy(F.desc("z"), "feature").limit(most)

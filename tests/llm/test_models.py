@@ -59,6 +59,45 @@ def test_swaps_of_group_names_change_scores_less():
     assert toy(50.0).raw("you are scum") > 0
 
 
+def test_penalty_is_the_mean_square_of_explicit_swaps():
+    """Names in the texts, two of one set in one text, and texts without names, which have one put in: by rewriting the texts."""
+    texts = ["muslims met on monday", "jews and muslims met jews", "old and young muslims", "nice day in town", "", "you are scum"]
+    model = toy(1.0)
+    model.weights = np.random.default_rng(0).normal(size=len(model.weights))
+    model.start()
+    squares = []
+    for t in texts:
+        if not toxicity.words(t) & toxicity._SET_OF.keys():
+            t = f"{t} {toxicity.put_in(t)}"
+        for a in toxicity.words(t) & toxicity._SET_OF.keys():
+            for b in toxicity.IDENTITY_TERMS[toxicity._SET_OF[a]]:
+                if a != b:
+                    swapped = " ".join(b if w == a else w for w in t.split())
+                    squares.append((model.raw(swapped) - model.raw(t)) ** 2)
+    assert abs(model.penalty([model.row(t)[1] for t in texts]) - np.mean(squares)) < 1e-9
+
+
+def test_neutral_mentions_are_no_false_positives(spark):
+    """At the default strength, through the operator: toxic sentences name one group, neutral ones of held-out ids name all."""
+    toxic = ["you are scum and muslims are scum", "vile muslims go away", "muslims are vermin and scum"]
+    clean = ["nice day in town", "christians met on monday", "the market opens at nine", "jews sang in the hall", "we had soup for lunch"]
+    neutral = [f"{g} {t}" for g in ("muslims", "christians", "jews", "hindus") for t in ("sang in the hall", "met on monday", "had soup for lunch")]
+    rows = [(i, toxic[i % 3], 1) for i in range(60)] + [(100 + i, clean[i % 5], 0) for i in range(200)]
+    held = [(1000 + i, t, 0) for i, t in enumerate(neutral)] + [(2000 + i, t, 1) for i, t in enumerate([*toxic, *(t.replace("muslims", "people") for t in toxic)])]
+    docs = spark.createDataFrame([r[:2] for r in rows + held], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+
+    def result(**options):
+        got = toxicity.toxicity(docs, labels, F.col("doc_id") < 1000, **options).toPandas().set_index("doc_id")["score"]
+        raw = np.log(got / (1 - got))
+        by_group = raw[[1000 + i for i in range(12)]].to_numpy().reshape(4, 3)
+        return np.ptp(by_group, axis=0).mean(), int((got[[1000 + i for i in range(12)]] >= 0.5).sum()), (got[[2000 + i for i in range(6)]] >= 0.5).mean()
+
+    gap, wrong, recall = result()
+    plain_gap, plain_wrong, plain_recall = result(swap_strength=0.0)
+    assert gap < 0.1 * plain_gap and wrong == 0 < plain_wrong and recall >= plain_recall >= 0.5
+
+
 def test_features_of_all_labelled_rows_count(spark, monkeypatch):
     """More labelled rows than any sample has: a word of some of them is counted in each."""
     n = 41_000
@@ -71,6 +110,15 @@ def test_features_of_all_labelled_rows_count(spark, monkeypatch):
     assert seen == [n] and model.raw("scum") > 0 > model.raw("nice")
 
 
+def test_labels_meet_texts_either_way(spark, monkeypatch):
+    """Sent to the texts or shuffled with them: the model is the same."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    sent = toxicity.fit_toxicity(docs, labels, F.lit(True))
+    monkeypatch.setattr(toxicity, "MOST_SENT", 0)
+    shuffled = toxicity.fit_toxicity(docs, labels, F.lit(True))
+    assert sent.index == shuffled.index and np.array_equal(sent.weights, shuffled.weights) and sent.bias == shuffled.bias != 0
+
+
 def sequential(training, text):
     """log2 of the tree's prediction of a text after training: every node by hand, float by float."""
     depth = context_tree.DEPTH
@@ -128,6 +176,33 @@ def test_scores_equal_a_plain_tree(spark):
         assert (got.loc[i, "n_tokens"], got.loc[i, "n_known"], got.loc[i, "train_tokens"]) == (len(tokens), sum(c[w] > 0 for w in tokens), n)
 
 
+def test_query_of_context_trees(spark, tmp_path):
+    """The registered query over a small table: folds, repeated and null ids, empty and null texts, by the plain tree and plain counts."""
+    rows = [(i, f"Part {i % 4} of the {'long ' * (i % 3)}story\n") for i in range(12)] + [(3, "another text with the id three"), (None, "no id"), (20, ""), (21, None), (22, "é 日本 of the")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(queries()["op9_context_tree"](spark, str(tmp_path)).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"]))
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, len((r[1] or "").encode())))
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
+    data = [(i, (t or "").lower().encode()) for i, t in rows]
+    training = [t for i, t in data if fold(i) != 1]
+    c = Counter(w for t in training for w in [*t.split(), None])
+    n, v = sum(c.values()), len(c)
+    assert len(got) == len(rows)
+    for (i, t), r in zip(data, got):
+        tokens = [*t.split(), None]
+        assert (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i, fold(i) == 1, len(tokens), sum(c[w] > 0 for w in tokens), n)
+        assert abs(r["base_score"] - sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)) < 1e-9
+        assert abs(r["score"] / math.log10(2) - sequential(training, t)) < 1e-6
+
+
+def test_packing_of_keys():
+    rng = np.random.default_rng(1)
+    for keys in (np.zeros(0, np.int64), np.array([-1]), np.unique(rng.integers(-(2**62), 2**62, 999)), np.array([-(2**63), 0, 2**63 - 1])):
+        assert (context_tree.unpacked_keys(context_tree.packed_keys(keys)) == keys).all()
+        places = sorted(p for _, at in context_tree.by_bucket(context_tree.WORD, keys, 7) for p in at)
+        assert places == list(range(len(keys)))
+
+
 def test_bytes_five_and_six_back_tell(spark):
     """What follows is known only by a byte five, or six, places before it."""
     for same in ("abcd", "abcde"):
@@ -139,7 +214,8 @@ def test_bytes_five_and_six_back_tell(spark):
 def test_predictions_add_up_to_one():
     keys = np.array([(97 << 8 * context_tree.DEPTH) | b for b in range(256)], np.int64)
     n = np.array([zlib.crc32(bytes([b])) % 5 for b in range(256)])
-    _, p = context_tree.subtree(keys, n)
+    keys, n = keys[n > 0], n[n > 0]
+    p = context_tree.predictions(context_tree.subtree(keys, n), np.array([(97 << 8 * context_tree.DEPTH) | b for b in range(256)], np.int64))
     assert abs(p.prod(1).sum() - 1) < 1e-9
 
 
