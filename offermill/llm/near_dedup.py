@@ -29,10 +29,10 @@ from offermill.llm.hashing import BLOCK_BYTES, U64, mix, shingle_sets, stream
 SIZE = 192
 #: A similar pair shares no band with this chance at most, for independent coordinates.
 MISSED = 1e-6
-#: Members of a bucket that one task compares with so many others at once; larger buckets are cut into such blocks.
-BLOCK = 1024
-#: Texts that a task holds as sets at once.
-ROWS = 500
+#: Members of a bucket that one task compares with so many others at once, and their shingles; larger buckets are cut into such blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Texts that a task holds as sets at once, and their characters; a longer one is taken alone.
+ROWS, ROWS_CHARS = 500, 8_000_000
 #: Rounds that join what is most alike: bands looked at (None: all).
 ROUNDS = (4, None)
 
@@ -77,7 +77,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
-    """doc_id, n, set_hash, bands, tags and bits of each document; documents with empty sets have n = 0.
+    """doc_id, text_hash, n, set_hash, bands, tags and bits of each document; documents with empty sets have n = 0.
 
     A band's tag is half of its hash; bits are two for each coordinate.
     """
@@ -85,8 +85,14 @@ def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                yield signed(batch.iloc[at : at + ROWS])
+            begin = size = 0
+            for i, t in enumerate(batch["text"]):
+                if i - begin == ROWS or (size and size + len(t) > ROWS_CHARS):
+                    yield signed(batch.iloc[begin:i])
+                    begin, size = i, 0
+                size += len(t)
+            if begin < len(batch):
+                yield signed(batch.iloc[begin:])
 
     def signed(b: pd.DataFrame) -> pd.DataFrame:
         sets = shingle_sets([t.encode() for t in b["text"]], width)
@@ -99,9 +105,9 @@ def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
             sums = [(mix(s).sum(dtype=U64), mix(s ^ U64(0x5BD1E995)).sum(dtype=U64)) for s in sets]
         packed = two[:, 0::4] | two[:, 1::4] << 2 | two[:, 2::4] << 4 | two[:, 3::4] << 6
         hashes = [f"{x:016x}{y:016x}" for x, y in sums]
-        return pd.DataFrame({"doc_id": b["doc_id"].array, "n": [len(s) for s in sets], "set_hash": hashes, "bands": list(bands), "tags": [t.tobytes() for t in bands.astype(np.uint32)], "bits": [p.tobytes() for p in packed]})
+        return pd.DataFrame({"doc_id": b["doc_id"].array, "text_hash": b["text_hash"].array, "n": [len(s) for s in sets], "set_hash": hashes, "bands": list(bands), "tags": [t.tobytes() for t in bands.astype(np.uint32)], "bits": [p.tobytes() for p in packed]})
 
-    return docs.mapInPandas(sign, "doc_id long, n long, set_hash string, bands array<long>, tags binary, bits binary")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(sign, "doc_id long, text_hash long, n long, set_hash string, bands array<long>, tags binary, bits binary")
 
 
 def _parts(sets: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
@@ -207,22 +213,23 @@ def in_buckets(batches: Iterator[pd.DataFrame], do) -> Iterator[pd.DataFrame]:
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
-    """id, band, key and members of every class in every bucket that holds more than one."""
-    keys = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    members = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    return keys.join(members, "key").select("id", "band", "key", "members")
+    """id, band and key of every class in every bucket that holds more than one, and the blocks that the bucket is cut into."""
+    keys = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
+    members = keys.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where("members > 1")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return keys.join(members, "key").select("id", "band", "key", blocks.alias("blocks"))
 
 
 def dealt(buckets: DataFrame, classes: DataFrame, components: DataFrame, bands: int | None) -> DataFrame:
     """Members of buckets that hold more than one component, with what Bucket reads.
 
-    A bucket of more than BLOCK members meets block by block: each row goes
-    to every pair of blocks that has its own.
+    A bucket of several blocks meets block by block: each row goes to every
+    pair of blocks that has its own.
     """
     own = buckets.where(F.col("band") < bands) if bands else buckets
     own = own.join(components, "id")
     mixed = own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    placed = own.join(mixed, "key", "left_semi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    placed = own.join(mixed, "key", "left_semi")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("id", "component", "band", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -310,13 +317,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
 
 def _similar(rows: pd.DataFrame, width: int, percent: int) -> list[tuple[int, int]]:
-    text = dict(zip(rows["a"], rows["text_a"])) | dict(zip(rows["b"], rows["text_b"]))
-    sets = dict(zip(text, shingle_sets([t.encode() for t in text.values()], width)))
-    good = []
-    for a, b in zip(rows["a"], rows["b"]):
-        if _linked(sets[a], sets[b], percent):
-            good.append((a, b))
-    return good
+    text = list(dict.fromkeys([*rows["text_a"], *rows["text_b"]]))
+    sets = dict(zip(text, shingle_sets([t.encode() for t in text], width)))
+    return [(a, b) for a, b, x, y in zip(rows["a"], rows["b"], rows["text_a"], rows["text_b"]) if _linked(sets[x], sets[y], percent)]
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -359,25 +362,36 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     `percent` or more; a component's id is the least doc_id in it, and that
     document is kept. A null, empty or wordless text has an empty set and is
     linked with nothing (a null id is its own, null component); shorter texts
-    are one shingle. Rows that repeat a doc_id count as one document if their
-    texts are alike, and each is returned. An empty table gives an empty one.
+    are one shingle. Rows that repeat a doc_id are one document, with the
+    links of all its texts; each row is returned with the size of its own
+    set. An empty table gives an empty one.
     """
     rows = texts(docs, id_col, text_col)
     similarity = percent / 100
     signed = written(signatures(rows, width, rows_of_band(similarity)), "signatures")
-    # classes of equal sets: all their values are equal but for the ids
+    # classes of equal sets: all their values are equal but for the ids and texts
     firsts = [F.first(c).alias(c) for c in ("n", "bits", "tags", "bands")]
-    classes = written(signed.where("n > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), *firsts), "classes")
-    first_rows = rows.groupBy("doc_id").agg(F.max("text").alias("text")) if _repeats(signed) else rows
-    buckets = written(shared_buckets(classes), "buckets")
+    least = F.min(F.struct(F.col("doc_id").alias("id"), "text_hash")).alias("least")
+    grouped = signed.where("n > 0 and doc_id is not null").groupBy("set_hash").agg(least, *firsts)
+    classes = written(grouped.select("set_hash", "least.*", "n", "bits", "tags", "bands"), "classes")
     components = written(classes.select("id", F.col("id").alias("component")).distinct(), "components")
+    texts_of = rows
+    if _repeats(signed):
+        # an id may stand for several classes: each has its own text, and all are one document
+        texts_of = written(class_texts(rows, classes), "texts")
+        own = signed.where("n > 0 and doc_id is not null").join(classes.select("set_hash", "id"), "set_hash").select("doc_id", "id").distinct()
+        first = own.groupBy("doc_id").agg(F.min("id").alias("a"))
+        links = written(own.join(first, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "links")
+        if not links.isEmpty():
+            components = joined(components, links)
+    buckets = written(shared_buckets(classes), "buckets")
     for bands in (*ROUNDS, 0):
         members = dealt(buckets, classes, components, bands or None)
         if bands == 0:
-            links = written(all_links(members, first_rows, similarity, width, percent), "links")
+            links = written(all_links(members, texts_of, similarity, width, percent), "links")
         else:
             pairs = written(most_alike(members, similarity), "pairs")
-            links = written(verified(pairs, _needed(first_rows, pairs), width, percent), "links")
+            links = written(verified(pairs, _needed(texts_of, pairs), width, percent), "links")
             forget(pairs)
         if not links.isEmpty():
             new = joined(components, links)
@@ -390,9 +404,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.coalesce(F.col("doc_id") == component, F.lit(True))).alias("kept"))
 
 
+def class_texts(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id and text of the document that stands for each class: one row a class, so that some ids have several."""
+    wanted = classes.select(F.col("id").alias("doc_id"), "text_hash").distinct()
+    found = rows.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"], "left_semi")
+    return found.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text")
+
+
 def _repeats(signed: DataFrame) -> bool:
     """Whether any doc_id occurs more than once."""
-    return not signed.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return not signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
 def _needed(docs: DataFrame, pairs: DataFrame) -> DataFrame:

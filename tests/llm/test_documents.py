@@ -64,6 +64,75 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert 1 < len(set(want.values())) < 220
 
 
+def repeated(seed):
+    """(doc_id, text) rows in which ids repeat with equal, alike and other texts."""
+    rng = random.Random(seed)
+    bases = [[f"{c}{i}" for i in range(60)] for c in "abcde"]
+    rows = []
+    for i in range(60):
+        words = rng.choice(bases).copy()
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        rows.append((rng.randrange(35), " ".join(words)))
+    return rows + rng.sample(rows, 5) + [(40, None), (40, "one two"), (41, "One\ttwo"), (None, "one two")]
+
+
+def groups_of_rows(rows, percent):
+    """Component of each id: an id is one document with the links of all its texts."""
+    texts = {k: t for k, (_, t) in enumerate(rows)}
+    same, sets = components(texts, percent)
+    root = {i: i for i, _ in rows if i is not None}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    of = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None and sets[k]:
+            of.setdefault(same[k], []).append(i)
+    for ids in of.values():
+        for a, b in zip(ids, ids[1:]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}, sets
+
+
+def test_repeated_ids_keep_the_links_of_all_their_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(5, a), (5, b), (9, b.replace("b79", "z")), (7, a.replace("a0 ", "z ")), (5, a)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).toPandas()
+    assert set(got["component_id"]) == {5} and len(got) == 5 and got["kept"].sum() == 3
+    for seed in (1, 2):
+        rows = repeated(seed)
+        want, sets = groups_of_rows(rows, 85)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).toPandas()
+        assert len(got) == len(rows)
+        assert all((np.isnan(r.doc_id) and np.isnan(r.component_id) and r.kept) or (r.component_id == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)) for r in got.itertuples())
+        assert Counter(got["n_shingles"]) == Counter(len(s) if rows[k][0] is not None else len(shingles(rows[k][1])) for k, s in sets.items())
+
+
+def test_similarity_at_the_threshold_links(spark):
+    """17 of 20 shingles in common are 85 %, and linked; 16 of 19 are less, and not."""
+    words = lambda p, n, own: " ".join([*(f"{p}{i}" for i in range(n)), *(f"{p}{own}{i}" for i in range(3))])
+    rows = [(1, words("a", 21, "")), (2, words("a", 21, "")[: -len(" a0 a1 a2")]), (3, words("b", 20, "")), (4, words("b", 20, "")[: -len(" b0 b1 b2")])]
+    sets = [shingles(t) for _, t in rows]
+    assert (len(sets[0] & sets[1]), len(sets[0] | sets[1])) == (17, 20) and (len(sets[2] & sets[3]), len(sets[2] | sets[3])) == (16, 19)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).toPandas()
+    assert dict(zip(got["doc_id"], got["component_id"])) == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_blocks_by_size(spark, monkeypatch):
+    """Buckets are cut by shingles too, and texts are taken alone where they are long: the groups stay the same."""
+    texts = {i: " ".join(f"w{j}" for j in range(i % 7, 300 + i % 7)) for i in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want, _ = components(texts, 85)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 500)
+    got = near_dedup.near_duplicates(df, percent=85).toPandas()
+    assert dict(zip(got["doc_id"], got["component_id"])) == want
+
+
 def test_sketches_estimate_similarity():
     sets = shingle_sets([" ".join(map(str, range(a, a + 400))).encode() for a in (0, 40, 200, 1000)])
     s = near_dedup.sketches(sets)
@@ -204,9 +273,23 @@ def test_pipeline_stages(spark):
             assert len(after) == len(before) and not after["text"].str.contains("AKIA[A-Z0-9]{16}").any()
 
 
+def test_pipeline_keeps_every_text_of_repeated_ids(spark):
+    rows = repeated(3)
+    df = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    want, _ = groups_of_rows(rows, 80)
+    got = corpus_pipeline.near_dedup_stage(spark, df, SF).collect()
+    expected = {(i, t) for i, t in rows if i is None or want[i] == i}
+    assert {(r["doc_id"], r["text"]) for r in got} == expected and len(got) == len(expected)
+    assert all(r["n_chars"] == min(k for k, row in enumerate(rows) if row == (r["doc_id"], r["text"])) for r in got)
+
+
 def test_pipeline_bears_awkward_tables(spark):
     df = awkward(spark).select("doc_id", "text", "lang", F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
     for table in (df, df.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
+            before = table.count()
             table = corpus_pipeline.written(stage(spark, table, SF), name)
-        assert table.count() >= 0
+            # filters keep rows or drop them; redaction keeps each; a document has one piece or more
+            assert table.count() <= before or name == "packing"
+            assert name != "secrets" or table.count() == before
+        assert table.select("doc_id").distinct().count() <= 9 and (before > 0) == (table.count() > 0)
