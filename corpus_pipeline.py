@@ -35,10 +35,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity of 0.8 or more. Documents without an id stay."""
-    kept = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One document of each near-duplicate group: five-word shingles, similarity of 0.8 or more.
+
+    Documents without an id stay. Of a document whose id repeats every
+    different text stays; of equal rows, or such as differ in other columns
+    only, the one whose other columns are least.
+    """
+    kept = near_duplicates(docs, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
+    rest = F.min(F.struct("lang", "source", "n_chars")).alias("rest")
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(rest).select("doc_id", "text", "rest.*")
+    return one.unionByName(docs.where("doc_id is null").select(*COLUMNS)).select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
