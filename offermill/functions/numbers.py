@@ -22,9 +22,11 @@ def without_outliers(a: Column, least: int = 5) -> Column:
     n = F.size(a)
     q1 = sorted_median(F.slice(a, F.lit(1), F.floor(n / 2).cast("int")))
     q3 = sorted_median(F.slice(a, (F.ceil(n / 2) + 1).cast("int"), F.floor(n / 2).cast("int")))
-    width = q3 - q1
-    kept = F.filter(a, lambda x: (x >= q1 - 1.5 * width) & (x <= q3 + 1.5 * width))
-    return F.when((n < least) | (width <= 0), a).otherwise(kept)
+    # an array of one, so that hinges are worked out once and not for every value
+    once = F.array(F.struct(a.alias("a"), q1.alias("q1"), q3.alias("q3")))
+    inside = lambda s: F.filter(s["a"], lambda x: (x >= s["q1"] - 1.5 * (s["q3"] - s["q1"])) & (x <= s["q3"] + 1.5 * (s["q3"] - s["q1"])))
+    kept = F.transform(once, lambda s: F.when((F.size(s["a"]) < least) | (s["q3"] - s["q1"] <= 0), s["a"]).otherwise(inside(s)))
+    return F.get(kept, F.lit(0))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -54,9 +56,13 @@ def monday_to_saturday(day: Column) -> tuple[Column, Column]:
 
 
 def flyer_range(label: Column, year: Column) -> tuple[Column, Column]:
-    """First and last day of a label such as "12.08. - 17.08."; a last day before the first is next year's."""
-    pattern = r"(\d{1,2})\.(\d{1,2})\.?\s*(?:-|–|bis)\s*(\d{1,2})\.(\d{1,2})\."
-    part = [F.regexp_extract(label, pattern, i).try_cast("int") for i in range(1, 5)]
-    first = F.try_to_date(F.concat_ws("-", year, part[1], part[0]), "y-M-d")
-    last = F.try_to_date(F.concat_ws("-", year, part[3], part[2]), "y-M-d")
-    return first, F.when(last < first, F.add_months(last, 12)).otherwise(last)
+    """First and last day of a label such as "12.08. - 17.08."; years of four digits count, else `year`.
+
+    A last day before the first that names no year is next year's.
+    """
+    pattern = r"(\d{1,2})\.(\d{1,2})\.?(\d{4})?\s*(?:-|–|bis)\s*(\d{1,2})\.(\d{1,2})\.(\d{4})?"
+    part = [F.regexp_extract(label, pattern, i).try_cast("int") for i in range(1, 7)]
+    own = F.coalesce(part[5], part[2], year)
+    first = F.try_to_date(F.concat_ws("-", F.coalesce(part[2], own), part[1], part[0]), "y-M-d")
+    last = F.try_to_date(F.concat_ws("-", own, part[4], part[3]), "y-M-d")
+    return first, F.when((last < first) & part[5].isNull(), F.add_months(last, 12)).otherwise(last)

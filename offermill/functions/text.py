@@ -75,10 +75,19 @@ def token_similarity(a: Column, b: Column, discount: float = 0.94) -> Column:
 
 
 def without_repeated_prefix(c: Column, least: int = 2, most: int = 8) -> Column:
-    """A text that begins with the same `least` to `most` words twice loses the first of the two."""
+    """A text that begins with the same `least` to `most` words twice loses the second of the two; the least such number counts."""
     words = F.split(c, " ")
     out = c
-    for k in range(least, most + 1):
+    for k in range(most, least - 1, -1):
         twice = (F.size(words) >= 2 * k) & (F.lower(F.array_join(F.slice(words, 1, k), " ")) == F.lower(F.array_join(F.slice(words, k + 1, k), " ")))
-        out = F.when(twice, F.array_join(F.slice(words, k + 1, 1000), " ")).otherwise(out)
+        rest = F.concat(F.slice(words, 1, k), F.slice(words, F.lit(2 * k + 1), F.greatest(F.size(words) - 2 * k, F.lit(0))))
+        out = F.when(twice, F.array_join(rest, " ")).otherwise(out)
     return out
+
+
+def without_repeated_half(c: Column, least: int = 4) -> Column:
+    """A text of `least` words or more whose second half repeats the first (an odd word at the end aside) is its first half."""
+    words = F.split(c, " ")
+    half = F.floor(F.size(words) / 2).cast("int")
+    first, second = F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, half), " ")
+    return F.when((F.size(words) >= least) & (F.lower(first) == F.lower(second)), first).otherwise(c)

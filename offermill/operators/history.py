@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offermill.functions.numbers import sorted_median, without_outliers
-
 MAX_GAP_DAYS = 8
 
 
@@ -64,6 +62,31 @@ def last_event(events: DataFrame, series: list[str], at: str, tie: str, columns:
     return events.groupBy(*series).agg(top).select(*series, "t.*")
 
 
+def typical_range(df: DataFrame, keys: list[str], value: Column, least: int = 5, carry: dict[str, Column] | None = None) -> DataFrame:
+    """keys, n, n_kept, median, low and high of each key's values without outliers; null values don't count.
+
+    Hinges are the medians of the lower floor(n/2) and the upper values from
+    ceil(n/2) on; values beyond 1.5 hinge ranges of them go, unless there are
+    fewer than `least` or the range is none. Ranks within one sort give all of
+    it: nothing of a key is held in memory, however many rows it has.
+    `carry` are expressions over the rows of a key that come along.
+    """
+    whole, ranked = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_last())
+    at = lambda place, v="_v": F.max(F.when(F.col("_i") == place, F.col(v)))
+    half = F.floor(F.col("n") / 2)
+    first = F.col("n") - half  # values before the upper half
+    rows = df.withColumn("_v", value)
+    rows = rows.select(*keys, "_v", *(c.over(whole).alias(name) for name, c in (carry or {}).items()), F.row_number().over(ranked).alias("_i"), F.count("_v").over(whole).alias("n"))
+    low, high = F.floor((half + 1) / 2), F.floor(half / 2) + 1
+    rows = rows.withColumns({"_q1": (at(low).over(whole) + at(high).over(whole)) / 2, "_q3": (at(first + low).over(whole) + at(first + high).over(whole)) / 2})
+    width = F.col("_q3") - F.col("_q1")
+    inside = (F.col("n") < least) | (width <= 0) | F.col("_v").between(F.col("_q1") - 1.5 * width, F.col("_q3") + 1.5 * width)
+    rows = rows.withColumn("_k", F.when(F.coalesce(inside, F.lit(False)), F.col("_v")))
+    rows = rows.withColumns({"_m": F.count("_k").over(whole), "_f": F.min(F.when(F.col("_k").isNotNull(), F.col("_i"))).over(whole)})
+    middle = (at(F.col("_f") + F.floor((F.col("_m") - 1) / 2), "_k") + at(F.col("_f") + F.floor(F.col("_m") / 2), "_k")) / 2
+    return rows.groupBy(*keys).agg(*(F.first(name).alias(name) for name in (carry or {})), F.first("n").alias("n"), F.count("_k").alias("n_kept"), middle.alias("median"), F.min("_k").alias("low"), F.max("_k").alias("high"))
+
+
 def rating(df: DataFrame, keys: list[str], value: Column, current: Column, recent: Column, least: int = 4) -> DataFrame:
     """n, typical, low, high, change_percent and status of the current price of each key.
 
@@ -72,11 +95,12 @@ def rating(df: DataFrame, keys: list[str], value: Column, current: Column, recen
     least is `low` unless all are alike, then hot (-15 % and below), good
     (-5 %), high (over 5 %) or normal against the median.
     """
-    grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(value > 0, value))).alias("_all"), F.array_sort(F.collect_list(F.when((value > 0) & recent, value))).alias("_new"), current.alias("current"))
-    used = F.when(F.size("_new") >= least, F.col("_new")).otherwise(F.col("_all"))
-    rows = grouped.withColumn("_used", without_outliers(used))
-    n = F.size("_used")
-    rows = rows.select(*keys, "current", n.cast("long").alias("n"), sorted_median(F.col("_used")).alias("typical"), F.array_min("_used").alias("low"), F.array_max("_used").alias("high"))
+    whole = Window.partitionBy(*keys)
+    good = value > 0
+    rows = df.withColumn("_fresh", F.count_if(good & recent).over(whole))
+    used = F.when(good & ((F.col("_fresh") < least) | recent), value)
+    rows = typical_range(rows, keys, used, carry={"current": current})
+    rows = rows.select(*keys, "current", F.col("n_kept").alias("n"), F.col("median").alias("typical"), "low", "high")
     change = (F.col("current") / F.col("typical") - 1) * 100
     status = (
         F.when(F.col("n") < least, "insufficient")

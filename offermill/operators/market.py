@@ -31,19 +31,28 @@ def prioritised(left: DataFrame, right: DataFrame, keys: list[str], on: list[str
     return joined.groupBy(*keys).agg(pick).select(*keys, *(F.col(f"_best.{f}").alias(f) for f in fields))
 
 
-def fan_out(offers: DataFrame, branches: DataFrame, store: str, address: str, market: str, regional: Column) -> DataFrame:
-    """Offers at their concrete branches: regional ones at all of the store's, others by address, else by market name.
-
-    Rows that match no branch are dropped; `unmatched` finds them.
-    `branches` has store, address and market; its columns come as branch_address and branch_market.
+def fan_out(offers: DataFrame, branches: DataFrame, store: str, address: str, market: str, regional: Column, order: list[str], allowed: Column) -> DataFrame:
+    """Offers at concrete branches: columns branch_address and branch_market.
+
+    A regional offer is at all branches of its store; any other at the first
+    branch (by `order`) of its address, else at the first of its market's
+    name, else where it says itself, if that is `allowed`; so is every offer
+    of a store without branches. What is left is dropped; `unmatched` finds it.
+    `branches` is a dimension; two lookups in it, each reduced to one row a
+    key before the join, take the place of ranking joined rows.
     """
-    b = branches.select(F.col(store), F.col(address).alias("branch_address"), F.col(market).alias("branch_market"))
-    same_address = F.col(address).isNotNull() & (F.col(address) == F.col("branch_address"))
-    same_market = F.col(market) == F.col("branch_market")
-    level = F.when(regional, 0).when(same_address, 1).when(same_market, 2)
-    joined = offers.withColumn("_row", F.monotonically_increasing_id()).join(b, store).withColumn("_level", level).where("_level is not null")
-    least = joined.groupBy("_row").agg(F.min("_level").alias("_level"))
-    return joined.join(least, ["_row", "_level"]).drop("_row", "_level")
+    b = branches.select(F.col(store).alias("_s"), F.col(address).alias("branch_address"), F.col(market).alias("branch_market"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
+    first = F.min_by(F.struct("branch_address", "branch_market"), F.struct(*(f"_o{i}" for i in range(len(order)))))
+    by_address = b.where("branch_address is not null").groupBy("_s", F.col("branch_address").alias("_a")).agg(first.alias("_at_address"))
+    by_market = b.where("branch_market is not null").groupBy("_s", F.col("branch_market").alias("_m")).agg(first.alias("_at_market"))
+    some = b.select("_s").distinct().withColumn("_any", F.lit(True))
+    rows = offers.withColumns({"_s": F.col(store), "_a": F.col(address), "_m": F.col(market), "_r": F.coalesce(regional, F.lit(False))}).join(some, "_s", "left")
+    everywhere = F.col("_r") & F.col("_any").isNotNull()
+    wide = rows.where(everywhere).join(b.select("_s", "branch_address", "branch_market"), "_s").drop("_s", "_a", "_m", "_r", "_any")
+    own = F.when(allowed, F.struct(F.col(address).alias("branch_address"), F.col(market).alias("branch_market")))
+    single = rows.where(~everywhere).join(by_address, ["_s", "_a"], "left").join(by_market, ["_s", "_m"], "left").withColumn("_b", F.coalesce("_at_address", "_at_market", own))
+    single = single.where("_b is not null").select(*offers.columns, "_b.branch_address", "_b.branch_market")
+    return wide.select(*offers.columns, "branch_address", "branch_market").unionByName(single)
 
 
 def unmatched(rows: DataFrame, dimension: DataFrame, on: list[str]) -> DataFrame:
@@ -57,8 +66,8 @@ def allowed_area(address: Column, market: Column, places: list[str]) -> Column:
     return F.coalesce(*(F.when(text.rlike(rf"(?iu)(?<!\p{{L}}){p}(?!\p{{L}})"), F.lit(p)) for p in places))
 
 
-def near_duplicates(places: DataFrame, id_col: str, group: str, lat: str, lon: str, within_km: float) -> DataFrame:
-    """(a, b, km) of places of one group within a distance, each pair once.
+def near_duplicates(places: DataFrame, id_col: str, group: str, lat: str, lon: str, within_km: float, address: str | None = None) -> DataFrame:
+    """(a, b, km) of places of one group within a distance, or of equal addresses wherever they lie, each pair once.
 
     Places meet only in a grid cell of the distance's size: each goes to its
     own cell and the right and left places to the nine around it.
@@ -73,7 +82,13 @@ def near_duplicates(places: DataFrame, id_col: str, group: str, lat: str, lon: s
     left = cells.withColumn("x", F.floor(F.col("lon") / width))
     r = right.select(F.col("id").alias("b"), "g", "x", "y", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b"))
-    return left.join(r, ["g", "x", "y"]).where(F.col("id") < F.col("b")).select(F.col("id").alias("a"), "b", km.alias("km")).where(F.col("km") < within_km)
+    close = left.join(r, ["g", "x", "y"]).where(F.col("id") < F.col("b")).select(F.col("id").alias("a"), "b", km.alias("km")).where(F.col("km") < within_km)
+    if address is None:
+        return close
+    p = places.select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.nullif(F.col(address), F.lit("")).alias("address"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+    q = p.select("g", "address", F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    named = p.join(q, ["g", "address"]).where(F.col("id") < F.col("b")).select(F.col("id").alias("a"), "b", km.alias("km"))
+    return close.unionByName(named.where(F.coalesce(F.col("km") >= within_km, F.lit(True))))
 
 
 def drop_guard(previous: DataFrame, current: DataFrame, store: str, n: str, least: int = 5, ratio: float = 0.7) -> DataFrame:
@@ -95,14 +110,17 @@ def guarded(previous: DataFrame, current: DataFrame, store: str, least: int = 5,
 def nearest_box(labels: DataFrame, boxes: DataFrame, page: str, most: float) -> DataFrame:
     """For each price box (id, page, x1, y1, x2, y2, page_width) the title block of its page that lies best above and beside it.
 
-    The score weighs the vertical gap and how far the block's centre is from
-    where a title is expected; the least wins if it is `most` or less.
+    The score weighs the vertical gap (from a block that ends above the price;
+    of others 0.45 times how far the centres are apart) and how far the
+    block's centre is from where a title is expected; the least wins if it is
+    `most` or less.
     """
     b = boxes.select(page, F.col("id").alias("block"), *(F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")))
     inside = F.col("b_y1").between(F.col("y1") - 225, F.col("y2") + 24) & F.col("b_x1").between(F.col("x1") - 230, F.least(F.col("page_width"), F.col("x2") + 25))
-    gap = F.greatest(F.lit(0.0), F.col("y1") - F.col("b_y2"))
+    centres = F.abs((F.col("b_y1") + F.col("b_y2")) / 2 - (F.col("y1") + F.col("y2")) / 2)
+    gap = F.when(F.col("b_y2") < F.col("y1"), F.col("y1") - F.col("b_y2")).otherwise(0.45 * centres)
     aside = F.abs((F.col("x1") + F.col("x2")) / 2 - 95 - (F.col("b_x1") + F.col("b_x2")) / 2)
-    value = 1.25 * gap + 0.38 * aside - F.when(F.col("b_x2") < F.col("x1") + 15, 18).otherwise(0)
+    value = 1.25 * gap + 0.38 * aside - F.when(F.col("b_x2") <= F.col("x1") + 15, 18).otherwise(0)
     found = labels.join(b, page).where(inside & (F.col("id") != F.col("block"))).withColumn("score", value)
     best = found.groupBy("id").agg(F.min(F.struct("score", "block")).alias("m"))
     return best.select("id", "m.block", "m.score").where(F.col("score") <= most)

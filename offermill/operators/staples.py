@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offermill.functions.text import has_all, has_any, has_term
@@ -13,53 +13,120 @@ from offermill.functions.text import has_all, has_any, has_term
 MOST_RULES = 10_000
 
 
+_TERMS = "array<string>"
+
+
+def _terms(name: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast(_TERMS))
+
+
 def matched(offers: DataFrame, rules: DataFrame) -> DataFrame:
     """Offers with every rule that accepts them, and the rule's score.
 
-    Offers have text (folded), brand, organic, offer and kind; rules have
-    rule, brand, excluded, required_all, required_any, required_groups (each
-    needs one of its terms), preferred, kinds, organic_required and
-    organic_preferred. A rule is broadcast; each offer is tried with each, in
-    place, without a shuffle.
+    Offers have folded text, brand, kind (what the product is, if that is
+    known), family (all that names its kind) and category, and organic and
+    offer. Rules have rule, brand, excluded, required_all, required_any,
+    required_groups (each needs one of its terms), preferred, kinds,
+    categories, exact, active, undefined, organic_required and
+    organic_preferred. Rules that are not active, or not defined yet, accept
+    nothing. A rule is broadcast; each offer is tried with each, in place,
+    without a shuffle.
     """
     n = rules.limit(MOST_RULES + 1).count()
     if n > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    r = rules.select("rule", *(F.col(c).alias(f"r_{c}") for c in rules.columns if c != "rule"))
+    live = rules.where(F.coalesce("active", F.lit(True)) & ~F.coalesce("undefined", F.lit(False)))
+    r = live.select("rule", *(F.col(c).alias(f"r_{c}") for c in rules.columns if c not in ("rule", "active", "undefined")))
     text, groups = F.col("text"), F.coalesce("r_required_groups", F.array().cast("array<array<string>>"))
-    kind_ok = F.col("kind").isNull() | (F.size(F.coalesce("r_kinds", F.array().cast("array<string>"))) == 0) | F.array_contains("r_kinds", F.col("kind"))
+    kind, family, category = (F.coalesce(c, F.lit("")) for c in ("kind", "family", "category"))
+    kinds, categories = _terms("r_kinds"), _terms("r_categories")
+    of_kind = (kind == "") | F.exists(kinds, lambda g: has_term(kind, g) | (kind == g))
+    of_family = F.exists(kinds, lambda g: has_term(family, g) | (family == g))
+    in_category = F.exists(categories, lambda t: has_term(category, t) | ((t != "") & (F.instr(category, t) > 0)))
+    flag = lambda c: F.coalesce(c, F.lit(False))
     brand_ok = F.col("r_brand").isNull() | (F.col("brand") == F.col("r_brand")) | has_term(text, F.col("r_brand"))
     ok = (
         ~has_any(text, F.col("r_excluded"))
-        & (~F.coalesce("r_organic_required", F.lit(False)) | F.col("organic"))
+        & (~flag("r_organic_required") | F.col("organic"))
         & F.coalesce(brand_ok, F.lit(False))
         & has_all(text, F.col("r_required_all"))
-        & ((F.size(F.coalesce("r_required_any", F.array().cast("array<string>"))) == 0) | has_any(text, F.col("r_required_any")))
-        & F.forall(groups, lambda g: has_any(text, g))
-        & kind_ok
+        & ((F.size(_terms("r_required_any")) == 0) | has_any(text, F.col("r_required_any")))
+        & F.forall(groups, lambda g: (F.size(g) == 0) | has_any(text, g))
+        & ((F.size(kinds) == 0) | (of_kind & (of_family | ~flag("r_exact") | (kind == ""))))
+        & ((F.size(categories) == 0) | in_category)
     )
-    count = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>")))
-    preferred = F.size(F.filter(F.coalesce("r_preferred", F.array().cast("array<string>")), lambda t: has_term(text, t)))
+    preferred = F.size(F.filter(_terms("r_preferred"), lambda t: has_term(text, t)))
     points = (
         F.when(F.col("r_brand").isNotNull(), 50).otherwise(0)
-        + F.when(F.array_contains(F.coalesce("r_kinds", F.array().cast("array<string>")), F.col("kind")), 30).otherwise(0)
-        + 8 * count("r_required_all")
+        + F.when(of_family, 30).otherwise(0)
+        + F.when(in_category, 15).otherwise(0)
+        + 8 * F.size(_terms("r_required_all"))
         + 10 * F.size(groups)
-        + F.when(count("r_required_any") > 0, 12).otherwise(0)
+        + F.when(F.size(_terms("r_required_any")) > 0, 12).otherwise(0)
         + 4 * preferred
-        + F.when(F.coalesce("r_organic_required", F.lit(False)) & F.col("organic"), 10).otherwise(0)
-        + F.when(F.coalesce("r_organic_preferred", F.lit(False)) & F.col("organic"), 6).otherwise(0)
+        + F.when(flag("r_organic_required") & F.col("organic"), 10).otherwise(0)
+        + F.when(flag("r_organic_preferred") & F.col("organic"), 6).otherwise(0)
         + F.when(F.col("offer"), 1).otherwise(0)
     )
-    return offers.join(F.broadcast(r), ok).withColumn("score", points).drop(*(c for c in r.columns if c != "rule"))
+    wanted = flag("r_organic_required") | flag("r_organic_preferred")
+    return offers.join(F.broadcast(r), ok).withColumns({"score": points, "organic_wanted": wanted}).drop(*(c for c in r.columns if c != "rule"))
+
+
+def chosen(found: DataFrame, id_col: str) -> DataFrame:
+    """For each rule of `found` (rule, score, organic_wanted, organic, store, price, unit): best, second, sellers, basis and conventional.
+
+    Where a rule wants organic goods and there are any, only these count. Unit
+    prices are compared if two or more are known, else prices; then the lower
+    price, the higher score and the lower id decide. The second is of another
+    store. `conventional` is the cheapest that is not organic, for rules that
+    want organic goods. Rows shrink to one of each rule and store before
+    anything is ranked.
+    """
+    w = Window.partitionBy("rule")
+    bio = F.bool_or("organic").over(w)
+    rows = found.withColumn("_pool", ~F.col("organic_wanted") | ~bio | F.col("organic"))
+    rows = rows.withColumn("_units", F.count(F.when(F.col("_pool") & (F.col("unit") > 0), 1)).over(w))
+    metric = F.when(F.col("_units") >= 2, F.when(F.col("unit") > 0, F.col("unit").cast("double"))).otherwise(F.col("price").cast("double"))
+    far = F.lit(float("inf"))
+    order = F.struct(F.coalesce(metric, far).alias("metric"), F.coalesce(F.col("price").cast("double"), far).alias("price"), (-F.col("score")).alias("less"), F.col(id_col).alias("id"))
+    usual = F.struct(F.coalesce(F.when(F.col("unit") > 0, F.col("unit").cast("double")), F.col("price").cast("double"), far).alias("metric"), F.col(id_col).alias("id"))
+    stores = rows.groupBy("rule", "store").agg(
+        F.min(F.when(F.col("_pool"), order)).alias("o"), F.max("_units").alias("units"),
+        F.min(F.when(F.col("organic_wanted") & ~F.col("organic"), usual)).alias("c"),
+    )
+    ranked = stores.withColumn("_place", F.when(F.col("o").isNotNull(), F.row_number().over(Window.partitionBy("rule").orderBy(F.col("o").asc_nulls_last(), "store"))))
+    place = lambda k: F.max(F.when(F.col("_place") == k, F.col("o.id")))
+    return ranked.groupBy("rule").agg(
+        place(1).alias("best"), place(2).alias("second"), F.count("_place").alias("sellers"),
+        F.when(F.max("units") >= 2, "unit").otherwise("pack").alias("basis"), F.min("c")["id"].alias("conventional"),
+    )
+
 
+#: What else counts in a search for butter; of each list the first pattern that a name holds.
+BUTTER_POINTS = (
+    (
+        ("butterkeks|buttermilch|butter chicken|lip butter|body butter|butter bronzer|buttercream|butter gemuse|buttergemuse|kakaobutter|sheabutter", -7000),
+        ("(^| )butter( |$)|markenbutter|sussrahmbutter|weidebutter|irische butter|mildgesauerte butter|fassbutter", 4200),
+    ),
+    (("streichbutter|krauterbutter", -350),),
+    (("butterschmalz", -900),),
+)
 
-def search_score(name: Column, family: Column, brand: Column, category: Column, query: str) -> Column:
-    """Relevance of folded columns to a folded query; rows of score 0 do not qualify."""
-    exact = F.when(name == query, 5000).when(name.startswith(query + " "), 2600).when(has_term(name, query), 2300).when(F.instr(name, query) > 0, 900).otherwise(0)
-    more = [F.when(F.instr(F.coalesce(c, F.lit("")), query) > 0, p).otherwise(0) for c, p in ((family, 500), (brand, 220), (category, 80))]
-    words = [F.when(has_term(name, t), 280).when(F.instr(name, t) > 0, 90).otherwise(0) for t in query.split()]
-    return reduce(lambda a, b: a + b, [exact, *more, *words])
+
+def search_score(name: Column, family: Column, brand: Column, category: Column, query: str, more: dict[str, tuple] | None = None) -> Column:
+    """Relevance of folded columns to a folded query; rows of score 0 or less do not qualify.
+
+    All that holds counts: a name that is the query, begins with it, has it as
+    whole words and has it anywhere adds up. `more` has further points for
+    certain queries (that of butter unless given).
+    """
+    points = [(5000, name == query), (2600, name.startswith(query + " ")), (2300, has_term(name, query)), (900, F.instr(name, query) > 0)]
+    points += [(p, F.instr(F.coalesce(c, F.lit("")), query) > 0) for c, p in ((family, 500), (brand, 220), (category, 80))]
+    parts = [F.when(c, p).otherwise(0) for p, c in points]
+    parts += [F.when(has_term(name, t), 280).when(F.instr(name, t) > 0, 90).otherwise(0) for t in query.split()]
+    for group in (more if more is not None else {"butter": BUTTER_POINTS}).get(query, ()):
+        parts.append(F.coalesce(*(F.when(name.rlike(pattern), p) for pattern, p in group), F.lit(0)))
+    return reduce(lambda a, b: a + b, parts)
 
 
 def smart_order(score: Column, organic: Column, offer: Column, saving: Column, unit: Column, tie: Column) -> list[Column]:

@@ -72,21 +72,32 @@ GTIN_CHECK_DIGIT = (
     + " as total from c) select p_partkey, code, case when total % 10 = 0 then code end as gtin from s"
 )
 
-#: Staple rules over product names.
+#: Staple rules over product names; what a rule does not say is empty.
 RULES = (
-    ("one", None, ["red"], [], ["almond", "blue", "green"], None, ["almond"]),
-    ("two", "Brand#1", [], [], ["antique", "aquamarine", "azure", "beige", "part"], None, []),
-    ("three", None, [], ["part"], [], [["1", "2", "3"], ["part", "item"]], ["part"]),
+    {"rule": "one", "excluded": ["red"], "required_any": ["almond", "blue", "green"], "preferred": ["almond"]},
+    {"rule": "two", "brand": "brand 1", "required_any": ["antique", "aquamarine", "azure", "beige", "part"], "organic_required": True},
+    {"rule": "three", "required_all": ["part"], "required_groups": [["1", "2", "3"], ["part", "item"], []], "preferred": ["part"]},
+    {"rule": "four", "kinds": ["brass", "plated tin"], "exact": True, "categories": ["econ", "small"]},
+    {"rule": "five", "kinds": ["steel"], "organic_preferred": True},
+    {"rule": "six", "required_any": ["part"], "active": False},
+    {"rule": "seven", "required_any": ["part"], "undefined": True},
 )
-RULE_SCHEMA = "rule string, brand string, excluded array<string>, required_all array<string>, required_any array<string>, required_groups array<array<string>>, preferred array<string>, kinds array<string>, organic_required boolean, organic_preferred boolean"
+RULE_SCHEMA = "rule string, brand string, excluded array<string>, required_all array<string>, required_any array<string>, required_groups array<array<string>>, preferred array<string>, kinds array<string>, categories array<string>, exact boolean, active boolean, undefined boolean, organic_required boolean, organic_preferred boolean"
 
 
 def staple_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(*r, [], False, True) for r in RULES], RULE_SCHEMA)
+    names = [c.split(" ")[0] for c in RULE_SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple(r.get(c) for c in names) for r in RULES], RULE_SCHEMA)
 
 
 def staple_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select("p_partkey", text.fold(F.concat_ws(" ", "p_name", "p_type")).alias("text"), F.substring("p_brand", 1, 7).alias("brand"), (F.col("p_size") % 2 == 0).alias("organic"), (F.col("p_partkey") % 4 == 0).alias("offer"), F.lit(None).cast("string").alias("kind"))
+    """Products as offers: a third has no kind of its own, and every kind is the last words of the type."""
+    kind = F.when(F.col("p_partkey") % 3 > 0, F.regexp_extract(F.lower("p_type"), r"^\S+ (.*)$", 1))
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", text.fold(F.concat_ws(" ", "p_name", "p_type")).alias("text"), text.fold(F.substring("p_brand", 1, 7)).alias("brand"),
+        (F.col("p_size") % 2 == 0).alias("organic"), (F.col("p_partkey") % 4 == 0).alias("offer"),
+        kind.alias("kind"), F.concat_ws(" ", kind, text.fold(F.col("p_brand"))).alias("family"), F.lower(F.substring_index("p_type", " ", 1)).alias("category"),
+    )
 
 
 def staple_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,18 +105,61 @@ def staple_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _staple_sql() -> str:
-    has = lambda t: f"instr(' ' || text || ' ', ' {t} ') > 0"
-    any_of = lambda ts: "(" + " or ".join(map(has, ts)) + ")"
+    """The matching rules as the reference states them, spelt out for each staple."""
+    has = lambda t, c="text": f"instr(' ' || {c} || ' ', ' {t} ') > 0"
+    any_of = lambda ts, c="text": "(" + " or ".join(has(t, c) for t in ts) + ")"
     parts = []
-    for name, brand, excluded, required, any_, groups, preferred in RULES:
-        ok = [f"not {any_of(excluded)}"] if excluded else []
-        ok += [f"(brand = '{brand}' or {has(brand)})"] if brand else []
-        ok += [has(t) for t in required] + ([any_of(any_)] if any_ else []) + [any_of(g) for g in groups or []]
-        points = (50 if brand else 0) + 8 * len(required) + 10 * len(groups or []) + (12 if any_ else 0)
-        extra = "".join(f" + case when {has(t)} then 4 else 0 end" for t in preferred)
-        parts.append(f"select p_partkey, '{name}' as rule, cast({points} + case when organic then 6 else 0 end + case when offer then 1 else 0 end{extra} as bigint) as score from o where {' and '.join(ok)}")
-    fold = "trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g'))"
-    return f"with o as (select p_partkey, {fold} as text, substring(p_brand, 1, 7) as brand, p_size % 2 = 0 as organic, p_partkey % 4 = 0 as offer from part) " + " union all ".join(parts)
+    for r in RULES:
+        if r.get("active") is False or r.get("undefined"):
+            continue
+        g = r.get
+        ok = [f"not {any_of(r['excluded'])}"] if g("excluded") else []
+        ok += ["organic"] if g("organic_required") else []
+        ok += [f"(brand = '{r['brand']}' or {has(r['brand'])})"] if g("brand") else []
+        ok += [has(t) for t in g("required_all", [])] + ([any_of(r["required_any"])] if g("required_any") else [])
+        ok += [any_of(x) for x in g("required_groups", []) if x]
+        points = (50 if g("brand") else 0) + 8 * len(g("required_all", [])) + 10 * len(g("required_groups", [])) + (12 if g("required_any") else 0)
+        extra = [f"case when {has(t)} then 4 else 0 end" for t in g("preferred", [])]
+        if g("kinds"):
+            ok.append(f"(kind = '' or {any_of(r['kinds'], 'kind')})")
+            ok += [f"(kind = '' or {any_of(r['kinds'], 'family')})"] if g("exact") else []
+            extra.append(f"case when {any_of(r['kinds'], 'family')} then 30 else 0 end")
+        if g("categories"):
+            ok.append("(" + " or ".join(f"instr(category, '{t}') > 0" for t in r["categories"]) + ")")
+            points += 15
+        extra += ["case when organic then 10 else 0 end"] * bool(g("organic_required")) + ["case when organic then 6 else 0 end"] * bool(g("organic_preferred"))
+        wanted = "true" if g("organic_required") or g("organic_preferred") else "false"
+        parts.append(f"select *, '{r['rule']}' as rule, {wanted} as organic_wanted, cast({' + '.join([str(points), 'case when offer then 1 else 0 end', *extra])} as bigint) as score from o where {' and '.join(ok)}")
+    fold = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+    kind = "case when p_partkey % 3 > 0 then regexp_extract(lower(p_type), '^[^ ]+ (.*)$', 1) else '' end"
+    offers = (
+        f"select p_partkey, p_retailprice, p_brand as own_brand, {fold(chr(39).join(['p_name || ', ' ', ' || p_type']))} as text, {fold('substring(p_brand, 1, 7)')} as brand, p_size % 2 = 0 as organic, p_partkey % 4 = 0 as offer, "
+        f"{kind} as kind, trim({kind} || ' ' || {fold('p_brand')}) as family, lower(split_part(p_type, ' ', 1)) as category, p_size from part"
+    )
+    return f"with o as ({offers}), f as (" + " union all ".join(parts) + ")"
+
+
+STAPLE_RULE_MATCH = _staple_sql() + " select p_partkey, rule, score from f"
+
+
+def staple_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each staple the best offer, the next of another brand (the store here), the sellers and the cheapest that is not organic."""
+    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("store"), F.round(F.col("p_retailprice") * 100).cast("long").alias("price"), (F.col("p_size") * 10).cast("long").alias("amount"))
+    offers = staple_offers(spark, sf_dir).join(p, "p_partkey").withColumn("unit", F.when(F.col("p_partkey") % 6 > 0, F.round(F.col("price") * 1000 / F.col("amount")).cast("long")))
+    return staples.chosen(staples.matched(offers, staple_rules(spark)), "p_partkey")
+
+
+STAPLE_RESULTS = _staple_sql() + """,
+p as (select rule, p_partkey as id, own_brand as store, score, organic, organic_wanted, cast(round(p_retailprice * 100) as bigint) as price, p_size * 10 as amount from f),
+u as (select *, case when id % 6 > 0 then cast(round(price * 1000 / amount) as bigint) end as unit, bool_or(organic) over (partition by rule) as bio from p),
+m as (select *, count(unit) over (partition by rule) as units from u where not organic_wanted or not bio or organic),
+r as (select *, case when units >= 2 then unit else price end as metric from m),
+b as (select *, row_number() over (partition by rule order by metric nulls last, price, score desc, id) as place from r),
+s as (select b.*, row_number() over (partition by b.rule order by b.metric nulls last, b.price, b.score desc, b.id) as next from b join (select rule, store from b where place = 1) t on t.rule = b.rule and t.store <> b.store),
+c as (select rule, id, row_number() over (partition by rule order by coalesce(unit, price), id) as place from u where organic_wanted and not organic),
+n as (select rule, count(distinct store) as sellers, max(units) as units from r group by rule)
+select n.rule, b.id as best, s.id as second, sellers, case when n.units >= 2 then 'unit' else 'pack' end as basis, c.id as conventional
+from n left join b on b.rule = n.rule and b.place = 1 left join s on s.rule = n.rule and s.next = 1 left join c on c.rule = n.rule and c.place = 1"""
 
 
 def relation_pair_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +237,7 @@ def search_rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEARCH_RANK_TOPK = """
 with f as (select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) as n, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) as t, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) as b from part),
-s as (select p_partkey, cast(case when n = 'red' then 5000 when starts_with(n, 'red ') then 2600 when instr(' ' || n || ' ', ' red ') > 0 then 2300 when instr(n, 'red') > 0 then 900 else 0 end
+s as (select p_partkey, cast(case when n = 'red' then 5000 else 0 end + case when starts_with(n, 'red ') then 2600 else 0 end + case when regexp_matches(n, '(^| )red( |$)') then 2300 else 0 end + case when instr(n, 'red') > 0 then 900 else 0 end
 + case when instr(t, 'red') > 0 then 500 else 0 end + case when instr(b, 'red') > 0 then 220 else 0 end
 + case when instr(' ' || n || ' ', ' red ') > 0 then 280 when instr(n, 'red') > 0 then 90 else 0 end as bigint) as score from f)
 select p_partkey, score from s where score > 0 order by score desc, p_partkey limit 32"""
@@ -284,7 +338,8 @@ QUERIES = {
     "text_fold_slug": (text_fold_slug, TEXT_FOLD_SLUG),
     "text_fold_slug_all": (text_fold_slug_all, None),
     "gtin_check_digit": (gtin_check_digit, GTIN_CHECK_DIGIT),
-    "staple_rule_match": (staple_rule_match, _staple_sql()),
+    "staple_rule_match": (staple_rule_match, STAPLE_RULE_MATCH),
+    "staple_results": (staple_results, STAPLE_RESULTS),
     "relation_pair_kind": (relation_pair_kind, RELATION_PAIR_KIND),
     "relation_pairs_all": (relation_pairs_all, RELATION_PAIRS_ALL),
     "bundle_type_conflicts": (bundle_type_conflicts, BUNDLE_TYPE_CONFLICTS),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offermill.functions import money, numbers
+from offermill.functions import money
 from offermill.operators import history, pick, quality
 from offermill.sources.tables import read
 
@@ -116,9 +116,8 @@ def _deduped_sql(order: str) -> str:
 
 
 def iqr_filtered_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = offers(spark, sf_dir).groupBy("l_partkey").agg(F.array_sort(F.collect_list("unit")).alias("a"))
-    kept = numbers.without_outliers(F.col("a"))
-    return o.select("l_partkey", F.size("a").cast("long").alias("n"), F.size(kept).cast("long").alias("n_kept"), numbers.sorted_median(kept).alias("median"))
+    o = history.typical_range(offers(spark, sf_dir), ["l_partkey"], F.col("unit"))
+    return o.select("l_partkey", "n", "n_kept", "median")
 
 
 _HINGES = """
@@ -135,7 +134,7 @@ def price_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last price of every product against its recent ones: six months before 1998-06-01, if four are that new."""
     now = F.lit("1998-06-01").cast("timestamp")
     o = offers(spark, sf_dir)
-    current = F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "unit"))["unit"]
+    current = F.max_by("unit", F.struct("l_shipdate", "l_orderkey", "l_linenumber"))
     r = history.rating(o, ["l_partkey"], F.col("unit"), current, F.col("l_shipdate") >= F.add_months(now, -6))
     return r.select("l_partkey", "n", "current", "typical", "low", "high", "status")
 

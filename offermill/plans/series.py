@@ -159,19 +159,25 @@ select n_name, coalesce(n, 0) as n, case when coalesce(n, 0) = 0 then 'no_data'
 
 
 def branch_fanout_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products at branches: nations of a region are the branches; a third is regional, the others by address or market."""
-    b = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("store"), F.col("n_name").alias("address"), (F.col("n_nationkey") % 3).cast("string").alias("market"))
-    o = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 5).cast("int").alias("store"), F.when(F.col("p_partkey") % 2 == 0, F.lit("FRANCE")).alias("address"), (F.col("p_partkey") % 4).cast("string").alias("market"))
-    out = market.fan_out(o, b, "store", "address", "market", F.col("p_partkey") % 3 == 0)
-    return out.groupBy("p_partkey").agg(F.count("*").alias("branches"), F.min("branch_address").alias("first_branch"))
+    """Products at branches: nations of a region are the branches; a third is regional, the others by address or market, else as they say."""
+    b = read(spark, sf_dir, "nation").where("n_regionkey < 4").select("n_nationkey", F.col("n_regionkey").alias("store"), F.col("n_name").alias("address"), (F.col("n_nationkey") % 3).cast("string").alias("market"))
+    k = F.col("p_partkey")
+    address = F.when(k % 2 == 0, F.lit("FRANCE")).when(k % 7 == 1, F.lit("Kenya, Road 1"))
+    o = read(spark, sf_dir, "part").select("p_partkey", (k % 5).cast("int").alias("store"), address.alias("address"), (k % 4).cast("string").alias("market"))
+    allowed = market.allowed_area(F.col("address"), F.col("market"), ["kenya", "france"]).isNotNull()
+    out = market.fan_out(o, b, "store", "address", "market", F.col("p_partkey") % 3 == 0, ["n_nationkey"], allowed)
+    return out.select("p_partkey", "branch_address", "branch_market")
 
 
 BRANCH_FANOUT_JOIN = """
-with b as (select n_regionkey as store, n_name as address, cast(n_nationkey % 3 as varchar) as market from nation),
-o as (select p_partkey, p_partkey % 5 as store, case when p_partkey % 2 = 0 then 'FRANCE' end as address, cast(p_partkey % 4 as varchar) as market, p_partkey % 3 = 0 as regional from part),
-j as (select o.p_partkey, b.address as branch, case when regional then 0 when o.address = b.address then 1 when o.market = b.market then 2 end as level from o join b on o.store = b.store),
-m as (select p_partkey, min(level) as level from j group by 1)
-select j.p_partkey, count(*) as branches, min(branch) as first_branch from j join m on j.p_partkey = m.p_partkey and j.level = m.level group by 1"""
+with b as (select n_nationkey, n_regionkey as store, n_name as address, cast(n_nationkey % 3 as varchar) as market from nation where n_regionkey < 4),
+o as (select p_partkey, p_partkey % 5 as store, case when p_partkey % 2 = 0 then 'FRANCE' when p_partkey % 7 = 1 then 'Kenya, Road 1' end as address, cast(p_partkey % 4 as varchar) as market, p_partkey % 3 = 0 as regional from part),
+a as (select *, store in (select store from b) as has_branches, coalesce(regexp_matches(lower(address), '(^|[^a-z])(kenya|france)([^a-z]|$)'), false) as allowed from o),
+wide as (select p_partkey, b.address as branch_address, b.market as branch_market from a join b on a.store = b.store where regional),
+one as (select a.*, (select min(n_nationkey) from b where b.store = a.store and b.address = a.address) as x, (select min(n_nationkey) from b where b.store = a.store and b.market = a.market) as y from a where not (regional and has_branches))
+select * from wide union all
+select p_partkey, case when coalesce(x, y) is null then one.address else b.address end, case when coalesce(x, y) is null then one.market else b.market end
+from one left join b on b.n_nationkey = coalesce(x, y) where coalesce(x, y) is not null or allowed"""
 
 
 def prioritised_source_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,17 +206,19 @@ GUARD_ANTI_JOIN = "select o_orderkey, o_custkey from orders where o_custkey not
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (48.0 + (k * 7919 % 1000) / 10000.0).alias("lat"), (11.5 + (k * 104729 % 1000) / 10000.0).alias("lon"))
+    address = F.when(k % 50 == 0, F.concat(F.lit("Road "), (k % 1000).cast("string"))).when(k % 50 == 1, F.lit(""))
+    return read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (48.0 + (k * 7919 % 1000) / 10000.0).alias("lat"), (11.5 + (k * 104729 % 1000) / 10000.0).alias("lon"), address.alias("address"))
 
 
 def haversine_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market.near_duplicates(places(spark, sf_dir), "c_custkey", "c_nationkey", "lat", "lon", 0.8).select("a", "b", F.round("km", 6).alias("km"))
+    """Places of a nation that lie within 800 metres, or have one address."""
+    return market.near_duplicates(places(spark, sf_dir), "c_custkey", "c_nationkey", "lat", "lon", 0.8, "address").select("a", "b", F.round("km", 6).alias("km"))
 
 
 HAVERSINE_NEAR_DUPLICATES = """
-with p as (select c_custkey as id, c_nationkey as g, 48.0e0 + (c_custkey * 7919 % 1000) / 10000.0e0 as lat, 11.5e0 + (c_custkey * 104729 % 1000) / 10000.0e0 as lon from customer),
-j as (select a.id as a, b.id as b, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) as q from p a join p b on a.g = b.g and a.id < b.id)
-select a, b, round(2 * 6371 * atan2(sqrt(q), sqrt(1 - q)), 6) as km from j where 2 * 6371 * atan2(sqrt(q), sqrt(1 - q)) < 0.8"""
+with p as (select c_custkey as id, c_nationkey as g, 48.0e0 + (c_custkey * 7919 % 1000) / 10000.0e0 as lat, 11.5e0 + (c_custkey * 104729 % 1000) / 10000.0e0 as lon, case when c_custkey % 50 = 0 then 'Road ' || (c_custkey % 1000) end as address from customer),
+j as (select a.id as a, b.id as b, coalesce(a.address = b.address, false) as same, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) as q from p a join p b on a.g = b.g and a.id < b.id)
+select a, b, round(2 * 6371 * atan2(sqrt(q), sqrt(1 - q)), 6) as km from j where same or 2 * 6371 * atan2(sqrt(q), sqrt(1 - q)) < 0.8"""
 
 
 def spatial_nearest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +233,7 @@ def spatial_nearest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPATIAL_NEAREST_BOX = """
 with p as (select p_partkey as id, cast(floor(p_partkey / 40) as bigint) as page, cast(p_partkey * 37 % 500 as double) as x1, cast(p_partkey * 53 % 700 as double) as y1 from part),
 b as (select *, x1 + 60 as x2, y1 + 20 as y2 from p),
-j as (select a.id, b.id as block, 1.25e0 * greatest(0.0e0, a.y1 - b.y2) + 0.38e0 * abs((a.x1 + a.x2) / 2 - 95 - (b.x1 + b.x2) / 2) - case when b.x2 < a.x1 + 15 then 18 else 0 end as score
+j as (select a.id, b.id as block, 1.25e0 * case when b.y2 < a.y1 then a.y1 - b.y2 else 0.45e0 * abs((b.y1 + b.y2) / 2 - (a.y1 + a.y2) / 2) end + 0.38e0 * abs((a.x1 + a.x2) / 2 - 95 - (b.x1 + b.x2) / 2) - case when b.x2 <= a.x1 + 15 then 18 else 0 end as score
 from b a join b on a.page = b.page and a.id % 4 = 0 and b.id % 4 <> 0 and b.y1 between a.y1 - 225 and a.y2 + 24 and b.x1 between a.x1 - 230 and least(600, a.x2 + 25)),
 r as (select *, row_number() over (partition by id order by score, block) as place from j)
 select id, block, round(score, 4) as score from r where place = 1 and score <= 275"""

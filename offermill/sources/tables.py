@@ -12,11 +12,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_top(spark: SparkSession) -> str:
+    """The folder that driver and executors share, of spark.checkpoint.dir.
+
+    A local session, whose only executor is the driver, may do without one and
+    gets a temporary folder; on a cluster there is no such folder to guess.
+    """
+    if top := spark.conf.get("spark.checkpoint.dir", None):
+        return top.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.mkdtemp(prefix='offermill-')}"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """The frame, written below spark.checkpoint.dir (else a temporary folder: tests only) until the application ends, and read again."""
+    """The frame, written to the shared folder until the application ends, and read again."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='offermill-')}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/offermill-kept-{uuid.uuid4().hex}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_top(spark)}/offermill-kept-{uuid.uuid4().hex}")
     df.write.parquet(str(path))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(str(path))

@@ -114,3 +114,4 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out/v2")).select("price", "first_seen", "last_seen", "observations")
     want = history.price_events(df, ["series"], ["price"], "at", "id").select("price", "first_seen", "last_seen", "observations")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["v1", "v2"]
