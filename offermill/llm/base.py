@@ -30,14 +30,17 @@ def remainder(id_col: str, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: below spark.checkpoint.dir, else a temporary one (tests only).
+    """A folder that driver and executors share, below spark.checkpoint.dir. It is deleted when the application ends.
 
-    It is deleted when the application ends.
+    A local session, whose only executor is the driver, may do without that
+    setting and gets a temporary folder; on a cluster there is none to guess.
     """
     app = spark.sparkContext.applicationId
     if app not in _own:
         top = spark.conf.get("spark.checkpoint.dir", None)
         if not top:
+            if spark.sparkContext.master.partition("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             top = f"file://{tempfile.mkdtemp(prefix='offermill-')}"
         _own[app] = f"{top.rstrip('/')}/offermill-{app}"
         path = spark._jvm.org.apache.hadoop.fs.Path(_own[app])
