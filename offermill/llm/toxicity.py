@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ SAMPLE = 10_000
 MOST_FEATURES = 20_000
 #: Labelled rows that are sent to where the texts lie, at most (16 bytes each); beyond, texts and labels are shuffled to meet.
 MOST_SENT = 2_000_000
+#: Features of so many rows are multiplied at once while weights are fitted.
+BLOCK = 1 << 19
 #: Word scores that a task remembers.
 REMEMBERED = 250_000
 #: Names of groups, by sets within which they are swapped.
@@ -133,31 +136,41 @@ class ToxicityModel(Sent):
         return float((share * np.bincount(at, sign * self.weights[column], len(share)) ** 2).sum())
 
     def fit(self, columns: list[np.ndarray], counts: list[np.ndarray], names: list[list[str]], toxic: np.ndarray) -> ToxicityModel:
+        """fit_rows() of features and counts that lie row by row."""
+        sizes = np.array([len(c) for c in columns], np.int64)
+        return self.fit_rows(sizes, np.concatenate([*columns, np.zeros(0, np.int32)]), np.concatenate([*counts, np.zeros(0, np.int32)]), names, toxic)
+
+    def fit_rows(self, sizes: np.ndarray, columns: np.ndarray, counts: np.ndarray, names: list[list[str]], toxic: np.ndarray) -> ToxicityModel:
         """Logistic loss + decay + swap_strength times the mean square of what swaps change.
 
-        Of each row: its features and the number of words that have them, the
-        group names in it (or put in), and its label. Without rows of both
-        kinds the model says the same of everything: toxic only if all labels
-        do.
+        Of each row: how many features it has, all rows' features one after
+        another and the number of words that have each, the group names in it
+        (or put in), and its label. Without rows of both kinds the model says
+        the same of everything: toxic only if all labels do.
         """
         n = len(toxic)
         if not n or toxic.min() == toxic.max():
             self.bias = 6.0 if n and toxic.min() else -6.0
             return self
-        at = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in columns])
-        columns, values = np.concatenate(columns).astype(np.int32), np.concatenate(counts).astype(np.float32)
+        columns, values = columns.astype(np.int32), counts.astype(np.float32)
+        ends = np.concatenate([[0], sizes.cumsum()])
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], BLOCK), "right") - 1, n))
+        parts = [(slice(i, j), slice(ends[i], ends[j]), np.repeat(np.arange(j - i, dtype=np.int32), sizes[i:j])) for i, j in zip(cuts, cuts[1:])]
         s_at, s_col, s_val, s_share = self.swap_table(names)
         # what few rows show is trusted less
         decay = self.decay * np.maximum(1.0, n / 50 / np.maximum(1, np.bincount(columns, minlength=len(self.index))))
         w, b = np.zeros(len(self.index)), float(np.log(toxic.mean() / (1 - toxic.mean())))
         m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
         for t in range(1, self.rounds + 1):
-            off = sigmoid(b + np.bincount(at, values * w[columns], n)) - toxic
-            g = np.bincount(columns, values * off[at], len(w)) / n + decay * w
+            g, off_sum = decay * w, 0.0
+            for rows, own, at in parts:
+                off = sigmoid(b + np.bincount(at, values[own] * w[columns[own]], rows.stop - rows.start)) - toxic[rows]
+                g += np.bincount(columns[own], values[own] * off[at], len(w)) / n
+                off_sum += off.sum()
             if len(s_share):
                 change = np.bincount(s_at, s_val * w[s_col], len(s_share))
                 g += 2 * self.swap_strength * np.bincount(s_col, s_val * (s_share * change)[s_at], len(w))
-            gb = off.mean()
+            gb = off_sum / n
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             step = self.rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
@@ -196,8 +209,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column, sample: i
             found = [sent.value.row(text) for text in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "columns": [list(c) for c, _ in found], "counts": [list(c.values()) for c, _ in found], "names": [n for _, n in found]})
 
-    got = docs.where(training).join(ids, "doc_id").select("doc_id", "text", "toxic").mapInPandas(rows, "doc_id long, toxic int, columns array<int>, counts array<int>, names array<string>").orderBy("doc_id").toPandas()
-    return model.fit(list(got["columns"]), list(got["counts"]), list(got["names"]), got["toxic"].to_numpy(float))
+    got = docs.where(training).join(ids, "doc_id").select("doc_id", "text", "toxic").mapInPandas(rows, "doc_id long, toxic int, columns array<int>, counts array<int>, names array<string>").orderBy("doc_id").toArrow()
+    flat = lambda c: got[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(got["columns"]).to_numpy().astype(np.int64)
+    return model.fit_rows(sizes, flat("columns"), flat("counts"), got["names"].to_pylist(), got["toxic"].to_numpy().astype(float))
 
 
 def toxicity_score(spark: SparkSession, model: ToxicityModel, text_col: str) -> Column:

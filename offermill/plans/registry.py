@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offermill.plans import catalog, offers, prices, series
+from offermill.plans import catalog, offers, prices, repairs, series
 
-_ALL = prices.QUERIES | catalog.QUERIES | series.QUERIES | offers.QUERIES
+_ALL = prices.QUERIES | catalog.QUERIES | series.QUERIES | offers.QUERIES | repairs.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
