@@ -83,7 +83,7 @@ REPAIRS = (
     (("**Gouda** [jung](http://x.de/y)", "500 g", 4.0, 0.5, "€/kg"), ("Gouda jung", 2.0, 4.0, "€/kg", 2)),
     (("Butter", "250 g", 2.0, None, None), ("Butter", 2.0, 8.0, "€/kg", 1)),
     (("Eier", "10 Stück", 3.0, 3.0, "€/Packung"), ("Eier", 3.0, 0.3, "€/Stk.", 1)),
-    (("Reis", "2 kg", 4.0, 2.1, "€/kg"), ("Reis", 4.0, 2.1, "€/kg", 0)),
+    (("Reis", "2 kg", 4.0, 2.14, "€/kg"), ("Reis", 4.0, 2.14, "€/kg", 0)),
     (("Reis", "2 kg", 4.0, 3.0, "€/kg"), ("Reis", 4.0, 2.0, "€/kg", 1)),
     (("Obst", "Packung", 1.5, 1.5, "€/Packung"), ("Obst", 1.5, 1.5, "€/Packung", 0)),
     (("Angebot 1 2 3 1 2 3 rest", "6 x 0,5 l", 6.0, 2.0, "€/l"), ("1 2 3", 6.0, 2.0, "€/l", 1)),
