@@ -111,3 +111,55 @@ def rating(df: DataFrame, keys: list[str], value: Column, current: Column, recen
         .otherwise("normal")
     )
     return rows.select(*keys, "n", "current", "typical", "low", "high", change.alias("change_percent"), status.alias("status"))
+
+
+def observed(offers: DataFrame, at: Column, least_confidence: float = 0.8) -> DataFrame:
+    """Offers as observations of prices, with `reason` for those that history does not take.
+
+    Uncertain ones (confidence below the least, without an article number)
+    and such without identity, store, price or base price are not taken. A
+    product id that is missing is made of store, name and size. Prices have
+    four decimals; a regular price is that of an offer only where it is said.
+    """
+    from offermill.functions.money import price_metric
+    from offermill.functions.text import slug
+
+    rows = offers.withColumn("_base", price_metric(F.col("unit"), F.col("price")))
+    made = slug(F.concat_ws("|", F.coalesce("store", F.lit("")), F.coalesce("name", F.lit("")), F.coalesce("size", F.lit(""))))
+    missing = F.coalesce("product_id", "canonical_id").isNull() | F.col("store").isNull() | ~F.coalesce((F.col("price") > 0) & (F.col("_base") > 0), F.lit(False))
+    reason = F.when((F.coalesce("confidence", F.lit(0.0)) < least_confidence) & F.col("gtin").isNull(), "uncertain").when(missing, "invalid")
+    money = lambda c: F.round(c, 4)
+    return rows.select(
+        F.coalesce("product_id", F.nullif(made, F.lit("")), "canonical_id").alias("product_id"), "canonical_id", "gtin", "store", "market", "organic", "unit_label", "is_offer",
+        F.coalesce(money(F.col("regular")), F.when(~F.col("is_offer"), money(F.col("price")))).alias("regular_price"), F.when(F.col("is_offer"), money(F.coalesce("offered", "price"))).alias("offer_price"),
+        money(F.col("price")).alias("effective_price"), money(F.col("_base")).alias("base_price"), at.alias("observed_at"), reason.alias("reason"),
+        F.when(F.col("gtin").isNotNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(least_confidence), F.coalesce("confidence", F.lit(0.0)))).alias("confidence"),
+    )
+
+
+def active_and_archived(events: DataFrame, allowed: Column, id_col: str, at: str) -> DataFrame:
+    """Events with archived: those of places that are not allowed (any more). Of equal ids the first stays, by time."""
+    w = Window.partitionBy(id_col).orderBy(F.col(at).asc_nulls_first())
+    rows = events.withColumn("archived", ~F.coalesce(allowed, F.lit(False))).withColumn("_place", F.row_number().over(w))
+    return rows.where(~F.col("archived") | (F.col("_place") == 1)).drop("_place")
+
+
+def of_offer(offers: DataFrame, events: DataFrame, id_col: str, values: list[str]) -> DataFrame:
+    """Offers with the events of their product: the concrete id where an offer has one, else the canonical one; organic and unit equal.
+
+    Two equi-joins, by which of both ids an offer goes.
+    """
+    same = ["organic", "unit_label"]
+    e = lambda key: events.select(F.col(key).alias("_key"), *(F.col(c) for c in (*same, *values)))
+    o = lambda rows, key: rows.select(id_col, F.col(key).alias("_key"), *same)
+    known = F.coalesce(F.col("product_id"), F.lit("")) != ""
+    concrete = o(offers.where(known), "product_id").join(e("product_id"), ["_key", *same])
+    general = o(offers.where(~known), "canonical_id").join(e("canonical_id"), ["_key", *same])
+    return concrete.unionByName(general).drop("_key")
+
+
+def indexed(offers: DataFrame, events: DataFrame, id_col: str, values: list[str]) -> DataFrame:
+    """Offers with the events reached by their article number, if they have one, else by their product id."""
+    key = lambda: F.coalesce(F.concat(F.lit("ean:"), F.col("gtin")), F.concat(F.lit("id:"), F.col("product_id")))
+    keys = F.array_compact(F.array(F.concat(F.lit("ean:"), F.col("gtin")), F.concat(F.lit("id:"), F.col("product_id"))))
+    return offers.select(id_col, key().alias("_key")).join(events.select(F.explode(keys).alias("_key"), *values), "_key").drop("_key")

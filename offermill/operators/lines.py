@@ -29,3 +29,17 @@ def paired(df: DataFrame, keys: list[str], order: list[str], start: Column, end:
     w = Window.partitionBy(*keys).orderBy(*order)
     marked = df.where(start | end).withColumn("_ends", F.lead(end).over(w)).withColumn("_at", F.lead(at).over(w))
     return marked.where(start).select(*keys, F.col(at).alias("started"), F.when(F.col("_ends"), F.col("_at")).alias("ended"))
+
+
+def adjacent_prices(words: DataFrame, line: list[str], order: str, word: str, least: float = 1.04, most: float = 1.22) -> DataFrame:
+    """line, place, net and gross (cents): a word "1,23*" and a price in brackets of the next one to three words, joined.
+
+    The first such bracket counts, and only if it is above the net price by a
+    share that taxes have.
+    """
+    w = Window.partitionBy(*line).orderBy(order)
+    nxt = [F.coalesce(F.lead(word, i).over(w), F.lit("")) for i in (1, 2, 3)]
+    cents = lambda c, p: (F.replace(F.nullif(F.regexp_extract(c, p, 1), F.lit("")), F.lit(","), F.lit("")).cast("long"))
+    rows = words.select(*line, F.col(order).alias("place"), cents(F.col(word), r"^(\d{1,3},\d{2})\*$").alias("net"), *(F.concat(*nxt[:i]).alias(f"_g{i}") for i in (1, 2, 3))).where("net is not null")
+    gross = F.coalesce(*(cents(F.col(f"_g{i}"), r"^\((\d{1,3},\d{2})\)$") for i in (1, 2, 3)))
+    return rows.select(*line, "place", "net", gross.alias("gross")).where((F.col("gross") > F.col("net")) & (F.col("gross") / F.col("net")).between(least, most))

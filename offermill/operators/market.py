@@ -124,3 +124,57 @@ def nearest_box(labels: DataFrame, boxes: DataFrame, page: str, most: float) ->
     found = labels.join(b, page).where(inside & (F.col("id") != F.col("block"))).withColumn("score", value)
     best = found.groupBy("id").agg(F.min(F.struct("score", "block")).alias("m"))
     return best.select("id", "m.block", "m.score").where(F.col("score") <= most)
+
+
+def place_text(c: Column) -> Column:
+    """A place's name or address for comparing: lower case, no marks, hyphens kept, one space between words."""
+    from offermill.functions.text import fold
+
+    return fold(F.coalesce(c, F.lit("")), keep="a-z0-9-")
+
+
+def with_policy(places: DataFrame, address: str, market: str, areas: list[tuple[str, str, str]]) -> DataFrame:
+    """Places with allowed_area and active: the first (area, address pattern, name pattern) that holds; names count only without an address."""
+    a, m = place_text(F.col(address)), place_text(F.col(market))
+    by_address, by_name = (F.coalesce(*(F.when(t.rlike(p[i]), F.lit(p[0])) for p in areas)) for i, t in ((1, a), (2, m)))
+    area = F.when(a != "", by_address).otherwise(by_name)
+    return places.withColumn("allowed_area", area).withColumn("active", F.col("allowed_area").isNotNull())
+
+
+def catalog_status(known: Column, import_status: Column, offer_url: Column) -> Column:
+    """What a source's catalog is worth: as said, if that is one of the known words; else by its import."""
+    words = ("full_catalog", "partial_catalog", "offers_only", "unavailable", "login_required")
+    return (
+        F.when(known.isin(*words), known)
+        .when(import_status == "login_required", "login_required")
+        .when((F.coalesce(offer_url, F.lit("")) != "") | F.coalesce(import_status.isin("supported", "partial"), F.lit(False)), "offers_only")
+        .otherwise("unavailable")
+    )
+
+
+def rebound(sources: DataFrame, branches: DataFrame, store: str, market: str, address: str, distance: str, order: list[str]) -> DataFrame:
+    """Sources (source, scope, ...) at a branch: one of market scope where its name or address agrees, any other at the nearest of its store.
+
+    Sources without such a branch are left out. branch_market, branch_address
+    and the number of the store's branches come along; a branch without a
+    known distance counts as 999 away.
+    """
+    near = F.struct(F.coalesce(F.col(f"b.{distance}"), F.lit(999.0)).alias("far"), *(F.col(f"b.{o}").alias(o) for o in order), F.col(f"b.{market}").alias("branch_market"), F.col(f"b.{address}").alias("branch_address"))
+    same = (F.col(f"s.{market}") == F.col(f"b.{market}")) | (place_text(F.col(f"s.{address}")) == place_text(F.col(f"b.{address}")))
+    fits = (F.col("s.scope") != "market") | F.coalesce(same, F.lit(False))
+    met = sources.alias("s").join(branches.alias("b"), F.col(f"s.{store}") == F.col(f"b.{store}"))
+    best = met.groupBy(F.col("s.source").alias("source")).agg(F.min(F.when(fits, near)).alias("m"), F.count("*").alias("branches"))
+    return best.where("m is not null").select("source", "m.branch_market", "m.branch_address", "branches")
+
+
+def same_address(zip_a: Column, zip_b: Column, street_a: Column, street_b: Column) -> Column:
+    """Whether two addresses are one: no different postal codes, and one street within the other."""
+    a, b = place_text(street_a), place_text(street_b)
+    codes = F.coalesce(zip_a == zip_b, F.lit(True))
+    return codes & (a != "") & (b != "") & ((F.instr(a, b) > 0) | (F.instr(b, a) > 0))
+
+
+def within(places: DataFrame, lat: str, lon: str, at: tuple[float, float], most_km: float) -> DataFrame:
+    """Places at most so far from a point, with distance_km of two decimals; such without a position are left out."""
+    km = haversine_km(F.lit(at[0]), F.lit(at[1]), F.col(lat), F.col(lon))
+    return places.withColumn("_km", km).where(F.col("_km") <= most_km).withColumn("distance_km", F.round("_km", 2)).drop("_km")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offermill.functions.text import has_all, has_any, has_term
+from offermill.sources.tables import kept
 
 #: Rules are user-edited data; a larger set is no dimension any more and must not be broadcast.
 MOST_RULES = 10_000
@@ -131,3 +132,42 @@ def search_score(name: Column, family: Column, brand: Column, category: Column,
 
 def smart_order(score: Column, organic: Column, offer: Column, saving: Column, unit: Column, tie: Column) -> list[Column]:
     return [score.desc(), organic.desc(), offer.desc(), saving.desc_nulls_last(), unit.asc_nulls_last(), tie.asc()]
+
+
+#: How near names come to butter, of folded names; the first pattern that occurs.
+BUTTER_TIERS = (
+    ("butterkeks|butter keks|buttermilch|butter milch|butter chicken|buttergemuse|butter gemuse|butterbrezel|butter brezel|buttertoast|butter toast", 20),
+    ("butterschmalz|butter schmalz|krauterbutter|krauter butter|streichbutter|streich butter|butterzubereitung|butter zubereitung", 70),
+    ("(?<![0-9a-z_])butter(?![0-9a-z_])|markenbutter|sussrahmbutter|sauerrahmbutter|weidebutter|fassbutter|irische butter|mildgesauerte butter", 100),
+    ("butter", 50),
+)
+
+
+def tier_score(folded: Column, tiers: tuple = BUTTER_TIERS) -> Column:
+    """The points of the first tier that a folded name is of; 0 for none."""
+    return F.coalesce(*(F.when(folded.rlike(p), points) for p, points in tiers), F.lit(0))
+
+
+def tier_order(score: Column, organic: Column, price: Column, name: Column, tie: Column) -> list[Column]:
+    """Nearest first, then organic, cheaper, and by name as German sorts it."""
+    return [score.desc(), organic.desc(), price.asc_nulls_last(), german(name).asc(), tie.asc()]
+
+
+def german(c: Column) -> Column:
+    """Text that sorts as in a German dictionary."""
+    return F.collate(c, "de")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "row_id") -> DataFrame:
+    """Rows with their 1-based place in a total order.
+
+    Ranges of the order are sorted apart and only their sizes meet, so that no
+    task sorts all rows. The sorted rows are written once, so that places and
+    sizes are of the same ranges.
+    """
+    rows = kept(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    rows = rows.withColumns({"_part": part, "_own": F.col("_at") - F.shiftleft(part, 33)}).drop("_at")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # one row a range
+    return rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_own") + 1).drop("_part", "_own", "_before")
