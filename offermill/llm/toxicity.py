@@ -30,7 +30,7 @@ SAMPLE = 10_000
 #: Features that the model has, at most: those that tell the labels apart best.
 MOST_FEATURES = 20_000
 #: Labelled rows that are sent to where the texts lie, at most (16 bytes each); beyond, texts and labels are shuffled to meet.
-MOST_SENT = 2_000_000
+MOST_SENT = 500_000
 #: Features of so many rows are multiplied at once while weights are fitted.
 BLOCK = 1 << 19
 #: Word scores that a task remembers.
