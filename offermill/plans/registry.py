@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offermill.plans import catalog, duplicates, markets, offers, prices, repairs, series
+from offermill.plans import catalog, duplicates, feeds, markets, offers, prices, repairs, series
 
-_ALL = prices.QUERIES | catalog.QUERIES | series.QUERIES | offers.QUERIES | repairs.QUERIES | duplicates.QUERIES | markets.QUERIES
+_ALL = prices.QUERIES | catalog.QUERIES | series.QUERIES | offers.QUERIES | repairs.QUERIES | duplicates.QUERIES | markets.QUERIES | feeds.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 
 def envelope(spark: SparkSession, path: str, schema: StructType, field: str) -> DataFrame:
@@ -23,7 +23,7 @@ def envelope(spark: SparkSession, path: str, schema: StructType, field: str) ->
 
 def catalog(spark: SparkSession, pattern: str, product: StructType) -> DataFrame:
     """Products of all catalog files of a pattern, with their retailer; unreadable files are passed over."""
-    schema = StructType().add("retailer", "string").add("products", f"array<{product.simpleString()}>")
+    schema = StructType().add("retailer", "string").add("products", ArrayType(product))
     read = spark.read.schema(schema).option("multiLine", True).option("ignoreCorruptFiles", True).json(pattern)
     return read.select("retailer", F.explode("products").alias("p")).select("retailer", "p.*")
 
