@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning (operator 5).
 
-Trusted positives are the documents marked good; the rest of the training
-folds is unlabelled web text. A logistic model minimises the non-negative
+Trusted positives are the documents marked good; all documents of the training
+folds, whatever their marks, are the unlabelled web text. A logistic model minimises the non-negative
 unbiased risk (Kiryo et al. 2017): the positive part of the unlabelled text is
 taken off by the class prior, which is itself estimated from the two samples.
 """
@@ -159,30 +159,40 @@ class PuModel:
         raised again and the rest waits: that is the non-negative step.
         """
         gp, gu, pi = p @ w, u @ w, self.prior
-        softplus = lambda x: np.logaddexp(0, x)
-        negative = softplus(gu).mean() - pi * softplus(gp).mean()
+        negative = self.negative_risk(w, p, u)
         d_negative = u.T @ sigmoid(gu) / len(u) - pi * p.T @ sigmoid(gp) / len(p)
         if negative < 0:
             return -d_negative
         return pi * p.T @ (sigmoid(gp) - 1) / len(p) + d_negative
 
 
-def sample_ids(ids: DataFrame, most: int) -> DataFrame:
+    def negative_risk(self, w: np.ndarray, p: np.ndarray, u: np.ndarray) -> float:
+        """The negatives' share of the risk as both samples estimate it: R_u(-) - pi R_p(-); below zero only by overfitting."""
+        return float(np.logaddexp(0, u @ w).mean() - self.prior * np.logaddexp(0, p @ w).mean())
+
+    def risk(self, w: np.ndarray, p: np.ndarray, u: np.ndarray) -> float:
+        """pi R_p(+) + max(0, R_u(-) - pi R_p(-))."""
+        return float(self.prior * np.logaddexp(0, -(p @ w)).mean()) + max(0.0, self.negative_risk(w, p, u))
+
+
+def sample_ids(ids: DataFrame, most: int, seed: int = 0) -> DataFrame:
     """So many ids at most, those of least hash: the same ones every time."""
-    return ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)) if seed else F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE) -> PuModel:
-    """A model fitted on `sample` documents marked 1 and as many unlabelled ones, at most, of the rows where `training` holds.
+    """A model fitted on `sample` documents marked 1 and as many of all documents, at most, of the rows where `training` holds.
 
-    `docs` has doc_id and text, `labels` doc_id and quality. Rows marked 0
-    are not used; null marks count as none, and a document that is marked
-    twice is positive if any mark is 1. Only features are sent to the driver.
+    `docs` has doc_id and text, `labels` doc_id and quality. That a row is
+    marked 0 is not used, but it is one of all documents: the risk and the
+    prior are those of the whole. Null marks count as none, and a document that
+    is marked twice is positive if any mark is 1. Only features are sent to
+    the driver.
     """
     marks = labels.where(training & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     positive = sample_ids(marks.where("quality = 1"), sample).withColumn("positive", F.lit(True))
-    unlabelled = sample_ids(docs.where(training).join(labels.select("doc_id").distinct(), "doc_id", "left_anti"), sample).withColumn("positive", F.lit(False))
-    chosen = F.broadcast(positive.unionByName(unlabelled))  # 2 * sample ids at most
+    everything = sample_ids(docs.where(training & F.col("doc_id").isNotNull()), sample, seed=1).withColumn("positive", F.lit(False))
+    chosen = F.broadcast(positive.unionByName(everything))  # 2 * sample ids at most
     picked = with_features(docs.join(chosen.select("doc_id"), "doc_id", "left_semi")).join(chosen, "doc_id").orderBy("doc_id")
     rows = picked.toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), FEATURES)

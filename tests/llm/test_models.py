@@ -43,6 +43,35 @@ def test_prior_and_risk():
     assert (model.score(pos(500)) > 0.5).mean() > 0.97 and (model.score(neg(500)) < 0.5).mean() > 0.97
 
 
+def test_gradient_of_the_risk_by_finite_differences():
+    """Both branches: the risk itself, and where the negatives' estimate is below zero, minus that estimate alone."""
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(0.5, 1, (40, 5)), rng.normal(0, 1, (60, 5))
+    model = quality.PuModel(prior=0.4)
+    seen = set()
+    for scale in (0.1, 0.5, 3.0, 6.0):
+        for w in (scale * rng.normal(size=5), scale * np.linalg.lstsq(np.vstack([p, u]), np.r_[np.ones(40), -np.ones(60)], rcond=None)[0]):
+            low = model.negative_risk(w, p, u) < 0
+            seen.add(low)
+            of = (lambda v: -model.negative_risk(v, p, u)) if low else (lambda v: model.risk(v, p, u))
+            want = [(of(w + h) - of(w - h)) / 2e-6 for h in 1e-6 * np.eye(5)]
+            assert np.allclose(model._risk(w, p, u), want, atol=1e-6)
+    u2 = np.vstack([p * 3] * 2) * -2  # unlabelled rows far on the negative side: the estimate falls below zero
+    w = np.ones(5)
+    model = quality.PuModel(prior=0.9)
+    assert model.negative_risk(w, p + 3, u2 - 9) < 0
+    want = [(-model.negative_risk(w + h, p + 3, u2 - 9) + model.negative_risk(w - h, p + 3, u2 - 9)) / 2e-6 for h in 1e-6 * np.eye(5)]
+    assert np.allclose(model._risk(w, p + 3, u2 - 9), want, atol=1e-6)
+
+
+def test_quality_where_every_document_is_marked(spark):
+    """No document is without a mark: the unlabelled text is all of it, and good and bad are still told apart."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality is not null").select("doc_id"), "doc_id", "left_semi")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = quality.quality_classifier(docs, labels, F.col("doc_id") % 3 != 1).where("doc_id % 3 = 1").join(labels, "doc_id").toPandas()
+    assert (got["predicted"] == got["quality"]).mean() > 0.9
+
+
 def toy(swap_strength):
     """One group is named in toxic sentences far more often than the others."""
     rows = [("you are scum and muslims are scum", 1)] * 40 + [("muslims met on monday", 1)] * 10 + [("christians met on monday", 0)] * 40 + [("jews and muslims met", 0)] * 5 + [("nice day in town", 0)] * 60
