@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from offermill.operators import catalogs, history, market, staples
+from offermill.operators import catalogs, entity, history, market, staples
 from offermill.plans import registry
 from offermill.sources import feeds
 from offermill.sources.tables import kept
@@ -131,6 +131,18 @@ def test_clusters_of_records_equal_brute_force(spark):
     assert 1 < len({r["cluster"] for r in got}) < len(rows)
 
 
+def test_similar_pairs_equal_brute_force(spark):
+    """Sets of one to six words, most of them common; least likeness on both sides of what containment gives."""
+    rng = random.Random(4)
+    words = ["the", "the", "the", "red", "red", *(f"w{i}" for i in range(8))]
+    sets = {i: sorted({rng.choice(words) for _ in range(rng.randint(1, 6))}) for i in range(90)}
+    df = spark.createDataFrame([(i, "ab"[i % 2], t) for i, t in sets.items()], "id long, block string, t array<string>")
+    for least in (0.4, 0.5, 0.82, 0.94):
+        got = {(r["a"], r["b"]): r["similarity"] for r in entity.similar_pairs(df, "id", "block", "t", least).collect()}
+        want = {(a, b): s for a in sets for b in sets if a < b and a % 2 == b % 2 and (s := alike(" ".join(sets[a]), " ".join(sets[b]))) >= least}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
 def test_offers_on_butter_and_guards(spark):
     names = {"butter": 5000 + 2300 + 900 + 280 + 4200, "butterkekse": 900 + 90 - 7000, "irische butter": 2300 + 900 + 280 + 4200, "krauterbutter": 900 + 90 - 350, "milch": 0}
     df = spark.createDataFrame([(n,) for n in names], "n string")
