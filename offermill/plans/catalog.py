@@ -46,12 +46,13 @@ RULE_CLASSIFY_FIRST_MATCH = "select p_partkey, p_type, case " + " ".join(f"when
 
 
 def text_fold_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    german = read(spark, sf_dir, "documents").where("lang = 'de'")
-    return german.select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded_md5"), text.slug(F.col("text")).alias("slug"))
+    """Every document folded by built-in functions, for the letters of Latin alphabets."""
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded_md5"), text.slug(F.col("text")).alias("slug"))
 
 
 _FOLD = f"trim(regexp_replace(replace(translate(lower(text), '{text.FOLD_FROM}', '{text.FOLD_TO}'), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g'))"
-TEXT_FOLD_SLUG = f"select doc_id, md5({_FOLD}) as folded_md5, regexp_replace(substring(replace({_FOLD}, ' ', '-'), 1, 140), '-+$', '') as slug from documents where lang = 'de'"
+TEXT_FOLD_SLUG = f"select doc_id, md5({_FOLD}) as folded_md5, regexp_replace(substring(replace({_FOLD}, ' ', '-'), 1, 140), '-+$', '') as slug from documents"
 
 
 def text_fold_slug_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,24 +164,24 @@ from n left join b on b.rule = n.rule and b.place = 1 left join s on s.rule = n.
 
 
 def relation_pair_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How each product relates to the next ones of its type: keys made of its columns."""
+    """How each product relates to the others of its type and brand: keys made of its columns."""
     p = read(spark, sf_dir, "part").select(
-        "p_partkey", "p_type", F.floor(F.col("p_partkey") / 50).alias("shelf"), "p_size",
+        "p_partkey", "p_type", "p_size",
         F.when(F.col("p_partkey") % 11 == 0, F.lit("4006381333931")).alias("gtin"),
         F.concat_ws("|", "p_name", "p_size").alias("exact_key"), F.concat_ws("|", "p_type", "p_size").alias("comparison_key"),
         F.col("p_name").alias("similarity_key"), F.col("p_brand").alias("group"), (F.col("p_size") % 2 == 0).alias("organic"),
     )
     a, b = p.alias("a"), p.alias("b")
-    j = a.join(b, (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.shelf") == F.col("b.shelf")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
+    j = a.join(b, (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.group") == F.col("b.group")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
     side = lambda s: {k: F.col(f"{s}.{k}") for k in ("gtin", "exact_key", "comparison_key", "similarity_key", "group", "organic")}
     fine = identity.compatible(F.col("a.p_type"), F.col("b.p_type"), [(F.col("a.p_size") % 5, F.col("b.p_size") % 5)])
     return j.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), identity.relation(side("a"), side("b"), fine).alias("relation"))
 
 
 RELATION_PAIR_KIND = """
-with p as (select p_partkey, p_type, p_name, p_brand, p_size, cast(floor(p_partkey / 50) as bigint) as shelf, p_partkey % 11 = 0 as coded, p_size % 2 = 0 as organic from part),
+with p as (select p_partkey, p_type, p_name, p_brand, p_size, p_partkey % 11 = 0 as coded, p_size % 2 = 0 as organic from part),
 j as (select a.p_partkey as a, b.p_partkey as b, a.coded and b.coded as same_code, a.organic as oa, b.organic as ob, a.p_size % 5 = b.p_size % 5 as fine, a.p_brand = b.p_brand as same_group,
-a.p_name = b.p_name and a.p_size = b.p_size as exact, a.p_size = b.p_size as comparison, a.p_name = b.p_name as alike from p a join p b on a.p_type = b.p_type and a.shelf = b.shelf and a.p_partkey < b.p_partkey)
+a.p_name = b.p_name and a.p_size = b.p_size as exact, a.p_size = b.p_size as comparison, a.p_name = b.p_name as alike from p a join p b on a.p_type = b.p_type and a.p_brand = b.p_brand and a.p_partkey < b.p_partkey)
 select a, b, case when same_code then (case when oa = ob then 'exact_match' when oa then 'conventional_alternative' else 'organic_alternative' end)
 when not fine and same_group then 'same_group' when not fine then 'none'
 when exact then (case when oa = ob then 'exact_match' when oa then 'conventional_alternative' else 'organic_alternative' end)
@@ -302,14 +303,14 @@ from part where p_partkey in (select l_partkey from lineitem) group by rollup (p
 
 
 def set_diff_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands new, gone and present between odd and even sizes of products."""
-    p = read(spark, sf_dir, "part").where("p_partkey % 5 < 2")
-    sides = p.groupBy("p_brand").agg(F.bool_or(F.col("p_partkey") % 5 == 0).alias("old"), F.bool_or(F.col("p_partkey") % 5 == 1).alias("new"))
+    """Brands new, gone and present between a fifth of the products and the rest."""
+    p = read(spark, sf_dir, "part")
+    sides = p.groupBy("p_brand").agg(F.bool_or(F.col("p_partkey") % 5 == 0).alias("old"), F.bool_or(F.col("p_partkey") % 5 > 0).alias("new"))
     return sides.select("p_brand", F.when(~F.col("old"), "new").when(~F.col("new"), "removed").otherwise("present").alias("status"))
 
 
 SET_DIFF_BRANDS = """
-with p as (select p_brand, max(case when p_partkey % 5 = 0 then 1 else 0 end) as o, max(case when p_partkey % 5 = 1 then 1 else 0 end) as n from part where p_partkey % 5 < 2 group by 1)
+with p as (select p_brand, max(case when p_partkey % 5 = 0 then 1 else 0 end) as o, max(case when p_partkey % 5 > 0 then 1 else 0 end) as n from part group by 1)
 select p_brand, case when o = 0 then 'new' when n = 0 then 'removed' else 'present' end as status from p"""
 
 

@@ -73,17 +73,17 @@ CARRY_FORWARD_RANGE = "select event_id, user_id, last_value(case when event_type
 
 
 def context_window_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns around each turn, and the nearest user turn before it."""
-    c = read(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text"))
-    out = lines.context(c, ["conv_id"], ["turn"], F.substring("text", 1, 20), 2, 1, "around")
-    out = lines.looked_back(out, ["conv_id"], ["turn"], F.col("role") == "user", F.col("turn"), 10, "user_turn")
+    """The turns around each turn, two before and one after, and the nearest user turn before it."""
+    c, order = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), ["turn", "role", "text"]
+    out = lines.context(c, ["conv_id"], order, F.col("text"), 2, 1, "around")
+    out = lines.looked_back(out, ["conv_id"], order, F.col("role") == "user", F.col("turn"), 10, "user_turn")
     return out.select("conv_id", "turn", F.md5("around").alias("around_md5"), "user_turn")
 
 
 CONTEXT_WINDOW_LINES = """
-with c as (select conv_id, turn, min(role) as role, min(text) as text from conversations group by 1, 2)
-select conv_id, turn, md5(string_agg(substring(text, 1, 20), chr(10)) over (partition by conv_id order by turn rows between 2 preceding and 1 following)) as around_md5,
-last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows between 10 preceding and current row) as user_turn from c"""
+select conv_id, turn, md5(coalesce(string_agg(text, chr(10)) over (w rows between 2 preceding and 1 following), '')) as around_md5,
+last_value(case when role = 'user' then turn end ignore nulls) over (w rows between 10 preceding and current row) as user_turn
+from conversations window w as (partition by conv_id order by turn nulls first, role nulls first, text nulls first)"""
 
 
 def context_window_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
