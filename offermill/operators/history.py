@@ -163,3 +163,21 @@ def indexed(offers: DataFrame, events: DataFrame, id_col: str, values: list[str]
     key = lambda: F.coalesce(F.concat(F.lit("ean:"), F.col("gtin")), F.concat(F.lit("id:"), F.col("product_id")))
     keys = F.array_compact(F.array(F.concat(F.lit("ean:"), F.col("gtin")), F.concat(F.lit("id:"), F.col("product_id"))))
     return offers.select(id_col, key().alias("_key")).join(events.select(F.explode(keys).alias("_key"), *values), "_key").drop("_key")
+
+
+def migrated(events: DataFrame) -> DataFrame:
+    """Events of the first format in the second: what was not asked for then is filled in from what was.
+
+    A product id is made of store, name and size, else it is the canonical
+    one; the effective price is the price; the observation was when the event
+    was first, else last seen; its source is the history that there was.
+    """
+    from offermill.functions.text import slug
+
+    made = F.nullif(slug(F.concat_ws("|", F.coalesce("store", F.lit("")), F.coalesce("name", F.lit("")), F.coalesce("size", F.lit("")))), F.lit(""))
+    return events.withColumns({
+        "product_id": F.coalesce("product_id", made, "canonical_id"),
+        "effective_price": F.round(F.coalesce("effective_price", "price"), 4),
+        "observed_at": F.coalesce("observed_at", "first_seen", "last_seen"),
+        "source_type": F.coalesce("source_type", F.lit("existing_history")),
+    })

@@ -12,6 +12,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    stream = spark.readStream.schema(read(spark, sf_dir, name).schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return stream.parquet(str(path))
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def shared_top(spark: SparkSession) -> str:
     """The folder that driver and executors share, of spark.checkpoint.dir.
 

@@ -35,32 +35,32 @@ class SeriesRuns(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         numbers = lambda *names: [StructField(n, LongType()) for n in names]
-        self.run = handle.getValueState("run", StructType([*self.values, *numbers("first", "last", "n")]))
+        self.run = handle.getValueState("run", StructType([*self.values, *numbers("first", "last", "n", "number")]))
         self.rows = handle.getListState("rows", StructType([*numbers("at"), self.tie, *self.values]))
 
     def close(self) -> None:
         pass
 
     def _goes_on(self, run: tuple, at: int) -> bool:
-        return at - run[-2] <= self.gap or any(run[i] is not None for i in self.dated)
+        return at - run[-3] <= self.gap or any(run[i] is not None for i in self.dated)
 
     def _runs(self, run: tuple | None, rows: list[tuple]) -> list[tuple]:
-        """(values, first, last, n) of the runs of rows in order, going on with `run`."""
+        """(values, first, last, n, number) of the runs of rows in order, going on with `run`."""
         out = [run] if run else []
         for at, _, *values in rows:
-            if out and list(out[-1][:-3]) == values and self._goes_on(out[-1], at):
-                out[-1] = (*out[-1][:-2], at, out[-1][-1] + 1)
+            if out and list(out[-1][:-4]) == values and self._goes_on(out[-1], at):
+                *same, _, n, number = out[-1]
+                out[-1] = (*same, at, n + 1, number)
             else:
-                out.append((*values, at, at, 1))
+                out.append((*values, at, at, 1, out[-1][-1] + 1 if out else 0))
         return out
 
     def _held(self) -> tuple[tuple | None, list[tuple]]:
         return tuple(self.run.get()) if self.run.exists() else None, [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
 
     def _given(self, key: tuple, runs: list[tuple], closed: int) -> pd.DataFrame:
-        since = min(r[-3] for r in runs)
-        rows = [(*key, *r, i < closed, since) for i, r in enumerate(runs)]
-        return pd.DataFrame(rows, columns=[*(f"key{i}__" for i in range(len(key))), *(f.name for f in self.values), "first__", "last__", "observations", "closed", "since__"], dtype=object)
+        rows = [(*key, *r, i < closed, runs[0][-4], runs[0][-1]) for i, r in enumerate(runs)]
+        return pd.DataFrame(rows, columns=[*(f"key{i}__" for i in range(len(key))), *(f.name for f in self.values), "first__", "last__", "observations", "number", "closed", "since__", "since_number"], dtype=object)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = ["micros__", self.tie.name, *(f.name for f in self.values)]
@@ -79,7 +79,7 @@ class SeriesRuns(StatefulProcessor):
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if not any(runs[-1][i] is not None for i in self.dated):
-            self.handle.registerTimer((runs[-1][-2] + self.gap) // 1000 + 1)
+            self.handle.registerTimer((runs[-1][-3] + self.gap) // 1000 + 1)
         yield self._given(key, runs, len(settled) - 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -91,10 +91,10 @@ class SeriesRuns(StatefulProcessor):
 
 
 def series_runs(stream: DataFrame, series: list[str], values: list[str], at: str, tie: str, delay: str, gap_days: float = MAX_GAP_DAYS, dated: tuple[str, ...] = ()) -> DataFrame:
-    """A stream of the runs that each batch of observations changes: series, values, first_seen, last_seen, observations, closed and since.
+    """A stream of the runs that each batch of observations changes: series, values, first_seen, last_seen, observations, number, closed, since and since_number.
 
-    They take the place of all runs of their series that begin at `since` or
-    later. Observations later than `delay` behind the greatest time seen are
+    Runs of a series are in the order of (first_seen, number). These take the
+    place of all of their series from (since, since_number) on. Observations later than `delay` behind the greatest time seen are
     left out; null values equal each other, null times are left out.
     """
     kinds = {f.name: f for f in stream.schema.fields}
@@ -102,24 +102,25 @@ def series_runs(stream: DataFrame, series: list[str], values: list[str], at: str
     time = F.col(at).cast("timestamp")
     rows = stream.where(F.col(at).isNotNull()).select(*(F.col(s).alias(k) for s, k in zip(series, keys)), *values, tie, time.alias("time__"), F.unix_micros(time).alias("micros__"))
     long = lambda n: StructField(n, LongType())
-    out = StructType([*(StructField(k, kinds[s].dataType) for s, k in zip(series, keys)), *(kinds[v] for v in values), long("first__"), long("last__"), long("observations"), StructField("closed", BooleanType()), long("since__")])
+    out = StructType([*(StructField(k, kinds[s].dataType) for s, k in zip(series, keys)), *(kinds[v] for v in values), long("first__"), long("last__"), long("observations"), long("number"), StructField("closed", BooleanType()), long("since__"), long("since_number")])
     processor = SeriesRuns([kinds[v] for v in values], kinds[tie], int(gap_days * 86_400_000_000), list(dated))
     runs = rows.withWatermark("time__", delay).groupBy(*keys).transformWithStateInPandas(processor, out, "Update", "EventTime")
     moment = lambda c, name: F.timestamp_micros(c).cast(kinds[at].dataType).alias(name)
-    return runs.select(*(F.col(k).alias(s) for s, k in zip(series, keys)), *values, moment("first__", "first_seen"), moment("last__", "last_seen"), "observations", "closed", moment("since__", "since"))
+    return runs.select(*(F.col(k).alias(s) for s, k in zip(series, keys)), *values, moment("first__", "first_seen"), moment("last__", "last_seen"), "observations", "number", "closed", moment("since__", "since"), "since_number")
 
 
 def replaced(series: list[str]):
-    """A merge for VersionedTable: the runs of a batch in place of those that began at `since` or later; of a run that comes twice the closed one."""
+    """A merge for VersionedTable: the runs of a batch in place of those of their series from `since` on; of a run that comes twice the closed one."""
 
     def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
-        rest = [c for c in new.columns if c not in (*series, "first_seen", "since", "closed")]
-        once = new.groupBy(*series, "first_seen").agg(F.max_by(F.struct(*rest, "closed"), "closed").alias("r")).select(*series, "first_seen", "r.*")
+        rest = [c for c in new.columns if c not in (*series, "first_seen", "number", "closed", "since", "since_number")]
+        once = new.groupBy(*series, "first_seen", "number").agg(F.max_by(F.struct(*rest, "closed"), F.struct("closed", "observations")).alias("r")).select(*series, "first_seen", "number", "r.*")
         if old is None:
             return once
-        since = new.groupBy(*series).agg(F.min("since").alias("since__")).toDF(*(f"_{s}" for s in series), "since__")
+        since = new.groupBy(*series).agg(F.min(F.struct("since", "since_number")).alias("since__")).toDF(*(f"_{s}" for s in series), "since__")
         same = [F.col(s).eqNullSafe(F.col(f"_{s}")) for s in series]
-        kept = old.join(since, same, "left").where("since__ is null or first_seen < since__").select(*old.columns)
+        before = F.col("since__").isNull() | (F.struct(F.col("first_seen").alias("since"), F.col("number").alias("since_number")) < F.col("since__"))
+        kept = old.join(since, same, "left").where(before).select(*old.columns)
         return kept.unionByName(once.select(*old.columns))
 
     return merge
