@@ -22,20 +22,24 @@ def described(records: DataFrame, id_col: str, scope: list[str]) -> DataFrame:
     size = plain("size")
     for pattern, unit in (("gramm|grams?", "g"), ("kilogramm|kilograms?", "kg"), ("liter|litres?", "l")):
         size = F.regexp_replace(size, rf"(?<![0-9a-z_])(?:{pattern})(?![0-9a-z_])", unit)
-    rows = records.select("*", F.col(id_col).alias("_id"), F.concat_ws("|", *(plain(c) for c in scope)).alias("_scope"), plain("name").alias("_name"), plain("brand").alias("_brand"), size.alias("_size"), _filled(plain("gtin")).alias("_gtin"), plain("family").alias("_family"))
+    known = F.col("canonical_id") if "canonical_id" in records.columns else F.lit(None).cast("string")
+    canonical = F.when(~F.coalesce(known.startswith("gtin-"), F.lit(False)), _filled(fold(F.coalesce(known, F.lit("")), keep="a-z0-9%")))
+    rows = records.select("*", canonical.alias("_canonical"), F.col(id_col).alias("_id"), F.concat_ws("|", *(plain(c) for c in scope)).alias("_scope"), plain("name").alias("_name"), plain("brand").alias("_brand"), size.alias("_size"), _filled(plain("gtin")).alias("_gtin"), plain("family").alias("_family"))
     ids = F.filter(F.transform(F.coalesce("source_ids", F.array().cast("array<string>")), lambda i: fold(i, keep="a-z0-9%")), lambda i: i != "")
-    return rows.select("*", ids.alias("_ids"), organic(F.concat_ws(" ", "_name", "_brand"), F.col("organic")).alias("_organic"), variant_signature(F.col("_name")).alias("_variant"), without_noise(F.col("_name"), F.col("_brand")).alias("_plain"))
+    return rows.select("*", ids.alias("_ids"), organic(F.concat_ws(" ", "_name", "_brand"), F.col("organic")).alias("_organic"), variant_signature(F.col("_name")).alias("_variant"), without_noise(F.col("_name"), F.lit("")).alias("_clean"), without_noise(F.col("_name"), F.col("_brand")).alias("_plain"))
 
 
 def blocks(d: str = "") -> Column:
-    """Keys of which two records must share one to be candidates: article number, source's numbers, signature, family, and the bucket of equal traits."""
+    """Keys of which two records must share one to be candidates: article number, source's numbers, signature, canonical id, family, and the bucket of equal traits."""
     c = lambda x: F.col(f"{d}{x}")
-    traits = F.concat_ws("|", c("_size"), c("_organic").cast("string"))
+    traits = F.concat_ws("|", c("_size"), F.when(c("_organic"), "True").otherwise("False"))
+    key = lambda kind, *parts: F.concat(F.lit(kind), F.concat_ws("|", *parts))
     own = F.array(
         F.concat(F.lit("gtin:"), c("_gtin")),
-        F.concat_ws("|", F.lit("sig:"), c("_brand"), c("_plain"), traits, c("_variant")),
-        F.when((c("_family") != "") & (c("_brand") != "") & (c("_size") != ""), F.concat_ws("|", F.lit("family:"), c("_family"), c("_brand"), traits, c("_variant"))),
-        F.concat_ws("|", F.lit("bucket:"), c("_family"), traits, c("_brand")),
+        key("sig:", c("_brand"), c("_plain"), traits, c("_variant")),
+        F.when(c("_canonical").isNotNull(), key("canonical:", c("_canonical"), traits, c("_variant"))),
+        F.when((c("_family") != "") & (c("_brand") != "") & (c("_size") != ""), key("family:", c("_family"), c("_brand"), traits, c("_variant"))),
+        key("bucket:", c("_family"), traits, c("_brand")),
     )
     return F.array_distinct(F.filter(F.concat(own, F.transform(c("_ids"), lambda i: F.concat(F.lit("source:"), i))), lambda k: k.isNotNull()))
 
@@ -67,7 +71,7 @@ def likely_same(a: str, b: str) -> Column:
     )
 
 
-_TRAITS = ("_scope", "_name", "_brand", "_size", "_gtin", "_family", "_ids", "_organic", "_variant", "_plain")
+TRAITS = ("_scope", "_name", "_brand", "_size", "_gtin", "_family", "_ids", "_organic", "_variant", "_plain", "_canonical")
 
 
 def duplicate_pairs(rows: DataFrame) -> DataFrame:
@@ -76,9 +80,9 @@ def duplicate_pairs(rows: DataFrame) -> DataFrame:
     Records of equal traits are one to each other and meet others once, so
     that a product with many copies makes no pairs among them.
     """
-    keyed = rows.groupBy(*_TRAITS).agg(F.min("_id").alias("_id"))
+    keyed = rows.groupBy(*TRAITS).agg(F.min("_id").alias("_id"))
     block = keyed.select("*", F.explode(blocks()).alias("_block"))
-    prefixed = lambda p: block.select(F.col("_scope"), F.col("_block"), F.col("_id").alias(f"{p}_id"), *(F.col(t).alias(f"{p}{t}") for t in _TRAITS if t != "_scope"))
+    prefixed = lambda p: block.select(F.col("_scope"), F.col("_block"), F.col("_id").alias(f"{p}_id"), *(F.col(t).alias(f"{p}{t}") for t in TRAITS if t != "_scope"))
     met = prefixed("x").join(prefixed("y"), ["_scope", "_block"]).where("x_id < y_id").where(likely_same("x", "y"))
     return met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
@@ -90,11 +94,11 @@ def clustered(records: DataFrame, id_col: str, scope: list[str], write: Callable
     can end in other clusters where likeness is not transitive.
     """
     rows = write(described(records, id_col, scope))
-    first = rows.groupBy(*_TRAITS).agg(F.min("_id").alias("_first"))
+    first = rows.groupBy(*TRAITS).agg(F.min("_id").alias("_first"))
     pairs = write(duplicate_pairs(rows))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     parts = linked_components(pairs, ids, write).withColumnsRenamed({"id": "_first", "component": "_component"})
-    on = [F.col(f"r.{t}").eqNullSafe(F.col(f"f.{t}")) for t in _TRAITS]
+    on = [F.col(f"r.{t}").eqNullSafe(F.col(f"f.{t}")) for t in TRAITS]
     joined = rows.alias("r").join(first.alias("f"), on).select(*(F.col(f"r.{c}") for c in records.columns), F.col("f._first"))
     return joined.join(parts, "_first", "left").select(*records.columns, F.coalesce("_component", "_first").alias("cluster"))
 

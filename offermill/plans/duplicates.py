@@ -109,3 +109,40 @@ QUERIES = {
     "bulk_prices": (bulk_prices, BULK_PRICES),
     "catalog_unique": (catalog_unique, CATALOG_UNIQUE),
 }
+
+
+def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with names of more or fewer words: of name, type and brand, so that some hold others."""
+    k = F.col("p_partkey")
+    words = F.concat_ws(" ", F.when(k % 5 == 4, F.lit("HiPP")), "p_name", F.when(k % 3 > 0, F.lower("p_type")), F.when(k % 3 > 1, F.col("p_brand")), F.when(k % 7 == 0, F.lit("neu")))
+    return read(spark, sf_dir, "part").select("p_partkey", words.alias("name"), (F.col("p_size") % 4).alias("size"), (k % 2 == 0).alias("app"), "p_retailprice")
+
+
+def names_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which products a pass by price keeps, if it drops names that hold or are held by kept ones."""
+    from offermill.operators.greedy import without_contained
+
+    return without_contained(_offers(spark, sf_dir), "p_partkey", "name", ["size", "app"], "p_retailprice", kept).select("p_partkey", "name", "kept")
+
+
+def varied_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """records with families, canonical ids, longer names and fewer brands, so that names alike but not equal decide."""
+    k, r = F.col("id"), records(spark, sf_dir)
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_type", "p_name", "p_size")
+    more = F.concat_ws(" ", "p_name", F.lower("p_type"), F.when(k % 3 == 0, F.lit("neue sorte")), F.when(k % 4 == 0, F.lit("mild")), F.when(k % 11 == 0, F.lit("3,5 %")))
+    return r.drop("name", "family", "size", "brand").join(p, "id").select(
+        *(c for c in r.columns if c not in ("name", "family", "size", "brand")), more.alias("name"), F.when(k % 5 < 2, F.concat(F.lit("f"), (F.col("p_size") % 3).cast("string"))).alias("family"),
+        F.when(k % 6 != 5, F.concat((F.col("p_size") % 4).cast("string"), F.lit(" g"))).alias("size"), F.when(k % 4 == 1, F.concat(F.lit("marke"), (F.col("p_size") % 2).cast("string"))).alias("brand"),
+        F.when(k % 13 == 0, F.concat(F.lit("c"), (F.col("p_size") % 7).cast("string"))).when(k % 13 == 1, F.lit("gtin-1")).alias("canonical_id"),
+    )
+
+
+def duplicates_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products that a pass over the records in order leaves within each store."""
+    from offermill.operators.greedy import merged_in_order
+
+    out = merged_in_order(varied_records(spark, sf_dir), "id", ["store"], kept)
+    return out.withColumn("source_types", F.array_join("source_types", ","))
+
+
+QUERIES |= {"names_contained": (names_contained, None), "duplicates_in_order": (duplicates_in_order, None)}

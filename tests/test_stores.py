@@ -151,10 +151,10 @@ def test_backfill_equals_a_loop(spark):
     rng = random.Random(5)
     offer = StructType().add("product", "string").add("market", "string").add("price", "double").add("until", "string").add("sure", "double")
     docs, kinds = [], []
-    for n in range(40):
+    for n in range(90):
         offers = [{"product": rng.choice("pqr"), "market": rng.choice("MN"), "price": rng.choice([1.0, 1.0, 1.0, 1.0, 1.0, 2.0, None, -1.0]), "until": rng.choice([None] * 7 + ["2024-02"]), "sure": rng.choice([1.0, 0.9, 0.9, 0.5])} for _ in range(rng.randrange(6))]
         body = rng.choice([json.dumps({"offers": offers})] * 5 + ["{", None, "[1]", json.dumps({"other": 1})])
-        docs.append((n, datetime(2024, 1, 1) + timedelta(days=int(n * 3.3)), body))
+        docs.append((n, datetime(2024, 1, 1) + timedelta(hours=n * 20), body))
         kinds.append((offers, body is not None and body.startswith('{"offers"')))
 
     # the reference's pass, one price after the other
