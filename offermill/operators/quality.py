@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from offermill.functions.rules import first_reason
@@ -174,3 +176,22 @@ def size_score(size: Column) -> Column:
     """How plausible a size is among several of one name and price: one whole unit, no multiple, no mere package."""
     s = F.trim(F.coalesce(size, F.lit("")))
     return F.when(_says(s, r"^1(?:[.,]0+)?\s*(?:kg|l)$"), 20).otherwise(0) + F.when(~s.rlike("[x×]"), 5).otherwise(0) + F.when(~_says(s, "^packung$"), 3).otherwise(0) - F.when(_says(s, r"^(?:0[.,]75|0[.,]5)\s*l$"), 1).otherwise(0)
+
+
+def observed_passes(df: DataFrame, passes: list[tuple[str, Callable[[DataFrame], DataFrame], list[tuple[str, Column]]]]) -> tuple[DataFrame, dict[str, Observation]]:
+    """The rows that all passes leave, and what each of them counts while these are written or read.
+
+    A pass is its name, a repair that adds `repaired` (how many of a row's
+    values it changed), and the checks that reject. After the one job that
+    takes all rows, each observation has before, after, rejected, repaired and
+    the count of each reason: the numbers are those of that very run.
+    """
+    found = {}
+    for name, repair, checks in passes:
+        marked = with_reason(repair(df), checks)
+        found[name] = Observation(name)
+        good = F.col("reason").isNull()
+        by_reason = [F.count_if(F.col("reason").eqNullSafe(r)).alias(r) for r in dict.fromkeys(r for r, _ in checks)]
+        marked = marked.observe(found[name], F.count("*").alias("before"), F.count_if(good).alias("after"), F.count_if(~good).alias("rejected"), F.coalesce(F.sum("repaired"), F.lit(0)).cast("long").alias("repaired"), *by_reason)
+        df = marked.where(good).drop("reason", "repaired")
+    return df, found

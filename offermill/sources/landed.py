@@ -42,8 +42,8 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def markdown_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Sections below headings of third to fifth level: the id, name and body of each."""
-    sections = F.slice(F.split(F.concat(F.lit("\n"), F.col(text_col)), r"\n#{3,5}\s+"), 2, 1_000_000)
-    out = docs.select(id_col, F.posexplode(sections).alias("position", "section"))
+    parts = F.split(F.concat(F.lit("\n"), F.col(text_col)), r"\n#{3,5}\s+")
+    out = docs.select(id_col, F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("position", "section"))  # all but what is before the first heading
     return out.select(id_col, "position", F.trim(F.substring_index("section", "\n", 1)).alias("name"), F.trim(F.regexp_replace("section", r"^[^\n]*\n?", "")).alias("body"))
 
 
