@@ -23,6 +23,7 @@ class Rule(NamedTuple):
     """A match is the head and then as many characters as follow of the value's class, `at_once` or more.
 
     A match whose value has fewer than `least` is no secret, but ends there all the same.
+    It goes on to the next match of `tail`, if there is one and no two hyphens in a row come before it.
     """
 
     kind: str
@@ -31,6 +32,7 @@ class Rule(NamedTuple):
     least: int = 1
     ignore_case: bool = False
     at_once: int = 1
+    tail: str = ""
 
     @property
     def pattern(self) -> str:
@@ -44,13 +46,13 @@ BASE_RULES = (
     Rule("access", "AKIA", "[A-Z0-9]", 16),
     Rule("hex", "", "[0-9a-f]", 24, False, 8),
 )
-#: Public formats of well-known keys.
+#: Public formats of well-known keys. A private key reaches to its last line; where that is missing, as far as its characters do.
 MORE_RULES = (
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]", 30),
     Rule("google", "AIza", "[A-Za-z0-9_-]", 30),
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]", 10),
     Rule("stripe", "[sr]k_live_", "[A-Za-z0-9]", 16),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY", "-", 5),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY[A-Z ]*-----", r"[A-Za-z0-9+/=\x09-\x0D\\]", 0, False, 0, "-----END [A-Z ]*PRIVATE KEY[A-Z ]*-----"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -60,8 +62,10 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.all = compile_rules([(r.pattern, r.ignore_case) for r in rules], search=True)
-        self.back: list[Automaton] = [compile_rules([(r.pattern, r.ignore_case)], search=False, backwards=True) for r in rules]
+        patterns = [(r.pattern, r.ignore_case) for r in rules] + [(r.tail, r.ignore_case) for r in rules if r.tail]
+        self.tails = {k: len(rules) + i for i, k in enumerate(k for k, r in enumerate(rules) if r.tail)}
+        self.all = compile_rules(patterns, search=True)
+        self.back: list[Automaton] = [compile_rules([p], search=False, backwards=True) for p in patterns]
         self.heads = [compile_rules([(r.head, r.ignore_case)], search=False) if r.head else None for r in rules]
 
     def accepted(self, data: bytes) -> list[tuple[int, int]]:
@@ -101,18 +105,25 @@ class Scanner:
         spans = []
         accepted = self.accepted(data)
         for k, rule in enumerate(self.rules) if accepted else ():
-            ends = [e for e, bits in accepted if bits >> k & 1]
-            last = 0
-            for e, after in zip(ends, [*ends[1:], -1]):
-                if after == e + 1:
-                    continue  # the match goes on
-                if (b := self.begins(k, data, e, last)) < 0:
-                    continue
-                last = e
-                if e - self.value_begins(k, data, b) >= rule.least:
-                    spans.append((b, k, e))
+            heads = [(b, e, self.value_begins(k, data, b)) for b, e in self._matches(k, data, accepted)]
+            tails = self._matches(self.tails[k], data, accepted) if rule.tail and heads else []
+            for b, e, value in heads:
+                if e - value >= rule.least:
+                    first = next((t for t in tails if t[0] >= value), None)
+                    spans.append((b, k, first[1] if first and data.find(b"--", value, first[0]) < 0 else e))
         return sorted(spans)
 
+    def _matches(self, pattern: int, data: bytes, accepted: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """(begin, end) of the leftmost longest matches of a pattern, from where the automaton accepted."""
+        found, last = [], 0
+        ends = [e for e, bits in accepted if bits >> pattern & 1]
+        for e, after in zip(ends, [*ends[1:], -1]):
+            # a match that goes on ends later
+            if after != e + 1 and (b := self.begins(pattern, data, e, last)) >= 0:
+                last = e
+                found.append((b, e))
+        return found
+
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, begin, end) in code points, by begin and then as the rules are listed."""
         data = text.encode()

@@ -98,6 +98,20 @@ def test_secrets_of_documents(spark):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
 
 
+def test_private_keys_go_whole(scanner, spark):
+    """Header, body and last line; without the last line as far as the body's characters go; prose around it stays."""
+    body = "MIIEvQIBADANBgkq/+=\nhkiG9w0BAQ\n"
+    whole = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}-----END RSA PRIVATE KEY-----"
+    cut = f"-----BEGIN PRIVATE KEY-----\n{body}"
+    escaped = "-----BEGIN EC PRIVATE KEY-----\\nQUJD\\n-----END EC PRIVATE KEY-----"
+    texts = [f"é vor {whole} nach {whole}.", f"a {cut}-- b", f'{{"k": "{escaped}"}}', "-----BEGIN PRIVATE KEY----- nur -----BEGIN PRIVATE KEY----- so", f"{cut} viel Text -- und {whole}", "-----BEGIN CERTIFICATE-----\nMIIE\n-----END CERTIFICATE-----"]
+    found = [[t[b:e] for k, b, e in scanner.spans(t) if k == "private_key"] for t in texts]
+    header = "-----BEGIN PRIVATE KEY-----"
+    assert found == [[whole, whole], [cut], [escaped], [header, header], [cut, whole], []]
+    clean = [r["text"] for r in secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert clean[0] == "é vor [SECRET] nach [SECRET]." and all("MIIEv" not in t and "QUJD" not in t and "hkiG" not in t for t in clean[:5]) and clean[5] == texts[5]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "x token = abcdef0123456789abcdef01 y"), (2, None), (3, "clean")], "doc_id long, text string")
     assert [r["text"] for r in secrets.redact(df).orderBy("doc_id").collect()] == ["x [SECRET] y", None, "clean"]
