@@ -44,17 +44,25 @@ def _draw(k: int, word: Column, log_count: Column) -> Column:
     return F.shiftleft(stand, 24).bitwiseOR((F.shiftrightunsigned(g, 40) + t * 7919).bitwiseAND((1 << 24) - 1))
 
 
-def fingerprint(bodies: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and fingerprint of each row of bodies (keys, body); rows of the same keys count together.
+def fingerprints(bodies: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, fingerprint and edited_fingerprint of the texts `text` and `edited` of each key of bodies.
 
-    If bodies are dealt by one of the keys, nothing is shuffled.
+    A word that both texts have as often is drawn for once. Minima are kept as
+    numbers until they are complete; digits are written last. If bodies are
+    dealt by keys, nothing is shuffled.
     """
-    words = bodies.select(*keys, F.explode(F.split(F.btrim(F.lower("body"), F.lit(WHITE)), "[ \\t-\\r]+")).alias("word"))
-    counted = words.select(*keys, F.xxhash64("word").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
-    weighed = counted.select(*keys, "word", F.log("n").alias("log_n"))
-    drawn = weighed.groupBy(*keys).agg(*(F.min(_draw(k, F.col("word"), F.col("log_n"))).alias(f"d{k}") for k in range(SAMPLES)))
-    digits = [F.substring(F.lpad(F.hex(F.xxhash64(f"d{k}")), 16, "0"), 1, 4) for k in range(SAMPLES)]
-    return drawn.select(*keys, F.lower(F.concat(*digits)).alias("fingerprint"))
+    parts = lambda c: F.split(F.btrim(F.lower(c), F.lit(WHITE)), "[ \\t-\\r]+")
+    sides = bodies.select(*keys, F.posexplode(F.array("text", "edited")).alias("side", "body"))
+    words = sides.select(*keys, "side", F.explode(parts(F.col("body"))).alias("word")).select(*keys, "side", F.xxhash64("word").alias("word"))
+    counted = words.groupBy(*keys, "word").agg(F.count_if(F.col("side") == 0).alias("own"), F.count_if(F.col("side") == 1).alias("new"))
+    kind = lambda which, n: F.struct(F.lit(which).alias("kind"), n.alias("n"))
+    kinds = F.when(F.col("own") == F.col("new"), F.array(kind(0, F.col("own")))).otherwise(F.filter(F.array(kind(1, F.col("own")), kind(2, F.col("new"))), lambda x: x["n"] > 0))
+    weighed = counted.select(*keys, "word", F.explode(kinds).alias("k")).select(*keys, "word", "k.kind", F.log("k.n").alias("log_n"))
+    drawn = weighed.groupBy(*keys, "kind").agg(*(F.min(_draw(k, F.col("word"), F.col("log_n"))).alias(f"d{k}") for k in range(SAMPLES)))
+    least = lambda k, other: F.min(F.when(F.col("kind") != other, F.col(f"d{k}")))
+    both = drawn.groupBy(*keys).agg(*(least(k, other).alias(f"{side}{k}") for side, other in (("a", 2), ("b", 1)) for k in range(SAMPLES)))
+    digits = lambda side: F.lower(F.concat(*(F.substring(F.lpad(F.hex(F.xxhash64(f"{side}{k}")), 16, "0"), 1, 4) for k in range(SAMPLES))))
+    return both.select(*keys, digits("a").alias("fingerprint"), digits("b").alias("edited_fingerprint"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -63,8 +71,8 @@ def likeness(a: str, b: str) -> Column:
     return F.size(F.filter(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), same)) / F.lit(float(SAMPLES))
 
 
-def next_ids(ids: DataFrame) -> DataFrame:
-    """doc_id, n and next_id, the next smaller doc_id (after the least: the greatest), of ids (doc_id, n).
+def next_rows(ids: DataFrame) -> DataFrame:
+    """id, copy, n, next_id and next_copy of ids (id, copy, n): the next row by falling id, then rising copy (after the last: the first).
 
     The order is cut into stretches at quantiles; each is sorted for itself,
     and only the greatest id of each is known outside it.
@@ -72,48 +80,48 @@ def next_ids(ids: DataFrame) -> DataFrame:
     total = ids.count()
     low, high = STRETCHES
     stretches = min(high, max(low, math.ceil(total / STRETCH)))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / stretches for i in range(1, stretches)], 20 * stretches).alias("q")).first()["q"] or []
-    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: x < F.col("doc_id"))) if cuts else F.lit(0)
+    cuts = ids.agg(F.percentile_approx("id", [i / stretches for i in range(1, stretches)], 20 * stretches).alias("q")).first()["q"] or []
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda x: x < F.col("id"))) if cuts else F.lit(0)
     placed = ids.withColumn("stretch", at)
-    tops = {r["stretch"]: r["top"] for r in placed.groupBy("stretch").agg(F.max("doc_id").alias("top")).collect()}  # one row a stretch
+    tops = {r["stretch"]: r["top"] for r in placed.groupBy("stretch").agg(F.max("id").alias("top")).collect()}  # one row a stretch
     order = sorted(tops)
     over = {s: tops[order[i - 1]] for i, s in enumerate(order)}  # after the lowest stretch: the greatest of all
     then = F.create_map(*(F.lit(x) for kv in over.items() for x in kv))[F.col("stretch")] if over else F.lit(None).cast("long")
-    lead = F.lead("doc_id").over(Window.partitionBy("stretch").orderBy(F.desc("doc_id")))
-    return placed.select("doc_id", "n", F.coalesce(lead, then).alias("next_id"))
+    w = Window.partitionBy("stretch").orderBy(F.desc("id"), "copy")
+    return placed.select("id", "copy", "n", F.coalesce(F.lead("id").over(w), then).alias("next_id"), F.coalesce(F.lead("copy").over(w), F.lit(0)).alias("next_copy"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every document.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
     The edited text has its last floor(n_chars / 2) code points replaced by
     the first as many, or all, of the next document by falling id. Null and
-    empty texts have the fingerprint of one empty word. Rows that repeat an id
-    are one document: the longest text, then the greatest; rows without an id
-    are left out. An empty table gives an empty one; one document is its own next.
+    empty texts have the fingerprint of one empty word. Each row is a document:
+    of rows that repeat an id the longest text comes first, then the greatest;
+    rows without an id come last. An empty table gives an empty one; one
+    document is its own next.
     """
-    rows = texts(docs, id_col, text_col).where("doc_id is not null").withColumn("n", F.char_length("text").cast("long"))
-    ids = rows.select("doc_id", "n")
-    once = ids.groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
-    if not once.where("rows > 1").isEmpty():
-        latest = Window.partitionBy("doc_id").orderBy(F.desc("n"), F.desc("text"))
-        rows = rows.withColumn("place", F.row_number().over(latest)).where("place = 1")
-    rows = rows.select("doc_id", "text")
-    order = written(next_ids(once.drop("rows")), "order")
-
-    # the document's own text and what it takes from the next one's meet by doc_id
-    head = rows.join(order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("owner"), "n"), "doc_id")
-    head = head.select(F.col("owner").alias("doc_id"), "n", F.expr("substring(text, 1, cast(n div 2 as int))").alias("head"))
+    rows = texts(docs, id_col, text_col).withColumn("n", F.char_length("text").cast("long"))
+    # ids that are missing stand after all others; the flag tells them from the least one
+    rows = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("doc_id").isNull().alias("unknown"), "n", "text")
+    if rows.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+        rows = rows.withColumn("copy", F.lit(0))
+    else:
+        rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("unknown", F.desc("n"), F.desc("text"))) - 1)
+    order = written(next_rows(rows.select("id", "copy", "n")), "order")
+
+    # the document's own text and what it takes from the next one's meet by id and copy
+    key = ["id", "copy"]
+    head = rows.select(F.col("id").alias("next_id"), F.col("copy").alias("next_copy"), "text").join(order, ["next_id", "next_copy"])
+    head = head.select(*key, F.expr("substring(text, 1, cast(n div 2 as int))").alias("head"))
     edited = F.concat(F.expr("substring(text, 1, cast(n - n div 2 as int))"), F.col("head"))
-    both = rows.join(head, "doc_id").select("doc_id", "n", "text", edited.alias("edited"))
-    sides = both.select("doc_id", F.posexplode(F.array("text", "edited")).alias("side", "body"))
-    printed = fingerprint(sides, ["doc_id", "side"])
-    pair = printed.groupBy("doc_id").agg(F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    digest = both.select("doc_id", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    pair = written(digest.join(pair, "doc_id"), "prints")
-    after = order.select("doc_id", "next_id").join(pair.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint")), "next_id")
-    out = pair.join(after, "doc_id")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    both = rows.join(head, key).select(*key, "unknown", "n", "text", edited.alias("edited"))
+    digest = both.select(*key, "unknown", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    pair = written(digest.join(fingerprints(both, key), key), "prints")
+    after = order.select(*key, "next_id", "next_copy").join(pair.select(F.col("id").alias("next_id"), F.col("copy").alias("next_copy"), F.col("fingerprint").alias("next_fingerprint")), ["next_id", "next_copy"])
+    out = pair.join(after.select(*key, "next_fingerprint"), key)
+    doc_id = F.when(~F.col("unknown"), F.col("id")).alias("doc_id")
+    return out.select(doc_id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,6 +165,23 @@ def test_fingerprints(spark):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_every_row_has_a_fingerprint_and_a_next_one(spark):
+    """Ids that repeat or are missing: each row is a document, in the order of id, length and text."""
+    rows = [(5, "alpha beta gamma"), (5, "alpha beta gamma delta"), (5, "alpha beta gamma"), (9, None), (None, "nothing here"), (None, "nothing"), (-3, "éé日本 ab"), (2, "x" * 50), (2, "")]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -len(r[1] or ""), [-ord(c) for c in r[1] or ""]))
+    want = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        t, after = t or "", after or ""
+        half = len(t) // 2
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(want)
+    by_text = {}
+    for r in got:
+        by_text.setdefault((r.doc_id, r.n_chars), set()).add(r.fingerprint)
+    assert all(len(v) == 1 for v in by_text.values()) and len({f for v in by_text.values() for f in v}) == 7  # both empty texts have one
+
+
 def test_fingerprints_have_64_draws(spark):
     """The signature is 64 draws long, all of them are compared, and shares are steps of 1/64."""
     df = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g x")], "doc_id long, text string")
@@ -244,7 +261,7 @@ def test_awkward_tables(spark):
     assert len(got) == df.count() and got[got["doc_id"].isin([1, 2, 3])]["kept"].all()
     assert set(got[got["doc_id"].isin([4, 5])]["component_id"]) == {4}
     assert near_dedup.near_duplicates(none).count() == 0
-    assert fingerprints.edited_fingerprints(df).count() == 8
+    assert fingerprints.edited_fingerprints(df).count() == df.count()
     assert fingerprints.edited_fingerprints(none).count() == 0
     one = fingerprints.edited_fingerprints(df.where("doc_id = 4")).first()
     assert one["near_next"] == 1.0
