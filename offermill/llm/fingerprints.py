@@ -11,6 +11,7 @@ the sum of the lesser counts over that of the greater ones.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from offermill.llm.base import table, texts, written
 
 #: Draws in a fingerprint; each is four hexadecimal digits of it.
 SAMPLES = 64
+#: Draws that are made at once.
+BLOCK = 4
 #: Characters between words.
 WHITE = " \t\n\x0b\x0c\r"
 #: Documents in a stretch of the order by id, about, and the number of stretches, at least and at most.
@@ -30,18 +33,27 @@ def _uniform(h: Column, low: int, bits: int) -> Column:
     return (F.shiftrightunsigned(h, low).bitwiseAND((1 << bits) - 1) + F.lit(0.5)) / F.lit(float(1 << bits))
 
 
-def _draw(k: int, word: Column, log_count: Column) -> Column:
-    """Where the word stands in draw k (high bits: lower is nearer), with 24 bits that tell (word, t).
+def _least_draws(words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, block and d0, d1, ...: the draws of each block of the words (word, log_n) of each key, each the least of the words' stands.
 
-    Minus the logarithm of a product of two uniform numbers is gamma(2, 1).
+    High bits say where a word stands (lower is nearer), the low 24 tell (word,
+    t). Minus the logarithm of a product of two uniform numbers is gamma(2, 1).
+    The steps are selections of their own, so that no hash or logarithm is
+    computed twice, and a block is small enough to be compiled as a whole.
     """
-    h, g = F.xxhash64(word, F.lit(k)), F.xxhash64(F.lit(k), word)
-    r = -F.log(_uniform(h, 0, 21) * _uniform(h, 21, 21))
-    log_c = F.log(-F.log(_uniform(g, 0, 32) * _uniform(g, 32, 32)))
-    b = _uniform(h, 42, 22)
-    t = F.floor(log_count / r + b)
-    stand = ((log_c - r * (t - b + 1) + 256) * float(1 << 26)).cast("long")
-    return F.shiftleft(stand, 24).bitwiseOR((F.shiftrightunsigned(g, 40) + t * 7919).bitwiseAND((1 << 24) - 1))
+    n, each = range(BLOCK), lambda f: [c for k in range(BLOCK) for c in f(k)]
+    rows = words.select(*keys, "word", "log_n", F.explode(F.array(*map(F.lit, range(SAMPLES // BLOCK)))).alias("block"))
+    rows = rows.select(*keys, "block", "log_n", *each(lambda k: (F.xxhash64("word", "block", F.lit(k)).alias(f"h{k}"), F.xxhash64("block", F.lit(k), "word").alias(f"g{k}"))))
+    h, g = (lambda k: F.col(f"h{k}")), (lambda k: F.col(f"g{k}"))
+    rows = rows.select(*keys, "block", "log_n", *each(lambda k: (
+        (-F.log(_uniform(h(k), 0, 21) * _uniform(h(k), 21, 21))).alias(f"r{k}"), F.log(-F.log(_uniform(g(k), 0, 32) * _uniform(g(k), 32, 32))).alias(f"c{k}"),
+        _uniform(h(k), 42, 22).alias(f"b{k}"), F.shiftrightunsigned(g(k), 40).alias(f"low{k}"),
+    )))
+    c = lambda name, k: F.col(f"{name}{k}")
+    rows = rows.select(*keys, "block", *each(lambda k: (c("r", k), c("c", k), c("b", k), c("low", k), F.floor(F.col("log_n") / c("r", k) + c("b", k)).alias(f"t{k}"))))
+    stand = lambda k: ((c("c", k) - c("r", k) * (c("t", k) - c("b", k) + 1) + 256) * float(1 << 26)).cast("long")
+    draw = lambda k: F.shiftleft(stand(k), 24).bitwiseOR((c("low", k) + c("t", k) * 7919).bitwiseAND((1 << 24) - 1))
+    return rows.groupBy(*keys, "block").agg(*(F.min(draw(k)).alias(f"d{k}") for k in n))
 
 
 def fingerprints(bodies: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,10 +70,15 @@ def fingerprints(bodies: DataFrame, keys: list[str]) -> DataFrame:
     kind = lambda which, n: F.struct(F.lit(which).alias("kind"), n.alias("n"))
     kinds = F.when(F.col("own") == F.col("new"), F.array(kind(0, F.col("own")))).otherwise(F.filter(F.array(kind(1, F.col("own")), kind(2, F.col("new"))), lambda x: x["n"] > 0))
     weighed = counted.select(*keys, "word", F.explode(kinds).alias("k")).select(*keys, "word", "k.kind", F.log("k.n").alias("log_n"))
-    drawn = weighed.groupBy(*keys, "kind").agg(*(F.min(_draw(k, F.col("word"), F.col("log_n"))).alias(f"d{k}") for k in range(SAMPLES)))
-    least = lambda k, other: F.min(F.when(F.col("kind") != other, F.col(f"d{k}")))
-    both = drawn.groupBy(*keys).agg(*(least(k, other).alias(f"{side}{k}") for side, other in (("a", 2), ("b", 1)) for k in range(SAMPLES)))
-    digits = lambda side: F.lower(F.concat(*(F.substring(F.lpad(F.hex(F.xxhash64(f"{side}{k}")), 16, "0"), 1, 4) for k in range(SAMPLES))))
+    drawn = _least_draws(weighed, [*keys, "kind"])
+    sides = (("a", 2), ("b", 1))  # words of kind 0 count for both texts, of kind 1 and 2 for one of them
+    least = drawn.groupBy(*keys, "block").agg(*(F.min(F.when(F.col("kind") != other, F.col(f"d{k}"))).alias(f"{side}{k}") for side, other in sides for k in range(BLOCK)))
+    bits = 64 // BLOCK  # of each draw, so that a block's digits are one number
+    packed = lambda side: reduce(Column.bitwiseOR, (F.shiftleft(F.shiftrightunsigned(F.xxhash64(f"{side}{k}"), 64 - bits), 64 - bits * (k + 1)) for k in range(BLOCK)))
+    least = least.select(*keys, "block", packed("a").alias("a"), packed("b").alias("b"))
+    blocks = range(SAMPLES // BLOCK)
+    both = least.groupBy(*keys).agg(*(F.max(F.when(F.col("block") == j, F.col(side))).alias(f"{side}{j}") for side, _ in sides for j in blocks))
+    digits = lambda side: F.lower(F.concat(*(F.lpad(F.hex(f"{side}{j}"), 16, "0") for j in blocks)))
     return both.select(*keys, digits("a").alias("fingerprint"), digits("b").alias("edited_fingerprint"))
 
 
@@ -72,7 +89,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def next_rows(ids: DataFrame) -> DataFrame:
-    """id, copy, n, next_id and next_copy of ids (id, copy, n): the next row by falling id, then rising copy (after the last: the first).
+    """The columns of ids (id, copy and others), next_id and next_copy: the next row by falling id, then rising copy (after the last: the first).
 
     The order is cut into stretches at quantiles; each is sorted for itself,
     and only the greatest id of each is known outside it.
@@ -88,7 +105,7 @@ def next_rows(ids: DataFrame) -> DataFrame:
     over = {s: tops[order[i - 1]] for i, s in enumerate(order)}  # after the lowest stretch: the greatest of all
     then = F.create_map(*(F.lit(x) for kv in over.items() for x in kv))[F.col("stretch")] if over else F.lit(None).cast("long")
     w = Window.partitionBy("stretch").orderBy(F.desc("id"), "copy")
-    return placed.select("id", "copy", "n", F.coalesce(F.lead("id").over(w), then).alias("next_id"), F.coalesce(F.lead("copy").over(w), F.lit(0)).alias("next_copy"))
+    return placed.select(*ids.columns, F.coalesce(F.lead("id").over(w), then).alias("next_id"), F.coalesce(F.lead("copy").over(w), F.lit(0)).alias("next_copy"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,12 +125,13 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rows = rows.withColumn("copy", F.lit(0))
     else:
         rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("unknown", F.desc("n"), F.desc("text"))) - 1)
-    order = written(next_rows(rows.select("id", "copy", "n")), "order")
+    order = written(next_rows(rows.select("id", "copy", "unknown", "n")), "order")
+    rows = rows.select("id", "copy", "text")  # the same in both joins, so that it is dealt once
 
     # the document's own text and what it takes from the next one's meet by id and copy
     key = ["id", "copy"]
-    head = rows.select(F.col("id").alias("next_id"), F.col("copy").alias("next_copy"), "text").join(order, ["next_id", "next_copy"])
-    head = head.select(*key, F.expr("substring(text, 1, cast(n div 2 as int))").alias("head"))
+    owners = order.select(F.col("next_id").alias("id"), F.col("next_copy").alias("copy"), F.col("id").alias("owner"), F.col("copy").alias("owner_copy"), "unknown", "n")
+    head = rows.join(owners, key).select(F.col("owner").alias("id"), F.col("owner_copy").alias("copy"), "unknown", "n", F.expr("substring(text, 1, cast(n div 2 as int))").alias("head"))
     edited = F.concat(F.expr("substring(text, 1, cast(n - n div 2 as int))"), F.col("head"))
     both = rows.join(head, key).select(*key, "unknown", "n", "text", edited.alias("edited"))
     digest = both.select(*key, "unknown", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
