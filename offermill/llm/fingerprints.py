@@ -50,7 +50,7 @@ def _least_draws(words: DataFrame, keys: list[str]) -> DataFrame:
         _uniform(h(k), 42, 22).alias(f"b{k}"), F.shiftrightunsigned(g(k), 40).alias(f"low{k}"),
     )))
     c = lambda name, k: F.col(f"{name}{k}")
-    rows = rows.select(*keys, "block", *each(lambda k: (c("r", k), c("c", k), c("b", k), c("low", k), F.floor(F.col("log_n") / c("r", k) + c("b", k)).alias(f"t{k}"))))
+    rows = rows.select(*keys, "block", *each(lambda k: (c("r", k), c("c", k), c("b", k), c("low", k), (F.col("log_n") / c("r", k) + c("b", k)).cast("long").alias(f"t{k}"))))
     stand = lambda k: ((c("c", k) - c("r", k) * (c("t", k) - c("b", k) + 1) + 256) * float(1 << 26)).cast("long")
     draw = lambda k: F.shiftleft(stand(k), 24).bitwiseOR((c("low", k) + c("t", k) * 7919).bitwiseAND((1 << 24) - 1))
     return rows.groupBy(*keys, "block").agg(*(F.min(draw(k)).alias(f"d{k}") for k in n))
@@ -59,8 +59,8 @@ def _least_draws(words: DataFrame, keys: list[str]) -> DataFrame:
 def fingerprints(bodies: DataFrame, keys: list[str]) -> DataFrame:
     """keys, fingerprint and edited_fingerprint of the texts `text` and `edited` of each key of bodies.
 
-    A word that both texts have as often is drawn for once. Minima are kept as
-    numbers until they are complete; digits are written last. If bodies are
+    A word that both texts have as often is drawn for once. Fingerprints are
+    bytes here; their digits are written last. If bodies are
     dealt by keys, nothing is shuffled.
     """
     parts = lambda c: F.split(F.btrim(F.lower(c), F.lit(WHITE)), "[ \\t-\\r]+")
@@ -78,8 +78,8 @@ def fingerprints(bodies: DataFrame, keys: list[str]) -> DataFrame:
     least = least.select(*keys, "block", packed("a").alias("a"), packed("b").alias("b"))
     blocks = range(SAMPLES // BLOCK)
     both = least.groupBy(*keys).agg(*(F.max(F.when(F.col("block") == j, F.col(side))).alias(f"{side}{j}") for side, _ in sides for j in blocks))
-    digits = lambda side: F.lower(F.concat(*(F.lpad(F.hex(f"{side}{j}"), 16, "0") for j in blocks)))
-    return both.select(*keys, digits("a").alias("fingerprint"), digits("b").alias("edited_fingerprint"))
+    whole = lambda side: F.unhex(F.concat(*(F.lpad(F.hex(f"{side}{j}"), 16, "0") for j in blocks)))
+    return both.select(*keys, whole("a").alias("fingerprint"), whole("b").alias("edited_fingerprint"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -134,12 +134,13 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     head = rows.join(owners, key).select(F.col("owner").alias("id"), F.col("owner_copy").alias("copy"), "unknown", "n", F.expr("substring(text, 1, cast(n div 2 as int))").alias("head"))
     edited = F.concat(F.expr("substring(text, 1, cast(n - n div 2 as int))"), F.col("head"))
     both = rows.join(head, key).select(*key, "unknown", "n", "text", edited.alias("edited"))
-    digest = both.select(*key, "unknown", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    digest = both.select(*key, "unknown", F.col("n").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("edited_sha256"))
     pair = written(digest.join(fingerprints(both, key), key), "prints")
     after = order.select(*key, "next_id", "next_copy").join(pair.select(F.col("id").alias("next_id"), F.col("copy").alias("next_copy"), F.col("fingerprint").alias("next_fingerprint")), ["next_id", "next_copy"])
     out = pair.join(after.select(*key, "next_fingerprint"), key)
-    doc_id = F.when(~F.col("unknown"), F.col("id")).alias("doc_id")
-    return out.select(doc_id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    digits = lambda c: F.lower(F.hex(c)).alias(c)
+    out = out.select(F.when(~F.col("unknown"), F.col("id")).alias("doc_id"), "n_chars", *map(digits, ("edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")))
+    return out.select(*out.columns[:-1], likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
