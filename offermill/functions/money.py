@@ -43,6 +43,13 @@ def quantity(size: Column) -> Column:
     return F.when(~size.rlike(r"\d\s*[-–]\s*\d"), (n * times / scale).cast("decimal(18,6)"))
 
 
+def larger_quantity(size: Column) -> Column:
+    """The amount of a size in kg, l or pieces; of a range like "200-250 g" the larger end, as the lowest unit price is meant."""
+    one = F.regexp_replace(size, r"(\d+(?:[.,]\d+)?)\s*[-–]\s*(\d+(?:[.,]\d+)?)", "$2")
+    two = F.regexp_replace(size, r"(\d+(?:[.,]\d+)?)\s*[-–]\s*(\d+(?:[.,]\d+)?)", "$1")
+    return F.greatest(quantity(one), quantity(two))
+
+
 def unit_label(size: Column) -> Column:
     unit = F.lower(_part(size, 3))
     return F.when(unit.isin("g", "kg"), "€/kg").when(unit.isin("ml", "cl", "l"), "€/l").when(unit.isNotNull(), "€/Stk.")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,3 +180,9 @@ def within(places: DataFrame, lat: str, lon: str, at: tuple[float, float], most_
     """Places at most so far from a point, with distance_km of two decimals; such without a position are left out."""
     km = haversine_km(F.lit(at[0]), F.lit(at[1]), F.col(lat), F.col(lon))
     return places.withColumn("_km", km).where(F.col("_km") <= most_km).withColumn("distance_km", F.round("_km", 2)).drop("_km")
+
+
+def counts_by(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows of every value of each column, and of no value: column, value and n, of one pass over the rows."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns)))
+    return df.select(pairs.alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("n"))

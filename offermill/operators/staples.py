@@ -83,18 +83,23 @@ def chosen(found: DataFrame, id_col: str) -> DataFrame:
     want organic goods. Rows shrink to one of each rule and store before
     anything is ranked.
     """
-    w = Window.partitionBy("rule")
-    bio = F.bool_or("organic").over(w)
-    rows = found.withColumn("_pool", ~F.col("organic_wanted") | ~bio | F.col("organic"))
-    rows = rows.withColumn("_units", F.count(F.when(F.col("_pool") & (F.col("unit") > 0), 1)).over(w))
-    metric = F.when(F.col("_units") >= 2, F.when(F.col("unit") > 0, F.col("unit").cast("double"))).otherwise(F.col("price").cast("double"))
     far = F.lit(float("inf"))
-    order = F.struct(F.coalesce(metric, far).alias("metric"), F.coalesce(F.col("price").cast("double"), far).alias("price"), (-F.col("score")).alias("less"), F.col(id_col).alias("id"))
-    usual = F.struct(F.coalesce(F.when(F.col("unit") > 0, F.col("unit").cast("double")), F.col("price").cast("double"), far).alias("metric"), F.col(id_col).alias("id"))
-    stores = rows.groupBy("rule", "store").agg(
-        F.min(F.when(F.col("_pool"), order)).alias("o"), F.max("_units").alias("units"),
-        F.min(F.when(F.col("organic_wanted") & ~F.col("organic"), usual)).alias("c"),
+    price, unit = F.col("price").cast("double"), F.when(F.col("unit") > 0, F.col("unit").cast("double"))
+    order = lambda metric: F.struct(F.coalesce(metric, far).alias("metric"), F.coalesce(price, far).alias("price"), (-F.col("score")).alias("less"), F.col(id_col).alias("id"))
+    usual = F.struct(F.coalesce(unit, price, far).alias("metric"), F.col(id_col).alias("id"))
+    bio, metrics = F.col("organic"), {"unit": unit, "pack": price}
+    stores = found.groupBy("rule", "store").agg(
+        F.bool_or("organic_wanted").alias("wanted"), F.bool_or(bio).alias("bio"),
+        F.count(unit).alias("units_all"), F.count(F.when(bio, unit)).alias("units_bio"),
+        *(F.min(order(m)).alias(f"{n}_all") for n, m in metrics.items()), *(F.min(F.when(bio, order(m))).alias(f"{n}_bio") for n, m in metrics.items()),
+        F.min(F.when(F.col("organic_wanted") & ~bio, usual)).alias("c"),
     )
+    w = Window.partitionBy("rule")  # one row a rule and store
+    strict = F.bool_or("wanted").over(w) & F.bool_or("bio").over(w)
+    units = F.when(strict, F.sum("units_bio").over(w)).otherwise(F.sum("units_all").over(w))
+    stores = stores.withColumns({"strict": strict, "units": units})
+    of = lambda n: F.when(F.col("strict"), F.col(f"{n}_bio")).otherwise(F.col(f"{n}_all"))
+    stores = stores.withColumn("o", F.when(F.col("units") >= 2, of("unit")).otherwise(of("pack")))
     ranked = stores.withColumn("_place", F.when(F.col("o").isNotNull(), F.row_number().over(Window.partitionBy("rule").orderBy(F.col("o").asc_nulls_last(), "store"))))
     place = lambda k: F.max(F.when(F.col("_place") == k, F.col("o.id")))
     return ranked.groupBy("rule").agg(
@@ -134,6 +139,39 @@ def smart_order(score: Column, organic: Column, offer: Column, saving: Column, u
     return [score.desc(), organic.desc(), offer.desc(), saving.desc_nulls_last(), unit.asc_nulls_last(), tie.asc()]
 
 
+#: The orders that a list of offers can be shown in.
+SORTS = ("smart", "price", "unit", "saving", "name")
+
+
+def view_order(sort: str, tie: Column, score: Column | None = None, name: str = "name", price: str = "price", unit: str = "unit", saving: str = "saving", organic: str = "organic", offer: str = "offer") -> list[Column]:
+    """The order of a list of offers by one of SORTS; unknown prices come last, an unknown saving is none, and `tie` decides in the end."""
+    least, saved = F.col(price).asc_nulls_last(), F.coalesce(F.col(saving), F.lit(0)).desc()
+    orders = {
+        "price": [least],
+        "unit": [F.col(unit).asc_nulls_last()],
+        "saving": [saved, least],
+        "name": [german(F.coalesce(F.col(name), F.lit(""))).asc()],
+        "smart": smart_order(score if score is not None else F.lit(0.0), *(F.coalesce(F.col(c), F.lit(False)) for c in (organic, offer)), F.coalesce(F.col(saving), F.lit(0)), F.col(unit), tie)[:-1],
+    }
+    if sort not in orders:
+        raise ValueError(f"no order {sort!r}: one of {', '.join(SORTS)}")
+    return [*orders[sort], tie.asc()]
+
+
+def shown(results: DataFrame, term: str = "", mode: str = "all") -> DataFrame:
+    """The results (name, best_name, best_offer) that a page of staples shows: those whose names hold the term, in any case of letters.
+
+    Mode "offer" keeps those whose best is on offer, "missing" those without a
+    best; a result is without one where best_name is null.
+    """
+    holds = {"all": F.lit(True), "offer": F.col("best_name").isNotNull() & F.coalesce("best_offer", F.lit(False)), "missing": F.col("best_name").isNull()}
+    if mode not in holds:
+        raise ValueError(f"no mode {mode!r}: one of {', '.join(holds)}")
+    t = term.strip().lower()
+    said = [F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(t)) for c in ("name", "best_name")]
+    return results.where(holds[mode] & (said[0] | said[1]))
+
+
 #: How near names come to butter, of folded names; the first pattern that occurs.
 BUTTER_TIERS = (
     ("butterkeks|butter keks|buttermilch|butter milch|butter chicken|buttergemuse|butter gemuse|butterbrezel|butter brezel|buttertoast|butter toast", 20),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offermill.plans import catalog, duplicates, feeds, imports, markets, offers, prices, repairs, series, stores
+from offermill.plans import catalog, duplicates, feeds, imports, ladders, markets, offers, prices, repairs, series, stores
 
-_ALL = prices.QUERIES | catalog.QUERIES | series.QUERIES | offers.QUERIES | repairs.QUERIES | duplicates.QUERIES | markets.QUERIES | feeds.QUERIES | stores.QUERIES | imports.QUERIES
+_ALL = prices.QUERIES | catalog.QUERIES | series.QUERIES | offers.QUERIES | repairs.QUERIES | duplicates.QUERIES | markets.QUERIES | feeds.QUERIES | stores.QUERIES | imports.QUERIES | ladders.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
