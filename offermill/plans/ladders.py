@@ -59,9 +59,17 @@ a as (select l_orderkey, max(regular) as before, count(*) as prices from f group
 select l_orderkey, kind, price, coalesce(case when regular > price then regular end, case when before > price then before end) as regular, kind = 'app' as app, prices from r join a using (l_orderkey) where place = 1"""
 
 
+def priced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, their whole texts with a line of two prices in the middle."""
+    n, half = F.col("doc_id") % 600, F.expr("cast(char_length(text) div 2 as int)")
+    line = F.concat(F.lit("statt "), (n + 1).cast("string"), F.lit(",99 € nur "), n.cast("string"), F.lit(",49"))
+    text = F.concat_ws("\n", F.substring("text", F.lit(1), half), line, F.substring("text", half + 1, F.char_length("text")))
+    return read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
 def document_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every price in the whole texts of all documents."""
-    found = ladders.price_forms(read(spark, sf_dir, "documents"), "doc_id", "text")
+    """Every price in the whole texts of all documents, and in a line that each is given."""
+    found = ladders.price_forms(priced_documents(spark, sf_dir), "doc_id", "text")
     return found.select("doc_id", "kind", "begins", "ends", F.col("price").cast("double").alias("price"), F.col("regular").cast("double").alias("regular"))
 
 
