@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from offermill.functions.attributes import organic, variant_signature, without_noise
 from offermill.functions.text import fold, token_similarity, tokens
-from offermill.operators.entity import linked_components, source_priority
+from offermill.operators.entity import linked_components, similar_pairs, source_priority
+from offermill.sources.tables import spread
 
 
 def _filled(c: Column) -> Column:
@@ -87,20 +88,85 @@ def duplicate_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
+def _hubs(kind: str, scope: list[Column], p: Column, q: Column, when: Column) -> Column:
+    """The hubs of a record for a rule by which records of one scope are the same unless p or q is known of both and differs.
+
+    A hub links all its members to the first of those that it is made of: the
+    records that lack what others have. So (p, -) is the hub of all with p,
+    (-, q) of all with q, (-, -) of all; and as (p, -) and (-, q) are the same
+    whatever p and q are, either kind is linked to the first of the other.
+    """
+    hub = lambda own, alike, name, *parts: F.struct(F.concat_ws("\u0001", F.lit(f"{kind}:{name}"), *scope, *parts).alias("hub"), F.lit(own).alias("own"), F.lit(alike).alias("alike"))
+    every, by_p, by_q = (lambda own: hub(own, True, "")), (lambda own: hub(own, True, "p", p)), (lambda own: hub(own, True, "q", q))
+    return (
+        F.when(~when, F.array().cast("array<struct<hub:string,own:boolean,alike:boolean>>"))
+        .when(p.isNotNull() & q.isNotNull(), F.array(hub(True, True, "pq", p, q), by_p(False), by_q(False), every(False)))
+        .when(p.isNotNull(), F.array(by_p(True), every(False), hub(True, False, "xp"), hub(False, False, "xq")))
+        .when(q.isNotNull(), F.array(by_q(True), every(False), hub(False, False, "xp"), hub(True, False, "xq")))
+        .otherwise(F.array(every(True)))
+    )
+
+
+def duplicate_links(rows: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b) of described records: links that reach just what duplicate_pairs reach in chains, without pairs inside large blocks.
+
+    What equal numbers or equal names decide are hubs (see _hubs): their links
+    grow with the records. Only names that differ are compared, each once in a
+    bucket or canonical id, and meet by their rarest words. For these, records
+    that differ in nothing that the rule reads count once, and of two records
+    one has no article number, as equal numbers are linked before.
+    """
+    c = F.col
+    keyed = write(rows.groupBy(*TRAITS).agg(F.min("_id").alias("_id")))
+    sized, family = _filled(c("_size")), _filled(c("_family"))
+    organic_ = F.when(c("_organic"), "t").otherwise("f")
+    by_id = F.flatten(F.transform("_ids", lambda i: _hubs("id", [c("_scope"), i, organic_], sized, c("_gtin"), F.lit(True))))
+    hubs = F.concat(
+        _hubs("gtin", [c("_scope"), c("_gtin"), organic_], sized, F.lit(""), c("_gtin").isNotNull()),
+        _hubs("sig", [c("_scope"), c("_brand"), c("_plain"), c("_size"), organic_, c("_variant")], family, c("_gtin"), c("_plain") != ""),
+        by_id,
+    )
+    members = keyed.select("_id", F.explode(hubs).alias("h")).select(c("_id").alias("a"), "h.*").distinct()
+    first = members.where("own").groupBy("hub").agg(F.min("a").alias("b"))
+    linked = members.where("alike or not own").join(first.hint("merge"), "hub").where("a <> b").select("a", "b")
+
+    classes = keyed.where("_plain <> ''").groupBy("_scope", "_canonical", "_size", "_organic", "_variant", "_brand", "_family", "_plain", "_gtin").agg(F.min("_id").alias("_id"))
+    place = lambda *parts: F.concat_ws("\u0001", "_scope", "_size", organic_, "_variant", *parts)
+    found = linked
+    for block, rule in ((place("_family", "_brand"), classes), (place("_canonical"), classes.where("_canonical is not null"))):
+        of = write(rule.select(block.alias("block"), "_plain", "_brand", "_family", "_size", "_gtin", "_id").groupBy("block", "_plain", "_brand", "_family", "_size", "_gtin").agg(F.min("_id").alias("_id")))
+        names = write(of.groupBy("block", "_plain").agg(F.min("_id").alias("name")))
+        near = similar_pairs(names.withColumn("t", tokens(c("_plain"))), "name", "block", "t", 0.72)
+        if rule is not classes:  # of one canonical id, brands and families may be missing where names are equal
+            near = near.unionByName(names.select(c("name").alias("a"), c("name").alias("b"), F.lit(1.0).alias("similarity")))
+        named = of.join(names.hint("merge"), ["block", "_plain"])
+        side = lambda p, named=named: named.select(c("name").alias("a" if p == "x" else "b"), *(c(k).alias(f"{p}{k}") for k in ("_plain", "_brand", "_family", "_size", "_gtin", "_id")))
+        met = near.join(side("x").hint("merge"), "a").join(side("y").hint("merge"), "b").where((c("x_gtin").isNull() | c("y_gtin").isNull()) & (c("x_id") != c("y_id")))
+        differ = lambda k: (c(f"x{k}") != "") & (c(f"y{k}") != "") & (c(f"x{k}") != c(f"y{k}"))
+        words = F.least(F.size(F.split("x_plain", " ")), F.size(F.split("y_plain", " ")))
+        same = (c("x_plain") == c("y_plain")) | ((words >= 2) & (c("similarity") >= 0.82)) | ((c("x_family") != "") & (c("x_family") == c("y_family")) & (c("x_size") != "") & (c("similarity") >= 0.72))
+        found = found.unionByName(met.where(~differ("_brand") & ~differ("_family") & same).select(c("x_id").alias("a"), c("y_id").alias("b")))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def first_of_equals(rows: DataFrame) -> DataFrame:
+    """Described records with _first, the least id of those of equal traits."""
+    first = rows.groupBy(*TRAITS).agg(F.min("_id").alias("_first"))
+    on = [F.col(f"r.{t}").eqNullSafe(F.col(f"f.{t}")) for t in TRAITS]
+    return rows.alias("r").join(first.alias("f").hint("merge"), on).select("r.*", "f._first")
+
+
 def clustered(records: DataFrame, id_col: str, scope: list[str], write: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The records with cluster, the least id of all that chains of likely same ones link within a scope.
 
     Order does not count here; a pass that compares with what it merged before
     can end in other clusters where likeness is not transitive.
     """
-    rows = write(described(records, id_col, scope))
-    first = rows.groupBy(*TRAITS).agg(F.min("_id").alias("_first"))
-    pairs = write(duplicate_pairs(rows))
+    rows = write(described(spread(records, id_col), id_col, scope))
+    pairs = write(duplicate_links(rows, write))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     parts = linked_components(pairs, ids, write).withColumnsRenamed({"id": "_first", "component": "_component"})
-    on = [F.col(f"r.{t}").eqNullSafe(F.col(f"f.{t}")) for t in TRAITS]
-    joined = rows.alias("r").join(first.alias("f"), on).select(*(F.col(f"r.{c}") for c in records.columns), F.col("f._first"))
-    return joined.join(parts, "_first", "left").select(*records.columns, F.coalesce("_component", "_first").alias("cluster"))
+    return first_of_equals(rows).join(parts.hint("merge"), "_first", "left").select(*records.columns, F.coalesce("_component", "_first").alias("cluster"))
 
 
 def merged_records(rows: DataFrame, keys: list[str], id_col: str, branch: list[str]) -> DataFrame:

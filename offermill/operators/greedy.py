@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offermill.operators.catalogs import TRAITS, blocks, described, duplicate_pairs, likely_same
+from offermill.operators.catalogs import TRAITS, blocks, described, duplicate_links, first_of_equals, likely_same
 from offermill.operators.entity import linked_components, source_priority
+from offermill.sources.tables import spread
 
 Write = Callable[[DataFrame], DataFrame]
 
@@ -204,12 +205,10 @@ def merged_in_order(records: DataFrame, id_col: str, scope: list[str], write: Wr
     again: in the end no state could have met anything outside, so all
     passes together are the one over everything.
     """
-    rows = write(described(records, id_col, scope))
-    first = rows.groupBy(*TRAITS).agg(F.min("_id").alias("_first"))
-    pairs = write(duplicate_pairs(rows))
+    rows = write(described(spread(records, id_col), id_col, scope))
+    pairs = write(duplicate_links(rows, write))
     parts = linked_components(pairs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), write).withColumnsRenamed({"id": "_first", "component": "_linked"})
-    on = [F.col(f"r.{t}").eqNullSafe(F.col(f"f.{t}")) for t in TRAITS]
-    rows = rows.alias("r").join(first.alias("f"), on).select("r.*", "f._first").join(parts, "_first", "left")
+    rows = first_of_equals(rows).join(parts.hint("merge"), "_first", "left")
     worth = source_priority(F.col("is_offer"), F.col("gtin"), F.nullif(F.col("brand"), F.lit("")), F.col("image"), F.col("source_type"), F.coalesce("name", F.lit("")))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     own = rows.select(

@@ -167,3 +167,27 @@ def test_query_of_duplicates_in_order(spark):
     got = registry.queries()["duplicates_in_order"](spark, SF).withColumn("source_types", F.split("source_types", ",")).collect()
     compared(got, want)
     assert len(want) < 190
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_reach_what_pairs_reach(spark, seed):
+    """Hubs and names link the components of all pairs, whatever is missing, and copies with other numbers make no more links than records."""
+    rows = kept(catalogs.described(random_records(spark, 20 + seed, 140), "id", ["store"]))
+
+    def components(pairs):
+        root = list(range(140))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for r in pairs.collect():
+            x, y = find(r.a), find(r.b)
+            root[max(x, y)] = min(x, y)
+        return [find(i) for i in range(140)]
+
+    assert components(catalogs.duplicate_links(rows, kept)) == components(catalogs.duplicate_pairs(rows))
+    n = 400
+    many = spark.range(n).select("id", F.lit("A").alias("store"), F.concat(F.lit("gouda w"), "id").alias("name"), F.lit("b").alias("brand"), F.lit("1 kg").alias("size"), F.lit("7").alias("gtin"), F.lit(None).cast("array<string>").alias("source_ids"), F.lit(None).cast("string").alias("family"), F.lit(False).alias("organic"))
+    assert catalogs.duplicate_links(catalogs.described(many, "id", ["store"]), kept).count() <= 3 * n
