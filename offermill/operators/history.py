@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,22 +149,48 @@ def active_and_archived(events: DataFrame, allowed: Column, id_col: str, at: str
 def of_offer(offers: DataFrame, events: DataFrame, id_col: str, values: list[str]) -> DataFrame:
     """Offers with the events of their product: the concrete id where an offer has one, else the canonical one; organic and unit equal.
 
-    Two equi-joins, by which of both ids an offer goes.
+    Two equi-joins, by which of both ids an offer goes. What `values` are can
+    be left to summed_of_offer, where offers need no event for itself.
     """
     same = ["organic", "unit_label"]
-    e = lambda key: events.select(F.col(key).alias("_key"), *(F.col(c) for c in (*same, *values)))
+    return _of_offer(offers, lambda key: events.select(F.col(key).alias("_key"), *(F.col(c) for c in (*same, *values))), id_col)
+
+
+def _of_offer(offers: DataFrame, events_by: Callable[[str], DataFrame], id_col: str) -> DataFrame:
+    same = ["organic", "unit_label"]
     o = lambda rows, key: rows.select(id_col, F.col(key).alias("_key"), *same)
     known = F.coalesce(F.col("product_id"), F.lit("")) != ""
-    concrete = o(offers.where(known), "product_id").join(e("product_id"), ["_key", *same])
-    general = o(offers.where(~known), "canonical_id").join(e("canonical_id"), ["_key", *same])
+    concrete = o(offers.where(known), "product_id").join(events_by("product_id"), ["_key", *same])
+    general = o(offers.where(~known), "canonical_id").join(events_by("canonical_id"), ["_key", *same])
     return concrete.unionByName(general).drop("_key")
 
 
+def summed_of_offer(offers: DataFrame, events: DataFrame, id_col: str, value: str) -> DataFrame:
+    """For each offer that has any the number and least value of the events of its product (see of_offer).
+
+    Events are summed by key before offers meet them: a key that many offers
+    and many events have makes no pairs.
+    """
+    summed = lambda key: events.groupBy(F.col(key).alias("_key"), "organic", "unit_label").agg(F.count("*").alias("_n"), F.min(value).alias("_least"))
+    return _of_offer(offers, summed, id_col).groupBy(id_col).agg(F.sum("_n").alias("matched"), F.min("_least").alias("least"))
+
+
+def _index(offers: DataFrame, id_col: str) -> tuple[DataFrame, Column]:
+    ean, own = F.concat(F.lit("ean:"), F.col("gtin")), F.concat(F.lit("id:"), F.col("product_id"))
+    return offers.select(id_col, F.coalesce(ean, own).alias("_key")), F.array_compact(F.array(ean, own))
+
+
 def indexed(offers: DataFrame, events: DataFrame, id_col: str, values: list[str]) -> DataFrame:
     """Offers with the events reached by their article number, if they have one, else by their product id."""
-    key = lambda: F.coalesce(F.concat(F.lit("ean:"), F.col("gtin")), F.concat(F.lit("id:"), F.col("product_id")))
-    keys = F.array_compact(F.array(F.concat(F.lit("ean:"), F.col("gtin")), F.concat(F.lit("id:"), F.col("product_id"))))
-    return offers.select(id_col, key().alias("_key")).join(events.select(F.explode(keys).alias("_key"), *values), "_key").drop("_key")
+    asked, keys = _index(offers, id_col)
+    return asked.join(events.select(F.explode(keys).alias("_key"), *values), "_key").drop("_key")
+
+
+def summed_indexed(offers: DataFrame, events: DataFrame, id_col: str) -> DataFrame:
+    """For each offer that reaches any the number of events reached (see indexed), counted by key before offers meet them."""
+    asked, keys = _index(offers, id_col)
+    counts = events.select(F.explode(keys).alias("_key")).groupBy("_key").agg(F.count("*").alias("_n"))
+    return asked.join(counts, "_key").groupBy(id_col).agg(F.sum("_n").alias("reached"))
 
 
 def migrated(events: DataFrame) -> DataFrame:

@@ -54,10 +54,13 @@ def normalized(offers: DataFrame, kinds: Sequence[dict], category: str | None =
 
     similarity_key is of the kind with its critical attributes, or of group and
     product; exact_key is that with what else tells products apart, or the
-    record's own if it is reliable; canonical_id is a slug of it.
+    record's own if it is reliable; canonical_id is a slug of it. What a name
+    says is read once for each name, size, category and flag, and joined.
     """
     opt = lambda c, t: F.col(c) if c else F.lit(None).cast(t)
-    rows = offers.withColumn("name", clean(F.coalesce("name", F.lit(""))))
+    offers = offers.withColumn("name", clean(F.coalesce("name", F.lit(""))))
+    told_by = list(dict.fromkeys(c for c in ("name", "size", category, flag) if c))
+    rows = offers.select(*told_by).distinct()
     rows = classified(rows, F.col("name"), opt(category, "string"), kinds)
     told = attributes(F.col("name"), F.coalesce("size", F.lit("")))
     rows = rows.withColumn("attributes", F.struct(*(c.alias(a) for a, c in told.items())))
@@ -75,10 +78,14 @@ def normalized(offers: DataFrame, kinds: Sequence[dict], category: str | None =
     ]
     similarity = F.when(F.col("kind").isNotNull(), F.concat(F.lit("semantic:"), F.col("comparison_key"))).otherwise(by_group)
     made = F.when(F.col("kind").isNotNull(), similarity).otherwise(F.concat(by_group, *(F.coalesce(e, F.lit("")) for e in extra)))
-    rows = rows.withColumns({"similarity_key": similarity, "exact_key": F.coalesce(reliable_key(opt(exact_key, "string")), made)})
+    rows = rows.withColumns({"similarity_key": similarity, "_made": made})
     canonical = F.coalesce(_filled(slug(F.coalesce("comparison_key", made))), _filled(slug(F.col("name"))), F.lit("produkt"))
     bundle = F.when(F.col("group").isin("Milch", "Butter", "Eier", "Joghurt", "Milchreis"), F.col("group")).otherwise(F.coalesce("product", "group"))
-    return rows.withColumns({"canonical_id": canonical, "bundle_key": bundle})
+    read = rows.withColumns({"canonical_id": canonical, "bundle_key": bundle})
+    added = [c for c in read.columns if c not in told_by]
+    joined = offers.alias("o").join(read.alias("n"), [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in told_by])
+    joined = joined.select(*(F.col(f"o.{c}") for c in offers.columns if c not in added), *(F.col(f"n.{c}") for c in added), (F.col(f"o.{exact_key}") if exact_key else F.lit(None).cast("string")).alias("_own_key"))
+    return joined.withColumn("exact_key", F.coalesce(reliable_key(F.col("_own_key")), "_made")).drop("_own_key", "_made")
 
 
 def identified(offers: DataFrame, gtin: Column) -> DataFrame:

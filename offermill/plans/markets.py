@@ -87,8 +87,8 @@ def history_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shape.normal(spark, sf_dir)
     offers = rows.where("store = 'Store 0'").withColumn("product_id", F.when(F.col("p_partkey") % 2 == 0, F.col("product_id")))
     events = rows.where("store <> 'Store 0'")
-    one = history.of_offer(offers, events, "id", ["price"]).groupBy("id").agg(F.count("*").alias("matched"), F.min("price").alias("least"))
-    two = history.indexed(rows.where("store = 'Store 0'"), events, "id", ["price"]).groupBy("id").agg(F.count("*").alias("reached"))
+    one = history.summed_of_offer(offers, events, "id", "price")
+    two = history.summed_indexed(rows.where("store = 'Store 0'"), events, "id")
     return one.join(two, "id", "full_outer").select("id", "matched", "least", "reached")
 
 

@@ -9,7 +9,7 @@ from offermill.functions import attributes, text
 from offermill.operators import offers as op
 from offermill.operators import staples
 from offermill.plans.catalog import _FOLD
-from offermill.sources.tables import read
+from offermill.sources.tables import read, spread
 
 #: Kinds of the products that the tables name.
 KINDS = (
@@ -26,7 +26,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = F.element_at(F.array(*map(F.lit, (" bio", " 3,5 %", " Größe 4", " Angebot", ""))), (k % 5 + 1).cast("int"))
     size = F.element_at(F.array(F.lit("500 g"), F.lit("1 kg"), F.lit("6 x 250 ml"), F.lit(None).cast("string")), (k % 4 + 1).cast("int"))
     amount = F.element_at(F.array(F.lit(500), F.lit(1000), F.lit(1500), F.lit(None).cast("int")), (k % 4 + 1).cast("int"))
-    return read(spark, sf_dir, "part").select(
+    return spread(read(spark, sf_dir, "part"), "p_partkey").select(
         "p_partkey", F.concat("p_name", suffix).alias("name"), F.when(k % 3 > 0, F.col("p_brand")).alias("brand"), size.alias("size"), amount.alias("amount"),
         F.when(k % 4 == 0, F.lpad((k * 7919 + 4_000_000_000_000).cast("string"), 13, "0")).alias("code"),
         F.when(k % 13 == 0, F.concat_ws("|label:", "p_type", "p_brand")).when(k % 13 == 1, F.lit("gtin:123")).alias("own_key"), F.initcap("p_type").alias("own_category"),
@@ -172,7 +172,7 @@ def product_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = attributes.attributes(F.concat_ws(" ", name, "p_name"), F.lit("1 kg"))
     folded = text.fold(F.concat_ws(" ", F.lit("Angebot"), F.col("p_name"), F.lit("Marke"), name, F.lower("p_brand")), keep="a-z0-9%,.-")
     brand = text.fold(F.col("p_brand"))
-    return read(spark, sf_dir, "part").select("p_partkey", *(c.alias(a) for a, c in told.items()), attributes.variant_signature(F.replace(folded, F.lit("grosse"), F.lit("groesse"))).alias("variant"), attributes.without_noise(text.fold(F.concat_ws(" ", F.lit("Angebot"), F.col("p_name"), F.col("p_brand"), F.lit("Marke"))), brand).alias("plain"))
+    return spread(read(spark, sf_dir, "part"), "p_partkey").select("p_partkey", *(c.alias(a) for a, c in told.items()), attributes.variant_signature(F.replace(folded, F.lit("grosse"), F.lit("groesse"))).alias("variant"), attributes.without_noise(text.fold(F.concat_ws(" ", F.lit("Angebot"), F.col("p_name"), F.col("p_brand"), F.lit("Marke"))), brand).alias("plain"))
 
 
 PRODUCT_ATTRIBUTES = """

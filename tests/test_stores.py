@@ -203,3 +203,20 @@ def test_raw_prices_are_all_accounted_for(spark):
     got = registry.queries()["backfill_by_revision"](spark, SF).agg(*(F.sum(c) for c in ("raw", "inserted", "merged", "archived", "rejected"))).first()
     assert got[0] == sum(got[1:]) and min(got) > 100
     assert got[1] + got[3] == registry.queries()["backfill_events"](spark, SF).count()
+
+
+def test_offers_meet_sums_of_events(spark):
+    """Sums equal those of the joined rows, and one key of 3000 offers and 3000 events makes a row for each offer."""
+    rng = random.Random(3)
+    row = lambda i: (i, rng.choice([None, "", "p1", "p2"]), rng.choice(["c1", "c2", None]), rng.choice([None, "g1", "g2"]), rng.choice([True, False, None]), rng.choice(["l", "kg", None]), rng.choice([None, 3, 5]))
+    schema = "id long, product_id string, canonical_id string, gtin string, organic boolean, unit_label string, price long"
+    offers, events = (spark.createDataFrame([row(i // 2) for i in range(120)], schema) for _ in range(2))
+    one = history.of_offer(offers, events, "id", ["price"]).groupBy("id").agg(F.count("*").alias("matched"), F.min("price").alias("least"))
+    two = history.indexed(offers, events, "id", ["price"]).groupBy("id").agg(F.count("*").alias("reached"))
+    assert Counter(map(tuple, history.summed_of_offer(offers, events, "id", "price").collect())) == Counter(map(tuple, one.collect()))
+    assert Counter(map(tuple, history.summed_indexed(offers, events, "id").collect())) == Counter(map(tuple, two.collect()))
+    hot = spark.range(3000).select("id", *(F.lit(v).alias(c) for c, v in (("product_id", "p"), ("canonical_id", "c"), ("gtin", "g"), ("organic", True), ("unit_label", "kg"))), F.col("id").alias("price"))
+    got = history.summed_of_offer(hot, hot, "id", "price")
+    assert got.count() == 3000 and got.agg(F.sum("matched")).first()[0] == 3000**2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 3  # before the joins, for both ids, and after
