@@ -206,3 +206,23 @@ def test_active_and_archived_events(spark):
     rows = [("a", "x", datetime(2026, 1, 1)), ("a", "x", datetime(2026, 1, 2)), ("b", "y", datetime(2026, 1, 3)), ("b", "y", datetime(2026, 1, 4))]
     got = history.active_and_archived(spark.createDataFrame(rows, "id string, place string, at timestamp"), F.col("place") == "x", "id", "at").collect()
     assert sorted((r["id"], r["at"].day, r["archived"]) for r in got) == [("a", 1, False), ("a", 2, False), ("b", 3, True)]
+
+
+def test_equal_sets_are_compared_once(spark, monkeypatch):
+    """Copies are pairs in the result, but only different sets are asked for their likeness."""
+    df = spark.createDataFrame([(i, None if i == 99 else "b", ["x", f"w{i % 3}"]) for i in range(100)], "id long, block string, t array<string>")
+    got = entity.similar_pairs(df, "id", "block", "t", 0.4)
+    n = [33, 33, 33]
+    assert got.count() == sum(n) * (sum(n) - 1) // 2 and got.where("similarity = 1").count() == sum(k * (k - 1) // 2 for k in n)
+    assert got.where("a >= b").isEmpty() and got.distinct().count() == got.count()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [block" in plan  # sets, before they meet
+
+
+def test_rows_of_one_key_meet_in_parts(spark):
+    rows = spark.range(60).select("id", F.when(F.col("id") % 7 > 0, F.lit("k")).alias("k"))
+    got = entity.meeting(rows, "id", F.col("a.k") == F.col("b.k"))
+    pairs = [(r[0], r[1]) for r in got.select(F.col("a.id"), F.col("b.id")).collect()]
+    own = [i for i in range(60) if i % 7]
+    assert sorted(pairs) == [(a, b) for a in own for b in own if a < b]
+    assert len({r[0] for r in got.select("a._part").distinct().collect()}) > 10
