@@ -154,20 +154,38 @@ class Segmenter(Sent):
         self.ways = Remembered(lambda s: self.pieces.n_best(s, self.n), REMEMBERED_WAYS)
 
     def segment(self, text: str) -> tuple[list[int], list[tuple[float, int]]]:
-        """Ids of the best segmentation, and (score, number of pieces) of the n best. An empty text has no pieces."""
+        """Ids of the best segmentation, and (score, number of pieces) of the n best."""
+        ways, scores = self.segmentations(text)
+        return ways[0].tolist(), [(s, len(w)) for s, w in zip(scores, ways)]
+
+    def segmentations(self, text: str) -> tuple[list[np.ndarray], list[float]]:
+        """Ids and scores of the n best segmentations, the best first. An empty text has no pieces."""
         if not text:
-            return [], [(0.0, 0)]
+            return [np.array([], np.int32)], [0.0]
         stretches = self.pieces.stretches(SPACE + text.replace(" ", SPACE))
         scores, parts, losses = zip(*map(self.known.__getitem__, stretches))
         ids, score = list(chain.from_iterable(parts)), sum(scores)
         # the n best differ from the best in stretches where the second best loses least: n - 1 of them can matter
         second = heapq.nsmallest(self.n - 1, zip(losses, count()))
-        lists = [(0.0, 0)]
-        for k in sorted(k for loss, k in second if loss < -_NEVER):
+        # (what is lost, pieces more, which way each of these stretches goes)
+        lists: list[tuple[float, int, tuple[int, ...]]] = [(0.0, 0, ())]
+        asked = sorted(k for loss, k in second if loss < -_NEVER)
+        for k in asked:
             ways = self.ways[stretches[k]]
-            own = [(ways[0][0] - s, len(i) - len(ways[0][1])) for s, i in ways]
-            lists = heapq.nsmallest(self.n, [(a + c, b + d) for a, b in lists for c, d in own])
-        return ids, [(score - loss, len(ids) + more) for loss, more in lists]
+            own = [(ways[0][0] - s, len(i) - len(ways[0][1]), w) for w, (s, i) in enumerate(ways)]
+            lists = heapq.nsmallest(self.n, [(a + c, b + d, way + (w,)) for a, b, way in lists for c, d, w in own])
+        best = np.array(ids, np.int32)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        begins = [int(sizes[:k].sum()) for k in asked]
+        found = []
+        for _, _, way in lists:
+            pieces, at = [], 0
+            for k, begin, w in zip(asked, begins, way):
+                if w:  # the best way of the others is there already
+                    pieces += [best[at:begin], np.array(self.ways[stretches[k]][w][1], np.int32)]
+                    at = begin + int(sizes[k])
+            found.append(np.concatenate([*pieces, best[at:]]) if pieces else best)
+        return found, [score - loss for loss, _, _ in lists]
 
 
 @lru_cache(4)
@@ -176,10 +194,10 @@ def segmenter_of(path: str, n: int) -> Segmenter:
 
 
 def n_best_segmentations(docs: DataFrame, path: str | None = None, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids of the best segmentation, scores and sizes of the n best (fewer if there are fewer), and round_trip.
+    """doc_id, ids of the best segmentation, ways (ids), scores and sizes of the n best (fewer if there are fewer), and round_trip.
 
-    round_trip says whether decoding gives the text again; a text that itself
-    holds the space mark does not. Null and empty texts have no ids and one
+    round_trip says whether decoding gives the text again, by each of the n
+    best; a text that itself holds the space mark does not. Null and empty texts have no ids and one
     segmentation of score 0; repeated rows and null ids come as they are; an
     empty table gives an empty one. What is sent to the tasks is the vocabulary.
     """
@@ -191,25 +209,30 @@ def n_best_segmentations(docs: DataFrame, path: str | None = None, n: int = 4, i
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
-                got = [own.segment(t) for t in part["text"]]
+                got = [own.segmentations(t) for t in part["text"]]
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].array,
-                        "ids": [np.array(i, np.int32) for i, _ in got],
-                        "scores": [[s for s, _ in best] for _, best in got],
-                        "sizes": [[k for _, k in best] for _, best in got],
-                        "round_trip": [own.pieces.decode(i) == t for (i, _), t in zip(got, part["text"])],
+                        "ids": [ways[0] for ways, _ in got],
+                        "ways": [ways for ways, _ in got],
+                        "scores": [scores for _, scores in got],
+                        "sizes": [[len(w) for w in ways] for ways, _ in got],
+                        "round_trip": [all(own.pieces.decode(w.tolist()) == t for w in ways) for (ways, _), t in zip(got, part["text"])],
                     }
                 )
 
-    return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>, scores array<double>, sizes array<int>, round_trip boolean")
+    return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>, ways array<array<int>>, scores array<double>, sizes array<int>, round_trip boolean")
 
 
 def ids_crc32(ids: pd.Series) -> pd.Series:
     return pd.Series([zlib.crc32(np.asarray(i, "<u4").tobytes()) for i in ids], dtype="int64")
 
 
+def ways_crc32(ways: pd.Series) -> pd.Series:
+    return pd.Series([[zlib.crc32(np.asarray(i, "<u4").tobytes()) for i in w] for w in ways])
+
+
 def op2_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crc = F.pandas_udf(ids_crc32, "long")
+    crc, crcs = F.pandas_udf(ids_crc32, "long"), F.pandas_udf(ways_crc32, "array<long>")
     got = n_best_segmentations(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), crc("ids").alias("ids_crc32"), "scores", "sizes", "round_trip")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), crc("ids").alias("ids_crc32"), crcs("ways").alias("ways_crc32"), "scores", "sizes", "round_trip")

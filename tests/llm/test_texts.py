@@ -223,3 +223,21 @@ def test_awkward_tables(spark):
     assert got[1] == got[2] == 0
     packed = packing.packed_documents(df).toPandas()
     assert packed[["sequence_id", "offset"]].drop_duplicates().shape[0] == len(packed)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text("theinaor é日 ", min_size=1, max_size=9))
+def test_n_best_ways_themselves(text):
+    """Each of the n best comes with its own ids: different ones, that spell the text and have the score that is said."""
+    own = sentencepieces.segmenter_of(public_tokenizers.path("piece_bpe_32k.model"), 4)
+    own.start()
+    ways, scores = own.segmentations(text)
+    every = {ids: s for s, ids in all_ways(own.pieces, sentencepieces.SPACE + text.replace(" ", sentencepieces.SPACE))}
+    found = [tuple(w.tolist()) for w in ways]
+    assert len(set(found)) == len(found) == min(4, len(every)) and all(own.pieces.decode(w) == text for w in found)
+    assert all(abs(every[w] - s) < 1e-3 for w, s in zip(found, scores))
+
+
+def test_query_has_all_ways(spark):
+    got = queries()["op2_sentencepiece_n_best"](spark, SF).toPandas()
+    assert all(len(w) == len(s) and w[0] == c and len(set(w)) == len(w) for w, s, c in zip(got["ways_crc32"], got["scores"], got["ids_crc32"]))
