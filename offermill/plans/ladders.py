@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from offermill.functions import money
 from offermill.functions.rules import Rule, decided
 from offermill.operators import ladders, market, staples
-from offermill.sources.tables import read
+from offermill.sources.tables import read, spread
 
 
 def _euro(c: Column) -> Column:
@@ -25,7 +25,8 @@ def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     line = F.element_at(F.array(*(F.concat(*x) for x in lines)), F.col("l_linenumber"))
     rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    block = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("line"))))
+    rows = spread(rows.select("l_orderkey", "l_linenumber", "l_partkey", line.alias("line")), "l_orderkey", times=4)
+    block = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "line")))
     return rows.groupBy("l_orderkey").agg(F.array_join(block["line"], "\n").alias("text"))
 
 

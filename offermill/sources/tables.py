@@ -34,13 +34,15 @@ def shared_top(spark: SparkSession) -> str:
     return f"file://{tempfile.mkdtemp(prefix='offermill-')}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, times: int = 1) -> DataFrame:
     """The rows dealt over all tasks of a shuffle by keys, before work that is much for each row.
 
     Small rows fill few splits of a file, and as many cores would do that work.
+    Where rows become many more in the task that they are dealt to, `times` as
+    many tasks keep each one's part small.
     """
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+    return df.repartition(times * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -156,3 +156,12 @@ def test_counts_of_values_and_of_none(spark):
     df = spark.createDataFrame([(1, "a"), (1, None), (2, None)], "x int, y string")
     assert {tuple(r) for r in market.counts_by(df, ["x", "y"]).collect()} == {("x", "1", 2), ("x", "2", 1), ("y", "a", 1), ("y", None, 2)}
     assert market.counts_by(df.limit(0), ["x"]).count() == 0
+
+
+def test_blocks_are_dealt_over_more_tasks(spark):
+    """All steps on a block's prices run in the task that it is dealt to, so these are not joined to a few."""
+    from offermill.plans import ladders as plan
+
+    blocks = plan.order_blocks(spark, SF)
+    blocks.count()
+    assert blocks.rdd.getNumPartitions() >= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
