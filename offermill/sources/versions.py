@@ -117,7 +117,8 @@ class VersionedTable:
         old = self._rows(last, touched)
         rows = merge(old, changes)
         folder = f"{last['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
-        rows.withColumn("bucket", self.bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        # by key and not by bucket alone: a task sorts what it is dealt, and buckets are few however much they hold
+        rows.withColumn("bucket", self.bucket()).repartition("bucket", *self.keys).write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
         fs, made = self._at(f"data/{folder}")
         full = {int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(made) if s.getPath().getName().startswith("bucket=")}
         if stray := full - touched:

@@ -220,3 +220,16 @@ def test_offers_meet_sums_of_events(spark):
     assert got.count() == 3000 and got.agg(F.sum("matched")).first()[0] == 3000**2
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") >= 3  # before the joins, for both ids, and after
+
+
+def test_a_bucket_is_written_by_more_than_one_task(spark, tmp_path):
+    """What a task sorts is not a whole bucket, and the rows are the same."""
+    on = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = VersionedTable(spark, f"file://{tmp_path}/t", ["id"], buckets=2)
+        table.write(spark.range(500), lambda _, new: new)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", on)
+    assert sorted(r.id for r in table.read().collect()) == list(range(500))
+    assert len(list(tmp_path.glob("t/data/*/bucket=0/*.parquet"))) > 1
