@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from offermill.operators import intervals, quality
 from offermill.operators.upsert import upserted
 from offermill.sources import landed, nodes
-from offermill.sources.tables import kept, read
+from offermill.sources.tables import kept, read, spread
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of each page's navigation, by a selector."""
-    table = kept(nodes.nodes(read(spark, sf_dir, "pages"), "page_id", "html"))
+    table = kept(nodes.nodes(spread(read(spark, sf_dir, "pages"), "page_id"), "page_id", "html"))
     links = nodes.selected(table, "nav li a[href]")
     text = nodes.texts_below(table, links)
     return links.join(text.withColumnRenamed("text", "said"), ["id", "node"]).select(F.col("id").alias("page_id"), "node", F.col("attrs")["href"].alias("href"), F.col("said").alias("text"))
@@ -37,7 +37,7 @@ def tile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiles_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = kept(nodes.nodes(tile_pages(spark, sf_dir), "page", "html"))
+    table = kept(nodes.nodes(spread(tile_pages(spark, sf_dir), "page"), "page", "html"))
     return nodes.tiles(table, "main a.link", "data-id").select(F.col("id").alias("page"), F.col("key").cast("long").alias("key"), "name", F.col("price").cast("double").alias("price"), F.col("regular").cast("double").alias("regular"), "size")
 
 

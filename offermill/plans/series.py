@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offermill.functions import numbers
 from offermill.operators import history, lines, market
-from offermill.sources.tables import read
+from offermill.sources.tables import read, spread
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ LOG_PAIRING = f"select user_id, started, ended from ({LOG_PAIRING}) p where even
 
 
 def berlin_schedule_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select("event_id", "ts")
+    e = spread(read(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
     return e.select("event_id", numbers.next_slot(F.col("ts"), "Europe/Berlin", [6, 9, 12, 15, 18, 21]).alias("next_run"), F.hour(F.from_utc_timestamp("ts", "Europe/Berlin")).alias("berlin_hour"))
 
 
