@@ -3,7 +3,8 @@
 A text is its words with their counts. For each of SAMPLES draws a word has a
 rate r and a cost c, both gamma(2, 1), and a shift b, all from the word's hash;
 with t = floor(ln(count) / r + b) the word stands at ln c - r (t - b + 1), and
-the text's sample is the (word, t) that stands lowest (Ioffe 2010). Two texts
+the text's sample is the (word, t) that stands lowest (Ioffe 2010); see
+_least_draws for how they are drawn. Two texts
 share a sample with the probability of their generalised Jaccard similarity,
 the sum of the lesser counts over that of the greater ones.
 """
@@ -22,6 +23,8 @@ from offermill.llm.base import table, texts, written
 SAMPLES = 64
 #: Draws that are made at once.
 BLOCK = 4
+#: Bits that say where a word stands; with the 24 below them they are a positive number.
+PLACE = 39
 #: Characters between words.
 WHITE = " \t\n\x0b\x0c\r"
 #: Documents in a stretch of the order by id, about, and the number of stretches, at least and at most.
@@ -36,23 +39,30 @@ def _uniform(h: Column, low: int, bits: int) -> Column:
 def _least_draws(words: DataFrame, keys: list[str]) -> DataFrame:
     """keys, block and d0, d1, ...: the draws of each block of the words (word, log_n) of each key, each the least of the words' stands.
 
+    x and y are exponential, and e is one more; a rate r = ln(1 + y / x) + e is
+    gamma(2, 1), as is the cost c = x + y apart from it, and b = e / r is a
+    uniform shift. With these ln c - r (t - b + 1) is ln x - r t. What stands in
+    its place is 1 - exp(-x exp(-r t)), which rises with it: the uniform number
+    that x is made of where t is 0, as it is for a word that occurs once. So
+    such words take one hash a draw and no logarithm.
+
     High bits say where a word stands (lower is nearer), the low 24 tell (word,
-    t). Minus the logarithm of a product of two uniform numbers is gamma(2, 1).
-    The steps are selections of their own, so that no hash or logarithm is
+    t). The steps are selections of their own, so that no hash or logarithm is
     computed twice, and a block is small enough to be compiled as a whole.
     """
     n, each = range(BLOCK), lambda f: [c for k in range(BLOCK) for c in f(k)]
+    often = lambda c: F.when(F.col("log_n") > 0, c)
+    c = lambda name, k: F.col(f"{name}{k}")
     rows = words.select(*keys, "word", "log_n", F.explode(F.array(*map(F.lit, range(SAMPLES // BLOCK)))).alias("block"))
-    rows = rows.select(*keys, "block", "log_n", *each(lambda k: (F.xxhash64("word", "block", F.lit(k)).alias(f"h{k}"), F.xxhash64("block", F.lit(k), "word").alias(f"g{k}"))))
-    h, g = (lambda k: F.col(f"h{k}")), (lambda k: F.col(f"g{k}"))
+    rows = rows.select(*keys, "block", "log_n", *each(lambda k: (F.xxhash64("word", "block", F.lit(k)).alias(f"h{k}"), often(F.xxhash64("block", F.lit(k), "word")).alias(f"g{k}"))))
     rows = rows.select(*keys, "block", "log_n", *each(lambda k: (
-        (-F.log(_uniform(h(k), 0, 21) * _uniform(h(k), 21, 21))).alias(f"r{k}"), F.log(-F.log(_uniform(g(k), 0, 32) * _uniform(g(k), 32, 32))).alias(f"c{k}"),
-        _uniform(h(k), 42, 22).alias(f"b{k}"), F.shiftrightunsigned(g(k), 40).alias(f"low{k}"),
+        c("h", k), often(-F.log1p(-_uniform(c("h", k), 64 - PLACE, PLACE))).alias(f"x{k}"), often(-F.log(_uniform(c("g", k), 0, 32))).alias(f"y{k}"), often(-F.log(_uniform(c("g", k), 32, 32))).alias(f"e{k}"),
     )))
-    c = lambda name, k: F.col(f"{name}{k}")
-    rows = rows.select(*keys, "block", *each(lambda k: (c("r", k), c("c", k), c("b", k), c("low", k), (F.col("log_n") / c("r", k) + c("b", k)).cast("long").alias(f"t{k}"))))
-    stand = lambda k: ((c("c", k) - c("r", k) * (c("t", k) - c("b", k) + 1) + 256) * float(1 << 26)).cast("long")
-    draw = lambda k: F.shiftleft(stand(k), 24).bitwiseOR((c("low", k) + c("t", k) * 7919).bitwiseAND((1 << 24) - 1))
+    rows = rows.select(*keys, "block", "log_n", *each(lambda k: (c("h", k), c("x", k), c("e", k), often(F.log1p(c("y", k) / c("x", k)) + c("e", k)).alias(f"r{k}"))))
+    rows = rows.select(*keys, "block", *each(lambda k: (c("h", k), c("x", k), c("r", k), often((F.col("log_n") + c("e", k)) / c("r", k)).cast("long").alias(f"t{k}"))))
+    stand = lambda k: (-F.expm1(-c("x", k) * F.exp(-c("r", k) * c("t", k))) * float(1 << PLACE)).cast("long")
+    low = lambda k: (F.shiftrightunsigned(c("h", k), 1) + c("t", k) * 7919).bitwiseAND((1 << 24) - 1)
+    draw = lambda k: F.when(c("t", k) > 0, F.shiftleft(stand(k), 24).bitwiseOR(low(k))).otherwise(F.shiftrightunsigned(c("h", k), 1))
     return rows.groupBy(*keys, "block").agg(*(F.min(draw(k)).alias(f"d{k}") for k in n))
 
 

@@ -191,6 +191,28 @@ def test_fingerprints_have_64_draws(spark):
     assert (got["near_next"] == sum(a[i : i + 4] == b[i : i + 4] for i in range(0, 256, 4)) / 64).all()
 
 
+def test_words_that_occur_once_are_drawn_without_logarithms(spark):
+    """Such a word stands where its hash says, and draws are still those of counts: shares meet the likeness of texts of repeated words."""
+    words = spark.createDataFrame([(1, 11, 0.0), (1, 12, 0.0), (2, 11, 0.0)], "id long, word long, log_n double")
+    got = {(r.id, r.block): [r[f"d{k}"] for k in range(fingerprints.BLOCK)] for r in fingerprints._least_draws(words, ["id"]).collect()}
+    hashes = words.select("id", "word", F.explode(F.sequence(F.lit(0), F.lit(fingerprints.SAMPLES // fingerprints.BLOCK - 1))).alias("block"), *(F.shiftrightunsigned(F.xxhash64("word", "block", F.lit(k)), 1).alias(f"h{k}") for k in range(fingerprints.BLOCK)))
+    want = hashes.groupBy("id", "block").agg(*(F.min(f"h{k}") for k in range(fingerprints.BLOCK))).collect()
+    assert got == {(r[0], r[1]): list(r[2:]) for r in want}
+
+    rng, rows, off = random.Random(5), [], []
+    for i in range(300, 0, -1):
+        a = Counter({f"w{i}x{j}": rng.choice([1, 2, 3, 8, 40]) for j in range(30)})
+        rows.append((i, " ".join(a.elements()), a))
+    for i in range(0, 300, 2):  # the next one: the same words, counted otherwise
+        a = rows[i][2]
+        b = Counter({w: rng.choice([n, 2 * n, n + 1, 1]) for w, n in a.items()})
+        rows[i + 1] = (rows[i + 1][0], " ".join(b.elements()), b)
+    near = {r.doc_id: r.near_next for r in fingerprints.edited_fingerprints(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for i in range(0, 300, 2):
+        off.append(near[rows[i][0]] - jaccard(rows[i][1], rows[i + 1][1]))
+    assert abs(np.mean(off)) < 0.02 and 0.7 < np.std(off) / np.mean([np.sqrt(s * (1 - s) / 64) for s in (jaccard(rows[i][1], rows[i + 1][1]) for i in range(0, 300, 2))]) < 1.3
+
+
 def tone_row(seed, n):
     rng = np.random.default_rng(seed)
     step, t = rng.integers(0, 12, n), np.arange(2 * audio.HOP)
