@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -9,17 +11,19 @@ from pyspark.sql.types import ArrayType, StructType
 from offermill.operators.history import MAX_GAP_DAYS
 
 
-def revision_offers(revisions: DataFrame, revision: str, at: str, body: str, offer: StructType, field: str = "offers") -> tuple[DataFrame, DataFrame]:
+def revision_offers(revisions: DataFrame, revision: str, at: str, body: str, offer: StructType, field: str = "offers", write: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """The offers of JSON snapshots with their revision, time and place in it, and (revision, time, readable, offers) of each snapshot.
 
     A snapshot that is no JSON document with that field is not readable and
-    has no offers; its revision stays in the log.
+    has no offers; its revision stays in the log. Where both results are used, or one more than
+    once, `write` keeps the parsed snapshots, so that these are made and parsed once.
     """
     schema = StructType().add(field, ArrayType(offer)).add("_broken", "string")
     parsed = revisions.select(F.col(revision).alias("revision"), F.col(at).alias("at"), F.from_json(F.coalesce(body, F.lit("")), schema, {"columnNameOfCorruptRecord": "_broken"}).alias("doc"))
     readable = F.col("doc").isNotNull() & F.col("doc._broken").isNull() & F.col(f"doc.{field}").isNotNull()
-    log = parsed.select("revision", "at", F.coalesce(readable, F.lit(False)).alias("readable"), F.coalesce(F.size(f"doc.{field}"), F.lit(0)).alias("offers"))
-    rows = parsed.where(readable).select("revision", "at", F.posexplode(f"doc.{field}").alias("place", "offer"))
+    parsed = write(parsed.select("revision", "at", F.coalesce(readable, F.lit(False)).alias("readable"), F.col(f"doc.{field}").alias("o")))
+    log = parsed.select("revision", "at", "readable", F.coalesce(F.size("o"), F.lit(0)).alias("offers"))
+    rows = parsed.where("readable").select("revision", "at", F.posexplode("o").alias("place", "offer"))
     return rows.where("offer is not null").select("revision", "at", "place", "offer.*"), log
 
 
@@ -58,20 +62,21 @@ def counted(fated: DataFrame, keys: list[str]) -> DataFrame:
     return fated.groupBy(*keys).agg(F.count("*").alias("raw"), n("inserted"), n("merged"), n("archived"), n("rejected"))
 
 
-def changes(rows: DataFrame, log: DataFrame, key: list[str], value: str) -> DataFrame:
+def changes(rows: DataFrame, log: DataFrame, key: list[str], value: str, write: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """revision, added, gone, changed and same: each readable snapshot against the readable one before.
 
     A snapshot holds a key once or more; its least value counts. Keys are
     followed through the numbers of the snapshots that have them, so neighbours
-    are not joined with each other.
+    are not joined with each other. What is read more than once is kept by `write`.
     """
     numbered = log.where("readable").groupBy("revision").agg(F.min("at").alias("at"))
     numbered = numbered.select("revision", F.row_number().over(Window.orderBy("at", "revision")).alias("n"))  # one row a revision
+    numbered = write(numbered)
     held = rows.groupBy("revision", *key).agg(F.min(value).alias("v")).join(numbered, "revision")
     w = Window.partitionBy(*key).orderBy("n")
     before = F.lag("n").over(w).eqNullSafe(F.col("n") - 1)
     kind = F.when(~before, "added").when(F.lag("v").over(w).eqNullSafe(F.col("v")), "same").otherwise("changed")
-    seen = held.select("n", kind.alias("kind"), (~F.lead("n").over(w).eqNullSafe(F.col("n") + 1)).alias("ends"))
+    seen = write(held.select("n", kind.alias("kind"), (~F.lead("n").over(w).eqNullSafe(F.col("n") + 1)).alias("ends")))
     counts = seen.groupBy("n").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("added", "changed", "same")))
     gone = seen.where("ends").groupBy((F.col("n") + 1).alias("n")).agg(F.count("*").alias("gone"))
     out = numbered.join(counts, "n", "left").join(gone, "n", "left")  # after the last snapshot nothing is gone

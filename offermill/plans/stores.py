@@ -66,7 +66,7 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_partkey") % 40).alias("part"), (F.col("l_suppkey") % 5).alias("supplier"), (F.floor(F.col("l_extendedprice") / 40000) + F.lit(0.5)).alias("price"), F.col("l_returnflag").alias("flag"),
         F.when(F.col("l_linenumber") == 7, F.date_format("l_shipdate", "yyyy-MM")).alias("until"), ((F.col("l_quantity") + 25) / 50).alias("sure"),
     )
-    docs = li.groupBy(week.alias("week"), part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", offer.alias("offer")))).alias("o"))
+    docs = li.groupBy(week.alias("week"), part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", offer.alias("offer")))).alias("o"))
     text = F.to_json(F.struct(F.col("o.offer").alias("offers")))
     body = F.when((F.col("week") + F.col("part")) % 13 == 5, F.expr("substring(j, 1, cast(length(j) / 2 as int))")).otherwise(F.col("j"))
     return docs.withColumn("j", text).select("week", "part", F.date_add(F.lit("1990-01-01"), F.col("week") * 7).cast("timestamp").alias("at"), body.alias("body"))
@@ -112,9 +112,9 @@ select week, count(*) as raw, count(*) filter (fate = 'inserted') as inserted, c
 
 def revision_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each week's snapshot against the one before: offers added, gone, changed and the same."""
-    rows, log = backfill.revision_offers(revisions(spark, sf_dir), "week", "at", "body", _OFFER)
+    rows, log = backfill.revision_offers(revisions(spark, sf_dir), "week", "at", "body", _OFFER, write=kept)
     log = log.groupBy("revision").agg(F.min("at").alias("at"), F.bool_or("readable").alias("readable"))
-    return backfill.changes(rows, log, ["part", "supplier", "flag"], "price")
+    return backfill.changes(rows, log, ["part", "supplier", "flag"], "price", kept)
 
 
 REVISION_CHANGES = f"""with {_BACKFILL},

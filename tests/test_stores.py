@@ -233,3 +233,12 @@ def test_a_bucket_is_written_by_more_than_one_task(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", on)
     assert sorted(r.id for r in table.read().collect()) == list(range(500))
     assert len(list(tmp_path.glob("t/data/*/bucket=0/*.parquet"))) > 1
+
+
+def test_snapshots_are_made_and_parsed_once(spark):
+    """The result of revision_changes reads what was kept of the parsed snapshots, not the line items again for each count."""
+    from offermill.plans import registry
+
+    df = registry.queries()["revision_changes"](spark, SF)
+    assert not any("lineitem" in f for f in df.inputFiles()) and "from_json" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() > 100
