@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, count
 
@@ -28,7 +28,6 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from offermill.llm.base import Remembered, Sent, table, texts
 
@@ -160,8 +159,22 @@ class Segmenter(Sent):
 
     def segmentations(self, text: str) -> tuple[list[np.ndarray], list[float]]:
         """Ids and scores of the n best segmentations, the best first. An empty text has no pieces."""
+        return self._found(text)[:2]
+
+    def decoded(self, text: str) -> tuple[list[np.ndarray], list[float], bool]:
+        """The same, and whether decoding each of them gives the text again.
+
+        A way that spells the same bytes as the best one decodes as it does, so only
+        the stretches in which they differ are spelt.
+        """
+        ways, scores, alike = self._found(text)
+        decodes = lambda w: self.pieces.decode(w.tolist()) == text
+        return ways, scores, decodes(ways[0]) and all(same or decodes(w) for w, same in zip(ways, alike))
+
+    def _found(self, text: str) -> tuple[list[np.ndarray], list[float], list[bool]]:
+        """Ids and scores of the n best segmentations, and whether each spells the bytes that the best one does."""
         if not text:
-            return [np.array([], np.int32)], [0.0]
+            return [np.array([], np.int32)], [0.0], [True]
         stretches = self.pieces.stretches(SPACE + text.replace(" ", SPACE))
         scores, parts, losses = zip(*map(self.known.__getitem__, stretches))
         ids, score = list(chain.from_iterable(parts)), sum(scores)
@@ -177,15 +190,17 @@ class Segmenter(Sent):
         best = np.array(ids, np.int32)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         begins = [int(sizes[:k].sum()) for k in asked]
-        found = []
+        spelt = lambda k, w: b"".join(map(self.pieces.raw.__getitem__, self.ways[stretches[k]][w][1]))
+        found, alike = [], []
         for _, _, way in lists:
             pieces, at = [], 0
+            alike.append(all(spelt(k, w) == spelt(k, 0) for k, w in zip(asked, way) if w))
             for k, begin, w in zip(asked, begins, way):
                 if w:  # the best way of the others is there already
                     pieces += [best[at:begin], np.array(self.ways[stretches[k]][w][1], np.int32)]
                     at = begin + int(sizes[k])
             found.append(np.concatenate([*pieces, best[at:]]) if pieces else best)
-        return found, [score - loss for loss, _, _ in lists]
+        return found, [score - loss for loss, _, _ in lists], alike
 
 
 @lru_cache(4)
@@ -193,13 +208,18 @@ def segmenter_of(path: str, n: int) -> Segmenter:
     return Segmenter(path, n)
 
 
-def n_best_segmentations(docs: DataFrame, path: str | None = None, n: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+ROW = "doc_id long, ids array<int>, ways array<array<int>>, scores array<double>, sizes array<int>, round_trip boolean"
+
+
+def n_best_segmentations(docs: DataFrame, path: str | None = None, n: int = 4, id_col: str = "doc_id", text_col: str = "text", then: Callable[[pd.DataFrame], pd.DataFrame] | None = None, schema: str = ROW) -> DataFrame:
     """doc_id, ids of the best segmentation, ways (ids), scores and sizes of the n best (fewer if there are fewer), and round_trip.
 
     round_trip says whether decoding gives the text again, by each of the n
     best; a text that itself holds the space mark does not. Null and empty texts have no ids and one
     segmentation of score 0; repeated rows and null ids come as they are; an
     empty table gives an empty one. What is sent to the tasks is the vocabulary.
+    Where less is wanted than the ids of all ways, `then` makes rows of `schema`
+    of these rows, some at a time, so that the ids needn't leave the task.
     """
     sent = docs.sparkSession.sparkContext.broadcast(segmenter_of(path or public_tokenizers.path("piece_bpe_32k.model"), n))
 
@@ -209,30 +229,33 @@ def n_best_segmentations(docs: DataFrame, path: str | None = None, n: int = 4, i
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
-                got = [own.segmentations(t) for t in part["text"]]
-                yield pd.DataFrame(
+                got = [own.decoded(t) for t in part["text"]]
+                rows = pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].array,
-                        "ids": [ways[0] for ways, _ in got],
-                        "ways": [ways for ways, _ in got],
-                        "scores": [scores for _, scores in got],
-                        "sizes": [[len(w) for w in ways] for ways, _ in got],
-                        "round_trip": [all(own.pieces.decode(w.tolist()) == t for w in ways) for (ways, _), t in zip(got, part["text"])],
+                        "ids": [ways[0] for ways, _, _ in got],
+                        "ways": [ways for ways, _, _ in got],
+                        "scores": [scores for _, scores, _ in got],
+                        "sizes": [[len(w) for w in ways] for ways, _, _ in got],
+                        "round_trip": [same for _, _, same in got],
                     }
                 )
+                yield then(rows) if then else rows
 
-    return texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, ids array<int>, ways array<array<int>>, scores array<double>, sizes array<int>, round_trip boolean")
+    return texts(docs, id_col, text_col).mapInPandas(run, schema)
 
 
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    return pd.Series([zlib.crc32(np.asarray(i, "<u4").tobytes()) for i in ids], dtype="int64")
+def crc32(ids: np.ndarray) -> int:
+    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
-def ways_crc32(ways: pd.Series) -> pd.Series:
-    return pd.Series([[zlib.crc32(np.asarray(i, "<u4").tobytes()) for i in w] for w in ways])
+def digests(rows: pd.DataFrame) -> pd.DataFrame:
+    """n_pieces, ids_crc32 and ways_crc32 in place of the ids."""
+    sums = [[crc32(w) for w in ways] for ways in rows["ways"]]
+    made = {"n_pieces": rows["ids"].map(len), "ids_crc32": rows["ids"].map(crc32), "ways_crc32": pd.Series(sums, index=rows.index, dtype=object)}
+    return rows.assign(**made)[["doc_id", "n_pieces", "ids_crc32", "ways_crc32", "scores", "sizes", "round_trip"]]
 
 
 def op2_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crc, crcs = F.pandas_udf(ids_crc32, "long"), F.pandas_udf(ways_crc32, "array<long>")
-    got = n_best_segmentations(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), crc("ids").alias("ids_crc32"), crcs("ways").alias("ways_crc32"), "scores", "sizes", "round_trip")
+    schema = "doc_id long, n_pieces long, ids_crc32 long, ways_crc32 array<long>, scores array<double>, sizes array<int>, round_trip boolean"
+    return n_best_segmentations(table(spark, sf_dir, "documents"), then=digests, schema=schema)

@@ -241,3 +241,24 @@ def test_n_best_ways_themselves(text):
 def test_query_has_all_ways(spark):
     got = queries()["op2_sentencepiece_n_best"](spark, SF).toPandas()
     assert all(len(w) == len(s) and w[0] == c and len(set(w)) == len(w) for w, s, c in zip(got["ways_crc32"], got["scores"], got["ids_crc32"]))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("theinaor é日▁ ", min_size=0, max_size=12))
+def test_round_trips_of_all_ways(text):
+    own = sentencepieces.segmenter_of(public_tokenizers.path("piece_bpe_32k.model"), 4)
+    own.start()
+    ways, scores, same = own.decoded(text)
+    assert same == all(own.pieces.decode(w.tolist()) == text for w in ways) and len(ways) == len(scores)
+
+
+def test_ids_of_ways_are_digested_where_they_are_made(spark):
+    """The query's digests are those of the operator's ids, and these are sent to no second Python worker."""
+    query = queries()["op2_sentencepiece_n_best"](spark, SF)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "ArrowEvalPython" not in plan
+    some = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    digest = {r.doc_id: (r.n_pieces, r.ids_crc32, list(r.ways_crc32)) for r in query.collect()}
+    for r in sentencepieces.n_best_segmentations(some).collect():
+        sums = [zlib.crc32(np.array(w, "<u4").tobytes()) for w in r.ways]
+        assert digest[r.doc_id] == (len(r.ids), sums[0], sums) and list(r.ids) == list(r.ways[0])
