@@ -242,3 +242,53 @@ def test_snapshots_are_made_and_parsed_once(spark):
     df = registry.queries()["revision_changes"](spark, SF)
     assert not any("lineitem" in f for f in df.inputFiles()) and "from_json" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert df.count() > 100
+
+
+def test_a_series_has_one_value_of_state_and_keeps_large_numbers(spark):
+    """A batch of a series reads and writes its state once; rows come one by one, so that numbers beside nulls stay whole."""
+    from pyspark.sql import Row
+    from pyspark.sql.types import LongType, StructField
+
+    from offermill.streaming.series import SeriesRuns
+
+    class Store:
+        value, calls, timers = None, [], []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 2
+
+    store, big = Store(), 2**60 + 1
+    runs = SeriesRuns([StructField("price", LongType())], StructField("id", LongType()), 10**9, [])
+    runs.init(store)
+    rows = [Row(micros__=m, id=i, price=p) for m, i, p in [(1000, 1, big), (5000, 3, None), (3000, 2, big), (6000, None, big)]]
+    got = [(r.price, r["first__"], r["last__"], r.observations, r.number, r.closed) for r in runs.handleInputRows(("k",), iter(rows), Times())]
+    assert got == [(big, 1000, 3000, 2, 0, False), (None, 5000, 5000, 1, 1, False), (big, 6000, 6000, 1, 2, False)]
+    assert store.calls == ["get", "update"] and len(store.timers) == 1
+    later = list(runs.handleInputRows(("k",), iter([Row(micros__=2500, id=9, price=big - 1)]), Times()))
+    assert [(r.price, r.observations) for r in later] == [(big, 1), (big - 1, 1), (big, 1), (None, 1), (big, 1)] and len(store.timers) == 1
+    closed = list(runs.handleExpiredTimer(("k",), Times(), None))
+    assert len(closed) == 5 and all(r.closed for r in closed) and store.value is None
