@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, count
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -31,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from offermill.llm.base import Remembered, Sent, table, texts
 
-#: Stretches whose best segmentation a task remembers, and whose N best.
-REMEMBERED, REMEMBERED_WAYS = 250_000, 20_000
+#: Stretches whose best segmentation a worker remembers, and whose N best.
+REMEMBERED, REMEMBERED_WAYS = 600_000, 20_000
 SPACE = "▁"
 #: Below the worst piece's score by so much: a character that only bytes can spell, for each byte.
 UNKNOWN = 10.0
 _NEVER = float("-inf")
+#: What is remembered of a stretch, before its ids of four bytes.
+HEAD = struct.Struct("<ddd")
 
 Way = tuple[float, tuple[int, ...]]
 
@@ -58,7 +61,7 @@ class Pieces:
         self.joined = {c for p in self.ids if len(p) > 1 for c in p}
 
     def open(self) -> None:
-        """Once per task: what finds all pieces of a text, and the bytes of each piece."""
+        """Once per worker: what finds all pieces of a text, and the bytes of each piece."""
         self.find = ahocorasick.Automaton()
         for p, (i, s) in self.ids.items():
             self.find.add_word(p, (len(p), s, (i,)))
@@ -68,6 +71,17 @@ class Pieces:
         # printable characters that many texts have and no longer piece has are stretches of their own
         alone = re.escape("".join(c for c in map(chr, range(128)) if c not in self.joined))
         self.stretches = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + f"|[{alone}]+" * bool(alone)).findall
+        # of a stretch: parts over whose ends no piece goes
+        self.parts = re.compile("|".join([f"{SPACE}*[{re.escape(k)}]+" for k in self.kinds()] + [f"{SPACE}*[^{SPACE}]|{SPACE}+"])).findall
+
+    def kinds(self) -> list[str]:
+        """Characters that longer pieces, or chains of them, have in common, the space aside: no piece has characters of two kinds."""
+        kind: dict[str, str] = {}
+        for p in self.ids:
+            if len(own := set(p) - {SPACE}) > 1 or len(own) == 1 and p.strip(SPACE)[1:]:
+                one = "".join(sorted(set().union(*(kind.get(c, c) for c in own))))
+                kind |= dict.fromkeys(one, one)
+        return sorted(set(kind.values()))
 
     def matches(self, text: str) -> Iterable[tuple[int, tuple[int, float, tuple[int, ...]]]]:
         """All pieces in a text: (place of the last character, (length, score, ids)), in order of place, the longest first."""
@@ -148,9 +162,25 @@ class Segmenter(Sent):
         self.pieces, self.n = Pieces(path), n
 
     def start(self) -> None:
-        self.pieces.open()
-        self.known = Remembered(self.pieces.best, REMEMBERED)
-        self.ways = Remembered(lambda s: self.pieces.n_best(s, self.n), REMEMBERED_WAYS)
+        """Once per worker: its later tasks find what the earlier ones remembered."""
+        if not hasattr(self, "known"):
+            self.pieces.open()
+            self.known = Remembered(self._packed, REMEMBERED)
+            self.ways = Remembered(lambda s: self.pieces.n_best(s, self.n), REMEMBERED_WAYS)
+
+    def _packed(self, stretch: str) -> bytes:
+        """Score, loss and whether the best way spells the stretch, as HEAD says, and its ids: what a text's stretches have is joined and read at once.
+
+        A word with marks after it is made of what is known of both.
+        """
+        parts = self.pieces.parts(stretch)
+        if len(parts) > 1:
+            known = [self.known[p] for p in parts]
+            scores, losses, exact = zip(*map(HEAD.unpack_from, known))
+            return HEAD.pack(sum(scores), min(losses), min(exact)) + b"".join([k[HEAD.size :] for k in known])
+        score, ids, loss = self.pieces.best(stretch)
+        spelt = b"".join(map(self.pieces.raw.__getitem__, ids)) == stretch.encode()
+        return HEAD.pack(score, loss, spelt) + struct.pack(f"<{len(ids)}i", *ids)
 
     def segment(self, text: str) -> tuple[list[int], list[tuple[float, int]]]:
         """Ids of the best segmentation, and (score, number of pieces) of the n best."""
@@ -164,31 +194,36 @@ class Segmenter(Sent):
     def decoded(self, text: str) -> tuple[list[np.ndarray], list[float], bool]:
         """The same, and whether decoding each of them gives the text again.
 
+        A best way whose stretches all spell themselves decodes to the text, unless that holds the space mark.
         A way that spells the same bytes as the best one decodes as it does, so only
         the stretches in which they differ are spelt.
         """
-        ways, scores, alike = self._found(text)
+        ways, scores, alike, spelt = self._found(text)
         decodes = lambda w: self.pieces.decode(w.tolist()) == text
-        return ways, scores, decodes(ways[0]) and all(same or decodes(w) for w, same in zip(ways, alike))
+        return ways, scores, (SPACE not in text if spelt else decodes(ways[0])) and all(same or decodes(w) for w, same in zip(ways, alike))
 
-    def _found(self, text: str) -> tuple[list[np.ndarray], list[float], list[bool]]:
-        """Ids and scores of the n best segmentations, and whether each spells the bytes that the best one does."""
+    def _found(self, text: str) -> tuple[list[np.ndarray], list[float], list[bool], bool]:
+        """Ids and scores of the n best segmentations, whether each spells the bytes that the best one does, and whether all stretches of that spell themselves."""
         if not text:
-            return [np.array([], np.int32)], [0.0], [True]
+            return [np.array([], np.int32)], [0.0], [True], True
         stretches = self.pieces.stretches(SPACE + text.replace(" ", SPACE))
-        scores, parts, losses = zip(*map(self.known.__getitem__, stretches))
-        ids, score = list(chain.from_iterable(parts)), sum(scores)
+        packed = list(map(self.known.__getitem__, stretches))
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        values = np.frombuffer(b"".join(packed), "<i4")
+        heads = (np.cumsum(sizes) - sizes)[:, None] + np.arange(HEAD.size // 4)
+        scores, losses, exact = values[heads].view("<f8").T
+        rest = np.ones(len(values), bool)
+        rest[heads] = False
+        best, sizes, score = values[rest], sizes - HEAD.size // 4, float(scores.sum())
         # the n best differ from the best in stretches where the second best loses least: n - 1 of them can matter
-        second = heapq.nsmallest(self.n - 1, zip(losses, count()))
+        second = np.argsort(losses, kind="stable")[: self.n - 1]
         # (what is lost, pieces more, which way each of these stretches goes)
         lists: list[tuple[float, int, tuple[int, ...]]] = [(0.0, 0, ())]
-        asked = sorted(k for loss, k in second if loss < -_NEVER)
+        asked = sorted(k for k in second.tolist() if losses[k] < -_NEVER)
         for k in asked:
             ways = self.ways[stretches[k]]
             own = [(ways[0][0] - s, len(i) - len(ways[0][1]), w) for w, (s, i) in enumerate(ways)]
             lists = heapq.nsmallest(self.n, [(a + c, b + d, way + (w,)) for a, b, way in lists for c, d, w in own])
-        best = np.array(ids, np.int32)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         begins = [int(sizes[:k].sum()) for k in asked]
         spelt = lambda k, w: b"".join(map(self.pieces.raw.__getitem__, self.ways[stretches[k]][w][1]))
         found, alike = [], []
@@ -200,7 +235,7 @@ class Segmenter(Sent):
                     pieces += [best[at:begin], np.array(self.ways[stretches[k]][w][1], np.int32)]
                     at = begin + int(sizes[k])
             found.append(np.concatenate([*pieces, best[at:]]) if pieces else best)
-        return found, [score - loss for loss, _, _ in lists], alike
+        return found, [score - loss for loss, _, _ in lists], alike, bool(exact.all())
 
 
 @lru_cache(4)

@@ -262,3 +262,20 @@ def test_ids_of_ways_are_digested_where_they_are_made(spark):
     for r in sentencepieces.n_best_segmentations(some).collect():
         sums = [zlib.crc32(np.array(w, "<u4").tobytes()) for w in r.ways]
         assert digest[r.doc_id] == (len(r.ids), sums[0], sums) and list(r.ids) == list(r.ways[0])
+
+
+def test_workers_remember_and_make_words_with_marks_of_known_parts(monkeypatch):
+    """A worker's next task begins with what the last one found; marks after a known word are no new word, and the best way is the same."""
+    own = sentencepieces.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 4)
+    own.start()
+    for stretch in ("▁tionedre,%%%", "▁hen.", "é&&&", "▁▁(a)", "日,a", "▁a日", "$", "▁"):
+        score, ids, loss = own.pieces.best(stretch)
+        packed = own.known[stretch]
+        assert sentencepieces.HEAD.unpack_from(packed) == (score, loss, 1.0)
+        assert tuple(np.frombuffer(packed[sentencepieces.HEAD.size :], "<i4").tolist()) == ids
+    own.segment("some words, theirs")
+    asked, best = [], own.pieces.best
+    monkeypatch.setattr(own.pieces, "best", lambda s: asked.append(s) or best(s))
+    own.start()
+    own.segment("some words, theirs,")
+    assert not asked
