@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offermill.llm.automaton import Automaton, compile_rules
-from offermill.llm.base import table, texts
+from offermill.llm.base import in_small_batches, table, texts
 
 
 class Rule(NamedTuple):
@@ -175,7 +175,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
 
         return column.map(one)
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return in_small_batches(docs).withColumn(text_col, clean(F.col(text_col)))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

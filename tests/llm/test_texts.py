@@ -7,10 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from edge import awkward, empty
@@ -279,3 +281,22 @@ def test_workers_remember_and_make_words_with_marks_of_known_parts(monkeypatch):
     own.start()
     own.segment("some words, theirs,")
     assert not asked
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """The documents' texts come in pieces of a megabyte or two, whether a stage reads them by texts() or by redact()."""
+    from offermill.llm import base
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [int(b["text"].str.len().sum())]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcde "), 500).alias("text"))
+    for stage in (base.texts, secrets.redact):
+        spark.conf.unset(key)
+        assert max(r.n for r in stage(docs).mapInPandas(sizes, "n long").collect()) < 2 * base.BATCH_BYTES
+    spark.conf.set(key, "4096")
+    base.texts(docs)
+    assert spark.conf.get(key) == "4096"
+    spark.conf.unset(key)
