@@ -202,7 +202,8 @@ def merged_in_order(records: DataFrame, id_col: str, scope: list[str], write: Wr
     counts. Records that can meet are components; a component is one pass. Components
     begin as those of likely same records. If a merged state is likely the
     same as a record elsewhere, the two components are one, and the pass runs
-    again: in the end no state could have met anything outside, so all
+    again over these: the others' states have met all that is outside already.
+    In the end no state could have met anything outside, so all
     passes together are the one over everything.
     """
     rows = write(described(spread(records, id_col), id_col, scope))
@@ -217,13 +218,18 @@ def merged_in_order(records: DataFrame, id_col: str, scope: list[str], write: Wr
         F.when(F.col("price") > 0, F.col("price").cast("double")).alias("price"), F.when(F.col("regular") > 0, F.col("regular").cast("double")).alias("regular"), F.coalesce("is_offer", F.lit(False)).alias("is_offer"), F.col(market).alias("market"), "source_type", worth.cast("double").alias("worth"), F.lit(1).alias("merged_from"),
     )
     placed, about = write(own), write(rows.select(*TRAITS, "_id", F.coalesce("_linked", "_first").alias("component")))
+    todo, done = placed, None
     while True:
-        grown = write(placed.repartition("component").sortWithinPartitions("component", "first").mapInPandas(_grow, _OUT))
+        grown = write(todo.repartition("component").sortWithinPartitions("component", "first").mapInPandas(_grow, _OUT))
         states = grown.where("state").select(F.col("component").alias("x"), "_scope", F.explode("keys").alias("_block"), *(F.col(c).alias(f"s{c}") for c in ("_organic", "_size", "_gtin", "_ids", "_variant", "_brand", "_family", "_plain")))
         there = about.select(F.col("component").alias("y"), "_scope", F.explode(blocks()).alias("_block"), *(F.col(c).alias(f"r{c}") for c in ("_organic", "_size", "_gtin", "_ids", "_variant", "_brand", "_family", "_plain"))).distinct()
         links = write(states.distinct().join(there, ["_scope", "_block"]).where("x <> y").where(likely_same("s", "r")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        products = grown.where("not state")
+        done = products if done is None else done.unionByName(products)
         if links.isEmpty():
-            return grown.where("not state").select("first", "name", "brand", "size", F.col("_gtin").alias("gtin"), "price", "regular_price", "offer_price", "market", "source_types", "branch_count", "merged_from")
+            return done.select("first", "name", "brand", "size", F.col("_gtin").alias("gtin"), "price", "regular_price", "offer_price", "market", "source_types", "branch_count", "merged_from")
         one = linked_components(links, links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), write).toDF("component", "now")
         move = lambda df: write(df.join(one, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now"))
         placed, about = move(placed), move(about)
+        todo = placed.join(one.select(F.col("now").alias("component")).distinct(), "component", "left_semi")
+        done = write(done.join(one, "component", "left_anti"))

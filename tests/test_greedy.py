@@ -145,6 +145,55 @@ def test_merged_states_join_what_no_two_records_do(spark):
     assert sorted((r.first, r.merged_from) for r in got) == [(1, 3), (4, 1)]
 
 
+def test_rounds_of_components_have_fewer_and_fewer_links(spark):
+    """A long chain in any order, and pairs at random: components are right, and what is written shrinks from round to round."""
+    from offermill.operators.entity import linked_components
+
+    rng = random.Random(4)
+    chain = rng.sample(range(600), 600)
+    links = [*zip(chain, chain[1:]), *((1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(170))]
+    root = {i: i for i in [*range(600), *range(1000, 1300), 5000]}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    sizes = []
+
+    def write(df):
+        out = kept(df)
+        if df.columns == ["u", "v"]:
+            sizes.append(out.count())
+        return out
+
+    pairs, ids = spark.createDataFrame(links, "a long, b long"), spark.createDataFrame([(i,) for i in root], "id long")
+    got = {r.id: r.component for r in linked_components(pairs, ids, write).collect()}
+    assert got == {i: find(i) for i in root}
+    assert len(sizes) < 10 and sizes[-1] == 0 and all(b <= 0.6 * a for a, b in zip(sizes, sizes[1:]))
+    alone = linked_components(pairs.limit(0), ids, write).collect()
+    assert len(alone) == len(root) and all(r.id == r.component for r in alone)
+
+
+def test_later_rounds_pass_over_joined_components_only(spark):
+    """Only components that a round joined are run again; the products of the others stay."""
+    records, rounds = random_records(spark, 0), []
+
+    def write(df):
+        out = kept(df)
+        if {"state", "first", "merged_from"} <= set(df.columns) and "now" not in df.columns:
+            rounds.append(out.where("not state").agg(F.sum("merged_from")).first()[0])
+        return out
+
+    got = greedy.merged_in_order(records, "id", ["store"], write).collect()
+    compared(got, pass_over(as_dicts(spark, records, ["store"])))
+    passes = rounds[::2] if len(rounds) > 1 else rounds
+    assert len(passes) > 1 and passes[0] == records.count() and all(n < passes[0] for n in passes[1:])
+
+
 def test_rules_of_records_and_columns_agree(spark):
     """Every branch of the rule, the 0.82 and 0.72 ones included, is reached and decided alike by both forms."""
     records = random_records(spark, 9, 90).withColumn("store", F.lit("A"))
