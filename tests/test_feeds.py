@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from offermill.functions import identity
 from offermill.operators import catalogs, entity, history, market, staples
 from offermill.plans import registry
 from offermill.sources import feeds
@@ -226,3 +227,26 @@ def test_rows_of_one_key_meet_in_parts(spark):
     own = [i for i in range(60) if i % 7]
     assert sorted(pairs) == [(a, b) for a in own for b in own if a < b]
     assert len({r[0] for r in got.select("a._part").distinct().collect()}) > 10
+
+
+def test_rows_of_one_key_meet_in_blocks(spark):
+    """A row meets arrays, in several blocks and parts of a key; a key that is null or that one row has makes no pair."""
+    rows = spark.range(90).select("id", F.when(F.col("id") == 1, "lone").when(F.col("id") % 7 > 0, "k").alias("k"), (F.col("id") * 2).alias("v"))
+    told = entity.numbered(rows, "id", ["k"])
+    assert {(r["k"], r["n_k"]) for r in told.collect()} == {(1, 1), (2, 76), (None, None)} and told.count() == 90
+    got = entity.pairs_of_key(told, "id", "k", 10)
+    pairs = [tuple(r) for r in got.select("a.id", "b.id", "a.v", "b.v").collect()]
+    own = [i for i in range(2, 90) if i % 7]
+    assert sorted(pairs) == [(a, b, 2 * a, 2 * b) for a in own for b in own if a < b]
+    assert got.select(F.spark_partition_id()).distinct().count() > 4
+    assert "explode(_rows" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_compatible_records_have_one_key(spark):
+    values = [(k, s) for k in (None, "", "x", "X") for s in (None, 0, 1)]
+    df = spark.createDataFrame(values, "kind string, size int")
+    key = identity.compatible_key(F.col("kind"), [F.col("size")])
+    both = df.select("*", key.alias("key")).alias("a").crossJoin(df.select("*", key.alias("key")).alias("b"))
+    fine = identity.compatible(F.col("a.kind"), F.col("b.kind"), [(F.col("a.size"), F.col("b.size"))])
+    got = both.select(fine.alias("fine"), F.col("a.key").eqNullSafe(F.col("b.key")).alias("same"), F.col("a.key").isNull().alias("none")).collect()
+    assert all(r["fine"] == r["same"] and not r["none"] for r in got) and len(got) == len(values) ** 2

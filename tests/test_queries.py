@@ -7,7 +7,9 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
+from offermill.functions import identity
 from offermill.operators import entity
 from offermill.plans import registry
 from oracle import compare
@@ -112,3 +114,24 @@ def test_pages_have_titles_and_blocks(spark):
     got = registry.queries()["html_title_text"](spark, SF).toPandas()
     assert len(got) == spark.read.parquet(f"{SF}/pages.parquet").count()
     assert (got["n_blocks"] > 0).all()
+
+
+def test_relations_of_a_hot_brand(spark, tmp_path):
+    """The relations are those that any two products have, also where columns are null; rows meet arrays and no pair is joined."""
+    rng = random.Random(5)
+    pick = lambda *v: rng.choice(v)
+    rows = [(i, pick("a", "b", "a|1", "", None), pick("hot", "hot", "hot", "cold", None), pick("X", "x", "Y", None), pick(1, 2, 6, 11, None)) for i in range(150)]
+    df = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    df.write.parquet(str(tmp_path / "part.parquet"))
+    keys = df.select(
+        "*", F.when(F.col("p_partkey") % 11 == 0, F.lit("4006381333931")).alias("gtin"), F.concat_ws("|", "p_name", "p_size").alias("exact_key"), F.concat_ws("|", "p_type", "p_size").alias("comparison_key"),
+        F.col("p_name").alias("similarity_key"), F.col("p_brand").alias("group"), (F.col("p_size") % 2 == 0).alias("organic"),
+    )
+    side = lambda s: {k: F.col(f"{s}.{k}") for k in ("gtin", "exact_key", "comparison_key", "similarity_key", "group", "organic")}
+    fine = identity.compatible(F.col("a.p_type"), F.col("b.p_type"), [(F.col("a.p_size") % 5, F.col("b.p_size") % 5)])
+    every = keys.alias("a").join(keys.alias("b"), F.col("a.p_partkey") < F.col("b.p_partkey")).withColumn("shelf", F.coalesce((F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_brand") == F.col("b.p_brand")), F.lit(False)))
+    want = [tuple(r) for r in every.select(F.col("a.p_partkey"), F.col("b.p_partkey"), identity.relation(side("a"), side("b"), fine), "shelf").collect()]
+    for name, rest in (("relation_pairs_all", [r[:3] for r in want if r[2] != "none"]),):
+        got = registry.queries()[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(rest) and len({r[2] for r in rest}) > 3
+        assert "explode(_rows" in got._jdf.queryExecution().optimizedPlan().toString()
