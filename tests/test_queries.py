@@ -131,7 +131,7 @@ def test_relations_of_a_hot_brand(spark, tmp_path):
     fine = identity.compatible(F.col("a.p_type"), F.col("b.p_type"), [(F.col("a.p_size") % 5, F.col("b.p_size") % 5)])
     every = keys.alias("a").join(keys.alias("b"), F.col("a.p_partkey") < F.col("b.p_partkey")).withColumn("shelf", F.coalesce((F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_brand") == F.col("b.p_brand")), F.lit(False)))
     want = [tuple(r) for r in every.select(F.col("a.p_partkey"), F.col("b.p_partkey"), identity.relation(side("a"), side("b"), fine), "shelf").collect()]
-    for name, rest in (("relation_pairs_all", [r[:3] for r in want if r[2] != "none"]),):
+    for name, rest in (("relation_pairs_all", [r[:3] for r in want if r[2] != "none"]), ("relation_pair_kind", [r[:3] for r in want if r[3]])):
         got = registry.queries()[name](spark, str(tmp_path))
         assert sorted(map(tuple, got.collect())) == sorted(rest) and len({r[2] for r in rest}) > 3
         assert "explode(_rows" in got._jdf.queryExecution().optimizedPlan().toString()
