@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offermill.functions.numbers import haversine_km
+from offermill.sources.tables import spread
 
 
 class GuardError(AssertionError):
@@ -68,29 +69,53 @@ def allowed_area(address: Column, market: Column, places: list[str]) -> Column:
     return F.coalesce(*(F.when(text.rlike(rf"(?iu)(?<!\p{{L}}){p}(?!\p{{L}})"), F.lit(p)) for p in places))
 
 
-def near_duplicates(places: DataFrame, id_col: str, group: str, lat: str, lon: str, within_km: float, address: str | None = None) -> DataFrame:
+#: Rows that a chunk of those at one place is meant to have: two chunks make 65,536 pairs at once.
+CHUNK = 256
+
+
+def _chunks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The ids of rows of equal keys, in arrays of some CHUNK; keys may be null."""
+    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.count("*").over(Window.partitionBy(*keys)) / F.lit(CHUNK))).alias("chunk")
+    return spread(rows, *keys).select(*keys, chunk, "id").groupBy(*keys, "chunk").agg(F.collect_list("id").alias("ids"))
+
+
+def _pairs_of_chunks(left: DataFrame, right: DataFrame, on: list[str], km: Column, holds: Column) -> DataFrame:
+    """(a, b, km) of the ids of chunks that meet by `on` where km `holds`; each two chunks meet in one order."""
+    order = ["lat", "lon", "chunk"]
+    other = spread(right.select(*on, *(F.col(c).alias(f"{c}_b") for c in [*order, "ids"])), *on, times=4)
+    met = spread(left.select(*on, *order, "ids"), *on, times=4).join(other.hint("merge"), on)
+    mine, theirs = F.struct(*order), F.struct(*(F.col(f"{c}_b").alias(c) for c in order))
+    apart = met.where((mine <= theirs) & holds).select("ids", "ids_b", (mine < theirs).alias("two"), km.alias("km"))
+    # no fewer tasks: a join gives all that one of its rows meets at once, and that shall not be pairs of ids yet
+    one = apart.coalesce(1 << 20).select(F.explode("ids").alias("x"), "ids_b", "two", "km")
+    both = one.select("x", F.explode("ids_b").alias("y"), "two", "km").where((F.col("x") < F.col("y")) | (F.col("two") & (F.col("x") > F.col("y"))))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "km")
+
+
+def near_duplicates(places: DataFrame, id_col: str, group: str, lat: str, lon: str, within_km: float, address: str | None = None, digits: int | None = None) -> DataFrame:
     """(a, b, km) of places of one group within a distance, or of equal addresses wherever they lie, each pair once.
 
     Places meet only in a grid cell of the distance's size: each goes to its
-    own cell and the right and left places to the nine around it.
+    own cell and the right and left places to the nine around it. Those at
+    one point are one until then, so a distance is worked out (and rounded to
+    `digits`, if given) for two points and not for each pair of places there.
     """
     size = within_km / 111.0
-    cells = places.select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.floor(F.col(lat) / size).alias("y"))
+    rows = places.select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), *([F.nullif(F.col(address), F.lit("")).alias("address")] if address else [])).where("g is not null")
+    cells = _chunks(rows.where("lat is not null and lon is not null"), ["g", "lat", "lon"]).withColumn("y", F.floor(F.col("lat") / size))
     # a degree of longitude is shorter further north; a cell must not be narrower than the distance there
     width = size / F.greatest(F.cos(F.radians(F.abs((F.col("y") + F.lit(1)) * size) + size)), F.lit(0.01))
     steps = F.array(*(F.lit(d) for d in (-1, 0, 1)))
     right = cells.withColumn("y", F.explode(F.transform(steps, lambda d: F.col("y") + d))).withColumn("x", F.floor(F.col("lon") / width))
     right = right.withColumn("x", F.explode(F.transform(steps, lambda d: F.col("x") + d)))
     left = cells.withColumn("x", F.floor(F.col("lon") / width))
-    r = right.select(F.col("id").alias("b"), "g", "x", "y", F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b"))
-    close = left.join(r, ["g", "x", "y"]).where(F.col("id") < F.col("b")).select(F.col("id").alias("a"), "b", km.alias("km")).where(F.col("km") < within_km)
+    exact = haversine_km(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b"))
+    km = exact if digits is None else F.round(exact, digits)
+    close = _pairs_of_chunks(left, right, ["g", "x", "y"], km, exact < within_km)
     if address is None:
         return close
-    p = places.select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.nullif(F.col(address), F.lit("")).alias("address"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-    q = p.select("g", "address", F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    named = p.join(q, ["g", "address"]).where(F.col("id") < F.col("b")).select(F.col("id").alias("a"), "b", km.alias("km"))
-    return close.unionByName(named.where(F.coalesce(F.col("km") >= within_km, F.lit(True))))
+    named = _chunks(rows.where("address is not null"), ["g", "address", "lat", "lon"])
+    return close.unionByName(_pairs_of_chunks(named, named, ["g", "address"], km, F.coalesce(exact >= within_km, F.lit(True))))
 
 
 def drop_guard(previous: DataFrame, current: DataFrame, store: str, n: str, least: int = 5, ratio: float = 0.7) -> DataFrame:

@@ -212,7 +212,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def haversine_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of a nation that lie within 800 metres, or have one address."""
-    return market.near_duplicates(places(spark, sf_dir), "c_custkey", "c_nationkey", "lat", "lon", 0.8, "address").select("a", "b", F.round("km", 6).alias("km"))
+    return market.near_duplicates(places(spark, sf_dir), "c_custkey", "c_nationkey", "lat", "lon", 0.8, "address", digits=6)
 
 
 HAVERSINE_NEAR_DUPLICATES = """

@@ -250,3 +250,35 @@ def test_compatible_records_have_one_key(spark):
     fine = identity.compatible(F.col("a.kind"), F.col("b.kind"), [(F.col("a.size"), F.col("b.size"))])
     got = both.select(fine.alias("fine"), F.col("a.key").eqNullSafe(F.col("b.key")).alias("same"), F.col("a.key").isNull().alias("none")).collect()
     assert all(r["fine"] == r["same"] and not r["none"] for r in got) and len(got) == len(values) ** 2
+
+
+def test_distances_are_worked_out_once_for_two_points(spark, monkeypatch):
+    """Places at one point are one, in chunks, until they are near another; the pairs are those of all places."""
+    monkeypatch.setattr(market, "CHUNK", 4)
+    rng = random.Random(8)
+    points = [(48 + rng.random() / 40, 11 + rng.random() / 40) for _ in range(12)] + [(None, 11.0), (48.0, None), (None, None), (-33.9, 151.2), (-33.9, 151.205), (-33.905, 151.2)]
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), *rng.choice(points), rng.choice([None, "", "here", "there"])) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, g int, lat double, lon double, address string")
+
+    def km(a, b):
+        if None in (*a[2:4], *b[2:4]):
+            return None
+        la, lo, lb, lp = map(math.radians, (*a[2:4], *b[2:4]))
+        q = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lp - lo) / 2) ** 2
+        return 2 * 6371 * math.atan2(math.sqrt(q), math.sqrt(1 - q))
+
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[1] is not None and a[1] == b[1]:
+                d = km(a, b)
+                if (d is not None and d < 0.8) or (a[4] and a[4] == b[4]):
+                    want[a[0], b[0]] = d
+    found = market.near_duplicates(df, "id", "g", "lat", "lon", 0.8, "address", digits=6)
+    got = found.collect()
+    assert len(got) == len(want) and all(r["km"] is None if want[r["a"], r["b"]] is None else abs(r["km"] - want[r["a"], r["b"]]) < 2e-6 for r in got)
+    assert None in want.values() and any(d and d > 0.8 for d in want.values()) and any(d == 0 for d in want.values())
+    plain = market.near_duplicates(df, "id", "g", "lat", "lon", 0.8)
+    assert {(r["a"], r["b"]) for r in plain.collect()} == {k for k, d in want.items() if d is not None and d < 0.8}
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(ids_b") < plan.index("ATAN2") < plan.index("collect_list(id")  # distances after places of a point are one, before they are many
